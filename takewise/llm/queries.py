@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takewise.llm import host_rules, packing, tokens
+from takewise.llm import host_rules, packing, substrings, suffix_groups, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,16 @@ def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_groups.remove_repeats(_documents(spark, sf_dir))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substrings.remove_passages(_documents(spark, sf_dir))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(_documents(spark, sf_dir))
 
@@ -37,6 +47,8 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_host_rules": op1_host_rules,
+    "op3_suffix_groups": op3_suffix_groups,
+    "op4_super_kmers": op4_super_kmers,
     "op6_section_tokens": op6_section_tokens,
     "op8_merge_replay": op8_merge_replay,
     "op10_best_fit": op10_best_fit,
