@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takewise.llm import host_rules, packing, substrings, suffix_groups, tokens
+from takewise.llm import host_rules, packing, pii, substrings, suffix_groups, tokens, weak_labels
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +27,18 @@ def op4_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_documents(spark, sf_dir)).select("doc_id", "text", "n_private")
+
+
 def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(_documents(spark, sf_dir))
 
 
+def op7_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(_documents(spark, sf_dir))
+
+
 def op8_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = tokens.decode(tokens.encode(_documents(spark, sf_dir)))
     return got.select(
@@ -49,7 +57,9 @@ QUERIES = {
     "op1_host_rules": op1_host_rules,
     "op3_suffix_groups": op3_suffix_groups,
     "op4_super_kmers": op4_super_kmers,
+    "op5_pseudonyms": op5_pseudonyms,
     "op6_section_tokens": op6_section_tokens,
+    "op7_weak_labels": op7_weak_labels,
     "op8_merge_replay": op8_merge_replay,
     "op10_best_fit": op10_best_fit,
 }
