@@ -81,19 +81,19 @@ def votes(text: bytes) -> str:
 
 
 def estimate(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], np.ndarray, float]:
-    """Posterior of good for each pattern of votes, each labeller's rates of b, - and g for bad and good, the share of good.
+    """Posterior of good for each pattern of votes, each labeller's rates of b and g for bad and good, the share of good.
 
     Expectation-maximisation over the patterns weighted by their counts. It starts from the belief that a document is
     good unless a labeller is against it, and prior counts keep a labeller from turning against its own meaning.
     """
     if not patterns:
-        return {}, np.zeros((0, 2, 3)), 0.5
+        return {}, np.zeros((0, 2, 2)), 0.5
     keys = sorted(patterns)
-    seen = np.array([["b-g".index(c) for c in k] for k in keys])
+    seen = np.array([["bg-".index(c) for c in k] for k in keys])
     weight = np.array([patterns[k] for k in keys], float)
-    marks = np.eye(3)[seen]  # pattern, labeller, vote
+    marks = np.eye(3)[seen][:, :, :2]  # pattern, labeller, vote: no vote says nothing
     good = np.where((seen == 0).any(1), 0.1, 0.95)
-    believed = np.array([[2.0, 1.0, 1.0], [0.1, 1.0, 4.0]]) * max(1.0, 0.001 * weight.sum())
+    believed = np.array([[2.0, 2.0], [0.1, 5.0]]) * max(1.0, 0.001 * weight.sum())
     for _ in range(rounds):
         share = (weight @ good + 1) / (weight.sum() + 2)
         mass = np.stack([weight * (1 - good), weight * good])
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, sample: int = 8_000, size: int = 2048, rounds: int = 20
     rows = sorted(chosen.mapInArrow(features, "doc_id long, index array<int>, value array<double>, good double").collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.good))
     x = np.zeros((len(rows), size), np.float32)
     for i, r in enumerate(rows):
-        x[i, r.index] += r.value
+        x[i, r["index"]] += r["value"]
     target = np.array([r.good for r in rows], np.float32)
     balance = np.where(target < 0.5, 0.5 / max(1e-3, float((target < 0.5).mean() if len(rows) else 1)), 1.0).clip(1, 20).astype(np.float32)
     w, m, v = np.zeros(size, np.float32), np.zeros(size, np.float32), np.zeros(size, np.float32)
