@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takewise.llm import host_rules, packing, pii, substrings, suffix_groups, tokens, weak_labels
+from takewise.llm import host_rules, multi_index, packing, pii, substrings, suffix_groups, tokens, weak_labels
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op8_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_section_tokens": op6_section_tokens,
     "op7_weak_labels": op7_weak_labels,
     "op8_merge_replay": op8_merge_replay,
+    "op9_multi_index": op9_multi_index,
     "op10_best_fit": op10_best_fit,
 }
 
