@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takewise.llm import host_rules, multi_index, packing, pii, substrings, suffix_groups, tokens, weak_labels
+from takewise.llm import host_rules, minhash, multi_index, packing, pii, substrings, suffix_groups, tokens, weak_labels
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), settings=minhash.Settings(words=4))
+
+
 def op3_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffix_groups.remove_repeats(_documents(spark, sf_dir))
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -59,6 +63,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_host_rules": op1_host_rules,
+    "op2_circulant_minhash": op2_circulant_minhash,
     "op3_suffix_groups": op3_suffix_groups,
     "op4_super_kmers": op4_super_kmers,
     "op5_pseudonyms": op5_pseudonyms,
