@@ -49,12 +49,44 @@ def word_units(window: int = 20, gram: int = 5) -> superkmers.Units:
     return superkmers.Units(window, gram, bytes.split, _word_hashes(gram), lambda words, a, n: b" ".join(words[a : a + n]), _window_labels(window))
 
 
-def remove_passages(docs: DataFrame, window: int = 20, gram: int = 5, layout: bool = False) -> DataFrame:
+def _without(text: bytes, words: list[bytes], spans: list[tuple[int, int]]) -> bytes:
+    """The text without these runs of its words; white space before the next word goes with a run."""
+    if not spans:
+        return text
+    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    edges = [0, *[starts[x] for span in spans for x in span], len(text)]
+    return b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])])
+
+
+def strip_passages(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
+    """docs with text stripped of the passages that remove_passages finds, white space and all other columns unchanged.
+
+    A document that repeats passages from its first to its last word stays with an empty text.
+    """
+    names = docs.columns
+    others = [c for c in names if c not in ("doc_id", "text")]
+    held = superkmers.repeated(docs, word_units(window, gram), others)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for text, parts in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs")):
+                parts = parts.as_py()
+                if text is not None and parts:
+                    words = text.split()
+                    text = _without(text, words, superkmers.covered(parts, window, len(words)))
+                kept.append(None if text is None else text.decode())
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+
+    schema = ", ".join(f"`{c}` {'long' if c == 'doc_id' else docs.schema[c].dataType.simpleString()}" for c in names)
+    return held.mapInArrow(run, schema)
+
+
+def remove_passages(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept) of each document.
 
     Each word is removed that a window of consecutive words covers whose sequence also starts earlier. spans are the
-    removed runs of words; kept are the other words, joined by one space, or with layout the text without the removed
-    runs, its white space unchanged. A null or empty text, or one shorter than a window, loses nothing (null: kept is
+    removed runs of words; kept are the other words, joined by one space. A null or empty text, or one shorter than a window, loses nothing (null: kept is
     empty). Repeated rows of one document are the same document and give equal rows; rows without doc_id are left out.
     """
 
@@ -64,14 +96,8 @@ def remove_passages(docs: DataFrame, window: int = 20, gram: int = 5, layout: bo
             for text, parts in zip(tx.binary(batch, "text"), batch.column("runs")):
                 words, parts = text.split(), parts.as_py()
                 spans = superkmers.covered(parts, window, len(words))
-                kept = text if layout else None
-                if layout and spans:
-                    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
-                    edges = [0, *[starts[x] for span in spans for x in span], len(text)]
-                    kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                elif not layout:
-                    edges = [0, *[x for span in spans for x in span], len(words)]
-                    kept = b" ".join([w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]])
+                edges = [0, *[x for span in spans for x in span], len(words)]
+                kept = b" ".join([w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]])
                 rows.append((len(words), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], kept.decode()))
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]], names=["doc_id", "n_words", "n_removed", "spans", "kept"])

@@ -238,18 +238,19 @@ def _per_document(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "many", "key")).alias("runs"))
 
 
-def repeated(docs: DataFrame, units: Units) -> DataFrame:
-    """docs (doc_id, text) with runs: where windows start that also start earlier; null where there are none.
+def repeated(docs: DataFrame, units: Units, others: list[str] | None = None) -> DataFrame:
+    """docs (doc_id, text, and the columns others) with runs: where windows start that also start earlier; null where there are none.
 
     Earlier is a smaller doc_id, or the same document and an earlier start. doc_id names a document: rows that repeat one
     are the same document, and rows without one are left out. Null texts have no windows.
     """
-    docs = tx.only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where(F.col("doc_id").isNotNull())
+    whole = tx.only(docs, "doc_id", "text", *(others or [])).withColumn("doc_id", F.col("doc_id").cast("long")).where(F.col("doc_id").isNotNull())
+    docs = whole.select("doc_id", "text")
     buckets = tx.partitions(docs, 4)
     found = docs.mapInArrow(_seeds(units, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_repeated_minimisers, _RUNS)
     strings = docs.join(_per_document(found), "doc_id").mapInArrow(_strings(units, buckets), "bucket int, blob binary")
     windows = strings.groupBy("bucket").applyInArrow(_repeated_windows(units), _RUNS)
-    return docs.join(_per_document(windows), "doc_id", "left")
+    return whole.join(_per_document(windows), "doc_id", "left")
 
 
 def covered(parts: list[dict] | None, window: int, length: int) -> list[tuple[int, int]]:

@@ -195,6 +195,10 @@ def fit(docs: DataFrame, sample: int = 8_000, size: int = 2048, rounds: int = 20
     return Model(w.astype(float), posteriors, rates, share)
 
 
+def probability(model: Model, index: np.ndarray, value: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-np.clip(model.weights[index] @ value, -30, 30))))
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """(doc_id, score, posterior, kept): the scorer's probability of good, the labellers' one, and the decision."""
 
@@ -202,13 +206,25 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         hashing = Hashing(len(model.weights))
         for batch in batches:
             texts = tx.binary(batch, "text")
-            got = [hashing(t) for t in texts]
-            p = np.array([1 / (1 + np.exp(-np.clip(model.weights[i] @ v, -30, 30))) for i, v in got], float)
+            p = np.array([probability(model, *hashing(t)) for t in texts], float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array([model.posteriors.get(votes(t), model.share) for t in texts], pa.float64()), pa.array([bool(a >= threshold and t.strip()) for a, t in zip(p, texts)], pa.bool_())], names=["doc_id", "score", "posterior", "kept"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, posterior double, kept boolean")
 
 
+def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = 8_000, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that classify keeps, with all their columns; a map without a shuffle once the scorer is fitted."""
+    model = fit(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashing = Hashing(len(model.weights))
+        for batch in batches:
+            good = [bool(t.strip()) and probability(model, *hashing(t)) >= threshold for t in tx.binary(batch, text)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 8_000, threshold: float = 0.5) -> DataFrame:
     """Each row's score, posterior and whether it is kept.
 
