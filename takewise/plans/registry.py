@@ -1,9 +1,13 @@
 """All registered queries of the recording library, with their SQL."""
 
+from takewise.plans import matching_queries
+
+_MODULES = [matching_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
