@@ -165,8 +165,9 @@ def find_matches(new: DataFrame, library: DataFrame, least: float = SCORE_LEAST,
     """
     others = F.sequence(F.lit(0), F.lit(library_blocks - 1))
     names = [f.split()[0] for f in _SIDE.split(", ")]
-    left = new.select(*names).withColumn("p", F.pmod(F.xxhash64("riff_id"), F.lit(new_blocks))).withColumn("q", F.explode(others.cast("array<long>")))
-    right = library.select(*names).withColumn("q", F.pmod(F.xxhash64("riff_id"), F.lit(library_blocks))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(new_blocks - 1)).cast("array<long>")))
+    fresh = [F.col(n).alias(n) for n in names]  # new and library may be one table; each side has columns of its own
+    left = new.select(*fresh).withColumn("p", F.pmod(F.xxhash64("riff_id"), F.lit(new_blocks))).withColumn("q", F.explode(others.cast("array<long>")))
+    right = library.select(*fresh).withColumn("q", F.pmod(F.xxhash64("riff_id"), F.lit(library_blocks))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(new_blocks - 1)).cast("array<long>")))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         return score_block(a, b, least)
