@@ -95,7 +95,7 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(recording_id, idx, t_sec): a user's events by the hours since the first."""
     got = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id")
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     return got.select(F.col("user_id").alias("recording_id"), (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("long").alias("idx"), ((micros - F.min(micros).over(w)) / 3600000000.0).alias("t_sec"), F.col("value").alias("strength"))
 
 
