@@ -126,7 +126,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "takewise") ->
     documents, different ones of a format different ones. Mail addresses and secrets have keyed digests in their place.
     What fails its check (a card number's check digit, a day that doesn't exist) stays as it is. A null text stays null
     with 0 replaced, as does an empty one; each row is dealt with by itself, so repeated rows and ties make no
-    difference; other columns pass through. One projection of SQL functions: no shuffle, no Python.
+    difference; other columns pass through (one named n_private gives way). One projection of SQL functions: no shuffle, no Python.
     """
     column = F.col(f"`{text}`")
     hinted = column.rlike(HINT)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from takewise.llm import superkmers
 from takewise.llm import text as tx
@@ -64,8 +65,9 @@ def strip_passages(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFram
     A document that repeats passages from its first to its last word stays with an empty text.
     """
     names = docs.columns
-    others = [c for c in names if c not in ("doc_id", "text")]
-    held = superkmers.repeated(docs, word_units(window, gram), others)
+    inner = {c: c if c in ("doc_id", "text") else f"other_{i}" for i, c in enumerate(names)}  # no name clashes with those used on the way
+    own = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in inner.items()])
+    held = superkmers.repeated(own, word_units(window, gram), [k for c, k in inner.items() if c != k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,7 +78,7 @@ def strip_passages(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFram
                     words = text.split()
                     text = _without(text, words, superkmers.covered(parts, window, len(words)))
                 kept.append(None if text is None else text.decode())
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else batch.column(inner[c]) for c in names], names=names)
 
     schema = ", ".join(f"`{c}` {'long' if c == 'doc_id' else docs.schema[c].dataType.simpleString()}" for c in names)
     return held.mapInArrow(run, schema)
