@@ -47,7 +47,7 @@ def ioi_histogram(onsets: DataFrame, keys: list[str], bins: int = 39, width: flo
     """(keys, groove): the density of gaps between onsets in bins from 0 on, the last one closed; for three onsets or more."""
     w = Window.partitionBy(*keys)
     gaps = onsets.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("gap", F.lead("t_sec").over(w.orderBy("idx")) - F.col("t_sec")).where("n > 2 AND gap IS NOT NULL")
-    at = F.when(F.col("gap") == bins * width, bins - 1).otherwise(F.floor(F.col("gap") / width)).cast("int")
+    at = F.when(F.col("gap") <= bins * width, F.least(F.floor(F.col("gap") / width), F.lit(bins - 1))).cast("int")
     held = gaps.withColumn("bin", F.when(at.between(0, bins - 1), at)).groupBy(*keys).agg(*[F.count(F.when(F.col("bin") == b, 1)).alias(f"b{b}") for b in range(bins)], F.count("bin").alias("many"))
     return held.select(*keys, F.array(*[F.when(F.col("many") > 0, F.round(F.col(f"b{b}") / (F.col("many") * width), 4)).otherwise(F.lit(0.0)) for b in range(bins)]).alias("groove"))
 

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("recording_id")
-ORDER = BY.orderBy("frame_idx")
+
+def by() -> WindowSpec:
+    return Window.partitionBy("recording_id")
+
+
+def ordered() -> WindowSpec:
+    return by().orderBy("frame_idx")
 
 
 def novelty(frames: DataFrame, features: list[str], half: int = 32) -> DataFrame:
@@ -17,12 +22,12 @@ def novelty(frames: DataFrame, features: list[str], half: int = 32) -> DataFrame
     half vectors before and after the frame, so windows of sums do it without the matrix. 0 within half of the ends.
     """
     norm = F.sqrt(sum((F.col(c) * F.col(c) for c in features), F.lit(0.0)))
-    unit = frames.withColumn("__norm", F.when(norm < 1e-10, 1.0).otherwise(norm)).withColumn("__n", F.count(F.lit(1)).over(BY))
-    before, after = ORDER.rowsBetween(-half, -1), ORDER.rowsBetween(0, half - 1)
+    unit = frames.withColumn("__norm", F.when(norm < 1e-10, 1.0).otherwise(norm)).withColumn("__n", F.count(F.lit(1)).over(by()))
+    before, after = ordered().rowsBetween(-half, -1), ordered().rowsBetween(0, half - 1)
     steps = [F.sum(F.col(c) / F.col("__norm")).over(before) - F.sum(F.col(c) / F.col("__norm")).over(after) for c in features]
     inside = (F.col("frame_idx") >= half) & (F.col("frame_idx") < F.col("__n") - half)
     raw = unit.withColumn("raw", F.when(inside, sum((s * s for s in steps), F.lit(0.0))).otherwise(0.0))
-    peak = F.max("raw").over(BY)
+    peak = F.max("raw").over(by())
     return raw.select("recording_id", "frame_idx", F.when(peak > 0, F.col("raw") / peak).otherwise(F.col("raw")).alias("novelty"))
 
 
@@ -31,9 +36,9 @@ def novelty_peaks(curve: DataFrame, height: float = 0.3, distance: int = 172) ->
 
     A plateau counts by its middle. Candidates are found by windows; only they go to the suppression.
     """
-    change = F.when(F.lag("novelty").over(ORDER) == F.col("novelty"), 0).otherwise(1)
-    runs = curve.withColumn("__new", change).withColumn("__run", F.sum("__new").over(ORDER)).groupBy("recording_id", "__run").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"), F.first("novelty").alias("novelty"))
-    order = BY.orderBy("a")
+    change = F.when(F.lag("novelty").over(ordered()) == F.col("novelty"), 0).otherwise(1)
+    runs = curve.withColumn("__new", change).withColumn("__run", F.sum("__new").over(ordered())).groupBy("recording_id", "__run").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"), F.first("novelty").alias("novelty"))
+    order = by().orderBy("a")
     top = runs.withColumn("before", F.lag("novelty").over(order)).withColumn("after", F.lead("novelty").over(order))
     top = top.where((F.col("novelty") > F.col("before")) & (F.col("novelty") > F.col("after")) & (F.col("novelty") >= height)).select("recording_id", F.floor((F.col("a") + F.col("b")) / 2).cast("long").alias("frame_idx"), "novelty")
 

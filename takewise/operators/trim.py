@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("recording_id")
-ORDER = BY.orderBy("frame_idx")
+
+def by() -> WindowSpec:
+    return Window.partitionBy("recording_id")
+
+
+def ordered() -> WindowSpec:
+    return by().orderBy("frame_idx")
+
+
 CANDIDATE = ["recording_id", "start_sec", "end_sec", "confidence", "method"]
 #: The order of the detectors, which decides between equals.
 DETECTORS = ["energy_wall", "rhythmic_regularity", "pitched_content"]
@@ -14,14 +21,14 @@ DETECTORS = ["energy_wall", "rhythmic_regularity", "pitched_content"]
 
 def smooth_same(frames: DataFrame, column: str, k: int, out: str = "smooth") -> DataFrame:
     """A moving mean of k frames, the missing ones at the ends being 0; null in a recording of fewer than k frames."""
-    window = ORDER.rowsBetween(-(k // 2), k - k // 2 - 1)
-    return frames.withColumn(out, F.when(F.count(F.lit(1)).over(BY) >= k, F.sum(column).over(window) / k))
+    window = ordered().rowsBetween(-(k // 2), k - k // 2 - 1)
+    return frames.withColumn(out, F.when(F.count(F.lit(1)).over(by()) >= k, F.sum(column).over(window) / k))
 
 
 def energy_wall(frames: DataFrame, k: int, frame_sec: float, least_sec: float = 15, column: str = "rms") -> DataFrame:
     """A start at the first rise of the first half that is over three times the median rise; the end at a fifth of the peak."""
     s = smooth_same(frames, column, k).where(F.col("smooth").isNotNull())
-    s = s.withColumn("rise", F.lead("smooth").over(ORDER) - F.col("smooth")).withColumn("n", F.count(F.lit(1)).over(BY))
+    s = s.withColumn("rise", F.lead("smooth").over(ordered()) - F.col("smooth")).withColumn("n", F.count(F.lit(1)).over(by()))
     limits = s.groupBy("recording_id").agg((3 * F.percentile(F.when(F.col("rise") > 0, F.col("rise")), 0.5)).alias("limit"), F.max("smooth").alias("peak"))
     s = s.join(limits, "recording_id")
     early = (F.col("rise") > F.col("limit")) & (F.col("frame_idx") < F.floor((F.col("n") - 1) / 2))
@@ -33,8 +40,8 @@ def energy_wall(frames: DataFrame, k: int, frame_sec: float, least_sec: float =
 
 def rhythmic_regularity(onsets: DataFrame, durations: DataFrame, least_sec: float = 15, window: int = 8) -> DataFrame:
     """A start where eight onsets in a row are most regular; the end behind the last eight that still are."""
-    order = BY.orderBy("idx")
-    g = onsets.withColumn("gap", F.lead("t_sec").over(order) - F.col("t_sec")).withColumn("n", F.count(F.lit(1)).over(BY))
+    order = by().orderBy("idx")
+    g = onsets.withColumn("gap", F.lead("t_sec").over(order) - F.col("t_sec")).withColumn("n", F.count(F.lit(1)).over(by()))
     ahead = order.rowsBetween(0, window - 2)
     g = g.withColumn("mean", F.avg("gap").over(ahead)).withColumn("cv", F.stddev_pop("gap").over(ahead) / F.col("mean")).withColumn("after", F.lead("t_sec", window).over(order))
     usable = F.col("mean") >= 0.1
@@ -50,7 +57,7 @@ def pitched_content(frames: DataFrame, k: int, frame_sec: float, run_frames: int
     s = smooth_same(frames, column, k).where(F.col("smooth").isNotNull())
     middle = s.groupBy("recording_id").agg((0.7 * F.percentile("smooth", 0.5)).alias("limit"))
     s = s.join(middle, "recording_id").withColumn("tonal", F.col("smooth") < F.col("limit"))
-    tonal = s.where("tonal").withColumn("island", F.col("frame_idx") - F.row_number().over(ORDER))
+    tonal = s.where("tonal").withColumn("island", F.col("frame_idx") - F.row_number().over(ordered()))
     runs = tonal.groupBy("recording_id", "island").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b")).where(F.col("b") - F.col("a") + 1 >= run_frames)
     ends = runs.groupBy("recording_id").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     inside = tonal.join(ends, "recording_id").where("frame_idx >= a AND frame_idx < b").groupBy("recording_id").agg(F.count(F.lit(1)).alias("many"))
@@ -62,7 +69,7 @@ def select_boundary(candidates: DataFrame, durations: DataFrame, viable: float =
     """One boundary per recording: the whole of it without candidates; the earliest if another starts much later, else the surest."""
     rank = F.array_position(F.array(*map(F.lit, DETECTORS)), F.col("method"))
     c = candidates.withColumn("rank", rank).withColumn("ok", (F.col("confidence") >= viable).cast("int"))
-    c = c.withColumn("some", F.max("ok").over(BY)).where("ok = some")  # all, if none is viable
+    c = c.withColumn("some", F.max("ok").over(by())).where("ok = some")  # all, if none is viable
     whole = [F.col(x) for x in CANDIDATE[1:]]
     got = c.groupBy("recording_id").agg(
         F.min_by(F.struct(*whole), F.struct("start_sec", "rank")).alias("first"),
