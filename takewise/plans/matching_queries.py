@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from takewise.operators import matching as m
 from takewise.operators import pairs as p
+from takewise.operators.catalog import matches_for_riff
 from takewise.plans import adapters as ad
-from takewise.plans.sql import TEMPO, cosine, over
+from takewise.plans.sql import TEMPO, WARP, cosine, over
 
 
 def _blocks(spark: SparkSession, riffs: DataFrame) -> int:
@@ -52,12 +53,31 @@ def weight_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return riffs.join(next_, "riff_id").select("riff_id", label.alias("weights"), m.weight(label, "contour").alias("contour"), m.weight(label, "groove").alias("groove"))
 
 
-def neighbours_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each riff with the one five places on, by expressions alone."""
-    riffs = ad.riffs(spark, sf_dir)
+def _five_on(riffs: DataFrame) -> DataFrame:
     a = riffs.select(F.col("riff_id").alias("k"), F.struct(*riffs.columns).alias("a"))
     b = riffs.select((F.col("riff_id") - 5).alias("k"), F.struct(*riffs.columns).alias("b"))
-    return m.compare(a.join(b, "k"))
+    return a.join(b, "k")
+
+
+def neighbours_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each riff with the one five places on, by expressions alone."""
+    return m.compare(_five_on(ad.riffs(spark, sf_dir)))
+
+
+def cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines of each riff with the one five places on."""
+    pairs = _five_on(ad.riffs(spark, sf_dir))
+    return pairs.select(F.col("a.riff_id").alias("riff_id"), *[F.round(m.cosine(F.col(f"a.{c}"), F.col(f"b.{c}")), 6).alias(c) for c in ("groove", "drums", "spectral")])
+
+
+def warps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of each riff's curve with that of the riff five places on, both ways round."""
+    pairs = _five_on(ad.riffs(spark, sf_dir))
+    return pairs.select(F.col("a.riff_id").alias("riff_id"), F.round(m.warped(F.col("a.contour"), F.col("b.contour")), 6).alias("there"), F.round(m.warped(F.col("b.contour"), F.col("a.contour")), 6).alias("back"))
+
+
+def riff_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches_for_riff(found(spark, sf_dir), 53).select("riff_a_id", "riff_b_id", "score", "side")
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +110,10 @@ QUERIES = {
     "m1_batch_split": batch_split,
     "m2_tempo_candidates": tempo_candidates,
     "m5_interval_prefilter": interval_prefilter,
+    "m4_cosines": cosines,
+    "m6_warps": warps,
     "m7_weight_choice": weight_choice,
+    "q11_matches_for_riff": riff_matches,
     "m8_neighbours_compared": neighbours_compared,
     "m9_matches_batch": matches_batch,
     "m9_matches_strict": matches_strict,
@@ -110,7 +133,21 @@ banded AS (SELECT best.*, CASE WHEN n <= 3 THEN CASE WHEN groove >= 0.75 AND dru
   WHEN score >= hi THEN 'strong' WHEN score <= lo THEN 'different' ELSE 'ambiguous' END AS band FROM best, cut)"""
 _LABEL = "CASE WHEN a.uniformity > 0.7 AND b.uniformity > 0.7 THEN 'blast' WHEN a.uniformity < 0.4 AND b.uniformity < 0.4 THEN 'groove' ELSE 'balanced' END"
 
+_NEXT = "FROM riffs a JOIN riffs b ON b.riff_id = a.riff_id + 5"
+_BACK = WARP.replace("ca", "@").replace("cb", "ca").replace("@", "cb")
+
 ORACLE_SQL = {
+    "m4_cosines": over("riffs", f"SELECT a.riff_id, {', '.join(f'round({cosine(f"a.{c}", f"b.{c}")}, 6) AS {c}' for c in ('groove', 'drums', 'spectral'))} {_NEXT}"),
+    "m6_warps": over("riffs", f"AND WITH x AS (SELECT a.riff_id, a.contour AS ca, b.contour AS cb {_NEXT}) SELECT riff_id, round({WARP}, 6) AS there, round({_BACK}, 6) AS back FROM x"),
+    "m8_neighbours_compared": over(
+        "riffs",
+        f"""AND WITH x AS (SELECT a.riff_id AS riff_a_id, b.riff_id AS riff_b_id, a.contour AS ca, b.contour AS cb, {TEMPO} AS t0, {_LABEL} AS weights,
+  {cosine("a.groove", "b.groove")} AS groove, {cosine("a.drums", "b.drums")} AS drums, {cosine("a.spectral", "b.spectral")} AS spectral {_NEXT}),
+y AS (SELECT *, CASE WHEN t0 >= 0.85 THEN 1.0 ELSE t0 END AS tempo, {WARP} AS contour FROM x)
+SELECT riff_a_id, riff_b_id, round(CASE weights WHEN 'blast' THEN 0.55 * contour + 0.10 * groove + 0.10 * drums + 0.05 * spectral + 0.20 * tempo WHEN 'groove' THEN 0.15 * contour + 0.35 * groove + 0.20 * drums + 0.10 * spectral + 0.20 * tempo
+  ELSE 0.30 * contour + 0.25 * groove + 0.15 * drums + 0.10 * spectral + 0.20 * tempo END, 4) AS score, round(groove, 4) AS groove, round(drums, 4) AS drums, round(spectral, 4) AS spectral, round(contour, 4) AS contour, round(tempo, 4) AS tempo, weights FROM y""",
+    ),
+    "q11_matches_for_riff": over("scored", "SELECT riff_a_id, riff_b_id, score, 'a' AS side FROM scored WHERE score >= 0.3 AND riff_a_id = 53 UNION ALL SELECT riff_a_id, riff_b_id, score, 'b' FROM scored WHERE score >= 0.3 AND riff_b_id = 53"),
     "m1_batch_split": over("riffs", "SELECT riff_id, recording_id, riff_index, tempo, uniformity FROM riffs WHERE recording_id % 10 = 0"),
     "m2_tempo_candidates": over("riffs", f"AND WITH c AS (SELECT a.riff_id AS riff_a_id, b.riff_id AS riff_b_id, {TEMPO} AS t {_PAIRS}) SELECT riff_a_id, riff_b_id, round(CASE WHEN t >= 0.85 THEN 1.0 ELSE t END, 6) AS similarity FROM c WHERE t >= 0.6"),
     "m5_interval_prefilter": over("riffs", f"SELECT a.riff_id AS riff_a_id, b.riff_id AS riff_b_id {_PAIRS} AND {TEMPO} >= 0.6 AND {cosine('a.intervals', 'b.intervals')} >= 0.15"),

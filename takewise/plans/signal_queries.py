@@ -103,7 +103,7 @@ QUERIES = {
     "c5_resampled": lambda s, d: ad.riffs(s, d).select("riff_id", _points(arrays.resampled(F.col("groove"), 10)).alias("points")),
     "c6_c7_standard_form": lambda s, d: ad.riffs(s, d).select("riff_id", contour.standard_form(F.col("groove"), 16).alias("f")).select("riff_id", _points("f.contour").alias("contour"), F.array_join(F.col("f.intervals").cast("array<string>"), ",").alias("intervals")),
     "g1_beats": _hours(lambda h: rhythm.assign_beats(_off(h), _beats(h), ["recording_id"]).select("recording_id", "idx", "beat_idx")),
-    "g2_pattern": _hours(lambda h: rhythm.beat_pattern(rhythm.assign_beats(_off(h), _beats(h), ["recording_id"]), ["recording_id"], "strength", 4).select("recording_id", _points("pattern").alias("pattern"), F.round("uniformity", 3).alias("uniformity"))),
+    "g2_pattern": _hours(lambda h: rhythm.beat_pattern(rhythm.assign_beats(_off(h), _beats(h), ["recording_id"]), ["recording_id"], "strength", 4).select("recording_id", _points("pattern").alias("pattern"), "uniformity")),
     "g3_tempo": _hours(lambda h: rhythm.tempo_from_beats(_beats(h), ["recording_id"])),
     "g4_spectral_mean": _frames(lambda f: rhythm.spectral_mean(f.withColumn("contrast", F.array("c0", "c1")), ["recording_id"]).select("recording_id", F.col("spectral")[0].alias("s0"), F.col("spectral")[1].alias("s1"))),
     "g5_histogram": _hours(lambda h: rhythm.ioi_histogram(h, ["recording_id"], 39, 0.05).select("recording_id", _points("groove").alias("groove"))),
@@ -151,7 +151,28 @@ _PTS = lambda v: f"array_to_string(list_transform({v}, lambda q: round(q * 10000
 _RES = lambda v, n: f"list_transform(range(0, {n}), lambda k: CASE WHEN k * len({v}) / ({n} - 1.0::DOUBLE) >= len({v}) - 1 THEN {v}[len({v})] ELSE {v}[(k * len({v}) // ({n} - 1)) + 1] + ({v}[(k * len({v}) // ({n} - 1)) + 2] - {v}[(k * len({v}) // ({n} - 1)) + 1]) * (k * len({v}) / ({n} - 1.0::DOUBLE) - (k * len({v}) // ({n} - 1))) END)"
 _BEAT = "bt AS (SELECT recording_id, idx // 4 AS b, t_sec, lead(t_sec) OVER (PARTITION BY recording_id ORDER BY idx) AS nxt FROM hours WHERE idx % 4 = 0), asg AS (SELECT h.recording_id, h.idx, b AS beat_idx, h.t_sec, h.strength FROM hours h JOIN bt ON bt.recording_id = h.recording_id AND h.t_sec >= bt.t_sec AND h.t_sec < bt.nxt WHERE h.idx % 4 <> 0)"
 
+_PITCHED = """f AS (SELECT recording_id, idx, CASE WHEN idx % 3 <> 0 THEN 12 * (log2(100 + strength) - log2(440.0::DOUBLE)) + 69 END AS note, avg(0.4 + (recording_id % 5) * 0.1::DOUBLE) OVER (PARTITION BY recording_id) AS c,
+  count(CASE WHEN idx % 3 <> 0 THEN 1 END) OVER (PARTITION BY recording_id) AS v, count(*) OVER (PARTITION BY recording_id) AS n FROM hours),
+k AS (SELECT *, last_value(note IGNORE NULLS) OVER a AS ln, last_value(CASE WHEN note IS NOT NULL THEN idx END IGNORE NULLS) OVER a AS li, first_value(note IGNORE NULLS) OVER b AS hn, first_value(CASE WHEN note IS NOT NULL THEN idx END IGNORE NULLS) OVER b AS hi FROM f WHERE round(c, 9) >= 0.5 AND v >= 0.3 * n AND v > 0
+  WINDOW a AS (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
 ORACLE_SQL = {
+    "c2_pitch_track": over("hours", f"AND WITH {_PITCHED} SELECT recording_id, idx AS frame_idx, round(CASE WHEN ln IS NULL THEN hn WHEN hn IS NULL OR hi = li THEN ln ELSE ln + (hn - ln) * (idx - li) / (hi - li) END, 6) AS midi FROM k"),
+    "c2_pitch_curves": over("hours", f"AND WITH {_PITCHED} SELECT recording_id, count(*) AS n FROM k GROUP BY 1"),
+    "c4_selected": over("riffs", """AND WITH q AS (SELECT riff_id, list_transform(range(1, len(contour)), lambda i: contour[i + 1] - contour[i]) AS d FROM riffs)
+SELECT riff_id, CASE WHEN riff_id % 9 / 2 < 1 THEN 'none' WHEN riff_id % 4 = 0 THEN 'pyin' ELSE 'centroid' END AS method, CASE WHEN riff_id % 9 / 2 < 1 THEN 0 WHEN riff_id % 4 = 0 THEN 16 ELSE 64 END::BIGINT AS n FROM q"""),
+    "c6_c7_standard_form": over("riffs", f"""AND WITH a AS (SELECT riff_id, {_RES('groove', 16)} AS v FROM riffs), b AS (SELECT *, list_sum(v) / 16 AS mu FROM a),
+c AS (SELECT *, sqrt(list_sum(list_transform(v, lambda q: (q - mu) * (q - mu))) / 16) AS sd FROM b), d AS (SELECT riff_id, list_transform(v, lambda q: CASE WHEN sd > 1e-8 THEN (q - mu) / sd ELSE 0 END) AS z FROM c),
+e AS (SELECT *, list_transform(range(1, 16), lambda i: z[i + 1] - z[i]) AS t FROM d), g AS (SELECT *, sqrt(list_sum(list_transform(t, lambda q: (q - list_sum(t) / 15) * (q - list_sum(t) / 15))) / 15) AS w FROM e)
+SELECT riff_id, {_PTS("list_transform(z, lambda y: round(y, 4))")} AS contour, array_to_string(list_transform(t, lambda q: CASE WHEN q > w THEN 2 WHEN q > 0.25 * w THEN 1 WHEN q < -w THEN -2 WHEN q < -0.25 * w THEN -1 ELSE 0 END::VARCHAR), ',') AS intervals FROM g"""),
+    "g2_pattern": over("hours", f"""AND WITH {_BEAT}, l AS (SELECT recording_id, beat_idx, list(strength ORDER BY t_sec) AS groove FROM asg GROUP BY 1, 2),
+r AS (SELECT recording_id, beat_idx, {_RES('groove', 4)} AS v FROM l), n AS (SELECT recording_id, list_transform(v, lambda q: CASE WHEN list_max(v) > 1e-8 THEN q / list_max(v) ELSE q END) AS v FROM r),
+m AS (SELECT recording_id, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS p FROM n GROUP BY 1), u AS (SELECT recording_id, p, list_sum(p) / 4 AS mu FROM m)
+SELECT recording_id, {_PTS("list_transform(p, lambda y: round(y, 4))")} AS pattern, round(CASE WHEN mu > 1e-8 THEN greatest(0, least(1, 1 - sqrt(list_sum(list_transform(p, lambda q: (q - mu) * (q - mu))) / 4) / mu)) ELSE 0.5 END, 4) AS uniformity FROM u"""),
+    "g5_histogram": over("hours", f"""AND WITH x AS (SELECT recording_id, lead(t_sec) OVER (PARTITION BY recording_id ORDER BY idx) - t_sec AS gap, count(*) OVER (PARTITION BY recording_id) AS n FROM hours),
+y AS (SELECT recording_id, CASE WHEN gap <= 39 * 0.05::DOUBLE THEN least(floor(gap / 0.05::DOUBLE), 38)::INTEGER END AS b FROM x WHERE n > 2 AND gap IS NOT NULL),
+z AS (SELECT recording_id, list(b) FILTER (b IS NOT NULL) AS l, count(b) AS m FROM y GROUP BY 1)
+SELECT recording_id, {_PTS("list_transform(range(0, 39), lambda k: CASE WHEN m > 0 THEN round(len(list_filter(l, lambda q: q = k)) / (m * 0.05::DOUBLE), 4) ELSE 0 END)")} AS groove FROM z"""),
     "t1_smooth": over("frames", "SELECT recording_id, frame_idx, round(CASE WHEN count(*) OVER (PARTITION BY recording_id) >= 4 THEN sum(rms) OVER (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 END, 6) AS smooth FROM frames"),
     "t2_energy_wall": over("frames", f"AND WITH {_ENERGY} {_OUT} energy"),
     "t3_regularity": over("hours", f"AND WITH {_REG} {_OUT} regular"),
