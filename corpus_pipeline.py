@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takewise.llm import minhash, packing, pii, substrings, weak_labels
+from takewise.llm import text as tx
 from takewise.session import checkpoint
 
 
@@ -18,17 +19,20 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label scorer rejects go."""
+    tx.short_batches(spark)
     return weak_labels.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (shingles of five words, 0.8 similar) the one with the smallest doc_id stays."""
+    tx.short_batches(spark)
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words or more that also start earlier go; what is left of a document stays."""
+    tx.short_batches(spark)
     return _measured(substrings.strip_passages(docs))
 
 
@@ -39,6 +43,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences: the place of each piece of each document."""
+    tx.short_batches(spark)
     return packing.pack(docs)
 
 

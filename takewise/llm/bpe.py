@@ -138,7 +138,7 @@ class Encoder:
     about most words each; words that aren't met again fall out of it and would be encoded again, with the same result.
     """
 
-    def __init__(self, merges: Merges, units: Callable, pieces: Callable, symbols: Callable, known: Callable = lambda piece: None, whole: Callable | None = None, most: int = 250_000):
+    def __init__(self, merges: Merges, units: Callable, pieces: Callable, symbols: Callable, known: Callable = lambda piece: None, whole: Callable | None = None, most: int = 100_000):
         self.merges, self.units, self.pieces, self.symbols, self.known, self.whole, self.most = merges, units, pieces, symbols, known, whole, most
         self.words: dict = {}
         self.older: dict = {}

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takewise.llm import host_rules, minhash, multi_index, packing, pii, substrings, suffix_groups, tokens, weak_labels
+from takewise.llm import text as tx
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx.short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that a task holds at once, in bytes.
@@ -52,7 +52,7 @@ class Numbering(dict):
 class WordHashes:
     """64-bit hashes of words, kept for the words of a block."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
         self.numbers, self.table = Numbering(), np.empty(0, np.uint64)
 
@@ -94,6 +94,13 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(joined(words, min(width, len(words))))
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: no more than rows of them go to a Python worker at once, whatever the session's larger setting says."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions(df: DataFrame, times: int = 1) -> int:
     """The cluster's number of shuffle partitions, which its owner sets to suit the input."""
     return times * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
