@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from takewise.llm import host_rules, minhash, multi_index, packing, pii, substrings, suffix_groups, tokens, weak_labels
 from takewise.llm import text as tx
+from takewise.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +77,3 @@ QUERIES = {
     "op10_best_fit": op10_best_fit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
