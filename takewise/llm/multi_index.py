@@ -126,8 +126,13 @@ def build(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     return Index(rows, first, second, counts, visit)
 
 
-def _shards(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first shard of each cell and its number of shards: neighbouring cells share one, a large cell has several."""
+def _shards(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shard of each cell and its number of shards: neighbouring cells share one, a large cell has several.
+
+    Shards have block vectors at most, and about equally many.
+    """
+    total = int(counts.sum())
+    most = max(1, -(-total // max(1, -(-total // block))))
     start, pieces, shard, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
     for cell, many in enumerate(counts.tolist()):
         if held and held + many > most:
@@ -141,7 +146,7 @@ def _shards(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return start, pieces
 
 
-def search(index: Index, queries: DataFrame, k: int = 20, block: int = 2048) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries (vec_id, vector): the k nearest of all indexed rows but the query's own.
 
     The nearest have the largest inner products in double precision, equal ones the smaller vec_id. A query visits the
@@ -174,7 +179,7 @@ def search(index: Index, queries: DataFrame, k: int = 20, block: int = 2048) ->
     held = index.rows.select(shard.cast("long").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("part"), "vec_id", "vector", "cell")
 
     def rank(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = []
+        shard, out = (asked.column("shard")[0].as_py() if asked.num_rows else 0), []
         if vectors.num_rows and asked.num_rows:
             ids, cell = vectors.column("vec_id").to_numpy(), vectors.column("cell").to_numpy()
             order = np.lexsort((ids, cell))
@@ -195,13 +200,14 @@ def search(index: Index, queries: DataFrame, k: int = 20, block: int = 2048) ->
                     near = np.flatnonzero(scores[i] >= low - 1e-9 * (1 + abs(low))) if low > -np.inf else np.flatnonzero(scores[i] > -np.inf)
                     exact = (x[near] * q[at + i]).sum(1)  # one order of adding for all, so equal vectors have equal scores
                     best = np.lexsort((ids[near], -exact))[:k]
-                    out.append([np.full(len(best), query[at + i]), ids[near[best]], exact[best]])
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
+                    out.append((int(query[at + i]), [{"far": -s, "vec_id": v} for s, v in zip(exact[best].tolist(), ids[near[best]].tolist())]))
+        kind = pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())]))
+        return pa.table([pa.array([q for q, _ in out], pa.int64()), pa.array([shard % 32] * len(out), pa.int64()), pa.array([b for _, b in out], kind)], names=["query_id", "salt", "best"])
 
     asked = queries.mapInArrow(place, "shard long, part long, query_id long, query array<double>, mask binary")
-    near = held.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(rank, "query_id long, vec_id long, score double")
-    best = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
+    best = held.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(rank, "query_id long, salt long, best array<struct<far:double,vec_id:long>>")
+    for keys in (["query_id", "salt"], ["query_id"]):  # in two steps, so that no list holds the results of all shards
+        best = best.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "one")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("one.vec_id").alias("vec_id"), (-F.col("one.far")).alias("score"))
 
 
