@@ -1,11 +1,14 @@
-"""A quality classifier without given labels: heuristic labellers vote, EM weighs them, a linear scorer learns the result."""
+"""A quality classifier without given labels: heuristic labellers vote, EM weighs them, a linear scorer learns the result.
+
+Abusive language is judged the same way by labellers and a scorer of its own, since an abusive text may be well written.
+"""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,22 @@ FUNCTION_WORDS = frozenset(
     al con del el ella los las lo no o para por se si su una y""".split()
 )
 
+#: Insults of the same languages in small letters: names people are called, and epithets.
+NAMES = frozenset(
+    """arsehole asshole bastard bitch buffoon clown coward creep cretin cunt dickhead dimwit douchebag dumbass dunce faggot fool fuckwit garbage halfwit idiot idiots
+    imbecile jackass jerk loser losers lowlife moron morons motherfucker nigger parasite prick psycho pussy retard scum scumbag slut thug trash twat vermin wanker whore wimp
+    abruti abrutie batard bouffon bâtard connard connards connasse crétin débile enculé enfoiré imbécile ordure pouffiasse pourriture putain pute racaille salaud salope
+    abschaum arschloch bastard depp drecksau dummkopf fotze hurensohn hure miststück schlampe schwachkopf schwuchtel spast trottel versager vollidiot wichser
+    basura bastardo cabrón capullo cretino escoria estúpido gilipollas hijoputa idiota imbécil maricón pendejo perdedor puta puto subnormal zorra""".encode().split()
+)
+EPITHETS = frozenset(
+    """brainless contemptible despicable disgusting dumb fucking gutless idiotic loathsome moronic pathetic repulsive retarded shitty spineless stupid vile worthless
+    dégoûtant dégoûtante lamentable minable méprisable pathétique répugnant répugnante stupide
+    armselig bescheuert dumm ekelhaft erbärmlich jämmerlich verdammt wertlos widerlich widerwärtig
+    asqueroso asquerosa despreciable estúpida patético patética repugnante""".encode().split()
+)
+_LETTERS = re.compile(rb"[a-z\x80-\xff]+")
+
 _SHAPE = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b for b in range(256))
 _LONG = [(re.compile(rb"a{3,}"), b"aa"), (re.compile(rb"A{3,}"), b"AA"), (re.compile(rb"0{3,}"), b"00")]
 _MARKS = b"#*$%&|<>=~^_{}[]\\"
@@ -66,10 +85,38 @@ LABELLERS = [
 ]
 
 
+def spoken(text: bytes) -> dict[bytes, int]:
+    """How often each word of letters occurs, in small letters; what is stuck to a word doesn't matter."""
+    return Counter(_LETTERS.findall(text.lower()))
+
+
+def abuse(words: dict[bytes, int]) -> dict[str, float]:
+    """What the labellers of abuse look at, from all words of a text."""
+    n = sum(words.values())
+    if not n:
+        return {"n": 0}
+    names, epithets = NAMES & words.keys(), EPITHETS & words.keys()
+    a, b = sum(words[w] for w in names), sum(words[w] for w in epithets)
+    return {"n": n, "insults": (a + b) / n, "names": a / n, "epithets": b / n, "kinds": len(names) + len(epithets)}
+
+
+#: Labellers of abuse, in the form of LABELLERS: shares of insults among the words, and different insults.
+ABUSE = [
+    ("insults", "insults", 0.005, 2, 0, 0.002, 1),
+    ("names", "names", 0.005, 2, 0, 0.002, 1),
+    ("epithets", "epithets", 0.005, 2, 0, 0.002, 1),
+    ("kinds", "kinds", 2, 1e9, 0, 1, 1),
+]
+
+
 def votes(text: bytes) -> str:
     """A letter for each labeller: b (bad), g (good) or - (none). An empty text has no votes."""
-    seen, out = counts(text), []
-    for _, what, bad_from, bad_to, good_from, good_to, least in LABELLERS:
+    return _votes(counts(text), LABELLERS)
+
+
+def _votes(seen: dict[str, float], labellers: list[tuple]) -> str:
+    out = []
+    for _, what, bad_from, bad_to, good_from, good_to, least in labellers:
         value = seen.get(what)
         if value is None:
             out.append("-")
@@ -145,54 +192,109 @@ class Model:
     posteriors: dict[str, float]
     rates: np.ndarray
     share: float
+    #: For abuse: the weight of each word, the constant, and the posterior of a clean text for each pattern of votes.
+    words: dict[bytes, float] = field(default_factory=dict)
+    constant: float = 0.0
+    clean: dict[str, float] = field(default_factory=dict)
+
+    def toxicity(self, text: bytes) -> float:
+        """How likely a text is abusive: what the labellers or the scorer of words say, whichever is more."""
+        words = spoken(text)
+        if not self.words or not words:
+            return 0.0
+        n, known = sum(words.values()), self.words.keys() & words.keys()
+        at = self.constant + sum(self.words[w] * _presence(words[w], n) for w in sorted(known))
+        return max(float(1 / (1 + np.exp(np.clip(at, -30, 30)))), 1 - self.clean.get(_votes(abuse(words), ABUSE), 1.0))
+
+
+def _presence(many: int, n: int) -> float:
+    """A word that is a hundredth of a text is present in full; one of a long text counts less."""
+    return min(1.0, (100 * many / n) ** 0.5)
+
+
+def train(x: np.ndarray, target: np.ndarray, rounds: int) -> np.ndarray:
+    """Weights of a logistic regression on posteriors; the bad, who are few, weigh as much as the good."""
+    size = x.shape[1]
+    balance = np.where(target < 0.5, 0.5 / max(1e-3, float((target < 0.5).mean() if len(x) else 1)), 1.0).clip(1, 20).astype(np.float32)
+    w, m, v = np.zeros(size, np.float32), np.zeros(size, np.float32), np.zeros(size, np.float32)
+    for step in range(1, rounds + 1):
+        if not len(x):
+            break
+        p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
+        slope = x.T @ (balance * (p - target)) / len(x) + 1e-5 * w
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w.astype(float)
 
 
-def fit(docs: DataFrame, sample: int = 8_000, size: int = 2048, rounds: int = 200) -> Model:
+def fit(docs: DataFrame, sample: int = 8_000, size: int = 2048, rounds: int = 200, vocabulary: int = 2_000) -> Model:
     """The scorer for docs (doc_id, text).
 
     All documents vote; what goes to the driver is the number of documents of each pattern of votes, of which there are
     3 to the power of the labellers at most. The scorer is a logistic regression on the posteriors of about sample
-    documents, chosen by a hash of doc_id: sample is the bound on what training reads.
+    documents, chosen by a hash of doc_id: sample is the bound on what training reads. Abuse has labellers, posteriors and
+    a regression of its own over the insults and the vocabulary words found in most documents of the same sample.
     """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([votes(t) for t in tx.binary(batch, "text")], pa.string())], names=["votes"])
+            texts = tx.binary(batch, "text")
+            yield pa.RecordBatch.from_arrays([pa.array([votes(t) for t in texts], pa.string()), pa.array([_votes(abuse(spoken(t)), ABUSE) for t in texts], pa.string())], names=["votes", "abuse"])
 
-    voted = tx.only(docs, "text").mapInArrow(vote, "votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("many"))
-    patterns = {r.votes: r.many for r in voted.collect()}
+    voted = tx.only(docs, "text").mapInArrow(vote, "votes string, abuse string").groupBy("votes", "abuse").agg(F.count(F.lit(1)).alias("many"))
+    patterns, abusive = Counter(), Counter()
+    for r in voted.collect():
+        patterns[r.votes] += r.many
+        abusive[r.abuse] += r.many
     posteriors, rates, share = estimate(patterns)
+    clean = estimate(abusive)[0]
     total = sum(patterns.values())
     if not total:
         return Model(np.zeros(size), posteriors, rates, share)
 
+    limit = min(1.0, sample / total)
+    chosen = tx.only(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(limit * (1 << 30))))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = Counter(w for t in tx.binary(batch, "text") for w in spoken(t))
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "many"])
+
+    often = chosen.select("text").mapInArrow(words, "word binary, many long").groupBy("word").agg(F.sum("many").alias("many")).where(F.col("many") >= max(3.0, 0.005 * limit * total))
+    common = [bytes(r.word) for r in often.orderBy(F.desc("many"), "word").limit(vocabulary).collect()]
+    place = {w: i for i, w in enumerate(sorted(NAMES | EPITHETS | set(common)))}
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = Hashing(size)
         for batch in batches:
             texts = tx.binary(batch, "text")
-            got = [hashing(t) for t in texts]
+            got, said = [hashing(t) for t in texts], [spoken(t) for t in texts]
+            known = [sorted((place[w], _presence(k, sum(c.values()))) for w, k in c.items() if w in place) for c in said]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float64())), pa.array([posteriors[votes(t)] for t in texts], pa.float64())],
-                names=["doc_id", "index", "value", "good"],
+                [
+                    batch.column("doc_id"),
+                    pa.array([i for i, _ in got], pa.list_(pa.int32())),
+                    pa.array([v for _, v in got], pa.list_(pa.float64())),
+                    pa.array([posteriors[votes(t)] for t in texts], pa.float64()),
+                    pa.array([[i for i, _ in k] for k in known], pa.list_(pa.int32())),
+                    pa.array([[v for _, v in k] for k in known], pa.list_(pa.float64())),
+                    pa.array([clean[_votes(abuse(c), ABUSE)] for c in said], pa.float64()),
+                ],
+                names=["doc_id", "index", "value", "good", "word", "presence", "clean"],
             )
 
-    limit = min(1.0, sample / total)
-    chosen = tx.only(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(limit * (1 << 30))))
-    rows = sorted(chosen.mapInArrow(features, "doc_id long, index array<int>, value array<double>, good double").collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.good))
+    kinds = "doc_id long, index array<int>, value array<double>, good double, word array<int>, presence array<double>, clean double"
+    rows = sorted(chosen.mapInArrow(features, kinds).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.good))
     x = np.zeros((len(rows), size), np.float32)
     for i, r in enumerate(rows):
         x[i, r["index"]] += r["value"]
-    target = np.array([r.good for r in rows], np.float32)
-    balance = np.where(target < 0.5, 0.5 / max(1e-3, float((target < 0.5).mean() if len(rows) else 1)), 1.0).clip(1, 20).astype(np.float32)
-    w, m, v = np.zeros(size, np.float32), np.zeros(size, np.float32), np.zeros(size, np.float32)
-    for step in range(1, rounds + 1):
-        if not len(rows):
-            break
-        p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
-        slope = x.T @ (balance * (p - target)) / len(rows) + 1e-5 * w
-        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
-        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(w.astype(float), posteriors, rates, share)
+    w = train(x, np.array([r.good for r in rows], np.float32), rounds)
+    x = np.zeros((len(rows), len(place) + 1), np.float32)
+    x[:, -1] = 1
+    for i, r in enumerate(rows):
+        x[i, r.word] = r.presence
+    said = train(x, np.array([r.clean for r in rows], np.float32), rounds).tolist()
+    return Model(w, posteriors, rates, share, dict(zip(place, said)), said[-1], clean)
 
 
 def probability(model: Model, index: np.ndarray, value: np.ndarray) -> float:
@@ -200,16 +302,20 @@ def probability(model: Model, index: np.ndarray, value: np.ndarray) -> float:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, score, posterior, kept): the scorer's probability of good, the labellers' one, and the decision."""
+    """(doc_id, score, posterior, toxicity, kept): the scorer's probability of good, the labellers' one, that of abuse, and the decision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = Hashing(len(model.weights))
         for batch in batches:
             texts = tx.binary(batch, "text")
             p = np.array([probability(model, *hashing(t)) for t in texts], float)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array([model.posteriors.get(votes(t), model.share) for t in texts], pa.float64()), pa.array([bool(a >= threshold and t.strip()) for a, t in zip(p, texts)], pa.bool_())], names=["doc_id", "score", "posterior", "kept"])
+            abusive = [model.toxicity(t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(p), pa.array([model.posteriors.get(votes(t), model.share) for t in texts], pa.float64()), pa.array(abusive, pa.float64()), pa.array([bool(a >= threshold and b < 0.5 and t.strip()) for a, b, t in zip(p, abusive, texts)], pa.bool_())],
+                names=["doc_id", "score", "posterior", "toxicity", "kept"],
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, posterior double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, posterior double, toxicity double, kept boolean")
 
 
 def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = 8_000, threshold: float = 0.5) -> DataFrame:
@@ -219,14 +325,14 @@ def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sampl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = Hashing(len(model.weights))
         for batch in batches:
-            good = [bool(t.strip()) and probability(model, *hashing(t)) >= threshold for t in tx.binary(batch, text)]
+            good = [bool(t.strip()) and probability(model, *hashing(t)) >= threshold and model.toxicity(t) < 0.5 for t in tx.binary(batch, text)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 8_000, threshold: float = 0.5) -> DataFrame:
-    """Each row's score, posterior and whether it is kept.
+    """Each row's score, posterior, toxicity and whether it is kept: whether it is good and not abusive.
 
     A null, empty or blank text is rejected. A row is judged by its text alone, so repeated rows and ties get equal
     verdicts; a null doc_id is passed on; an empty table gives an empty result. Other columns play no part.

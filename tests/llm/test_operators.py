@@ -305,6 +305,37 @@ def test_labels_held_out(spark):
     assert r.good > 0.98 and r.bad < 0.1
 
 
+def test_toxic_texts(spark):
+    r = random.Random(5)
+    plain = lambda n: [r.choice(["the", "of", "and", "river", "stone", "walks", "green", "to"]) for _ in range(n)]
+
+    def text(words):
+        return ". ".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)).capitalize() + "."
+
+    def planted(n, insults):
+        w = plain(n)
+        for x in insults:
+            w.insert(r.randrange(1, len(w)), x)
+        return text(w)
+
+    data = [(i, text(plain(54))) for i in range(300)]
+    data += [(1000 + i, planted(54, r.sample(["idiot", "moron", "pathetic", "worthless", "scum", "stupid", "Trottel", "connard", "imbécil"], 3))) for i in range(40)]
+    data += [(2000, planted(900, ["clown"])), (2001, "You idiot, you pathetic loser!")]
+    got = rows(weak_labels.classify(spark.createDataFrame(data, "doc_id long, text string")))
+    assert all(got[d].kept and got[d].toxicity < 0.5 for d, _ in data[:300] + data[-2:-1])
+    assert not any(got[d].kept or got[d].toxicity < 0.5 for d, _ in data[300:-2] + data[-1:])
+
+
+def test_toxic_labels_held_out(spark):
+    """Of the English documents labelled toxic, few are kept; of the good ones that are not toxic, nearly all."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {r.doc_id for r in weak_labels.keep_good(docs).collect()}
+    got = docs.select("doc_id", "lang").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    toxic, clean = [r.doc_id in kept for r in got if r.toxic and r.lang == "en"], [r.doc_id in kept for r in got if not r.toxic and r.quality]
+    assert len(toxic) > 30 and np.mean(toxic) < 0.1 and np.mean(clean) > 0.98
+
+
 def test_nearest(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(700, 16))
