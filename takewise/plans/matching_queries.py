@@ -98,7 +98,8 @@ def pairs_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    banded = p.evidence_band(p.best_pair_matches(found(spark, sf_dir, 0.8)))
+    """Groups over the pairs that P9 calls strong: its bands are cut over all matches, from the operator's own threshold."""
+    banded = p.evidence_band(p.best_pair_matches(found(spark, sf_dir)))
     return p.group_by_similarity(banded, ad.riffs(spark, sf_dir))
 
 

@@ -249,3 +249,14 @@ def test_tables(spark, tmp_path):
     (tmp_path / "r.json").write_text("\n".join(lines))
     r = tables.read_riffs(spark, str(tmp_path / "r.json")).first()
     assert (r.contour, r.intervals, r.groove, r.drums, r.tempo) == ([0.5, 0.7], [], [1.0], [], 120.0)
+
+
+def test_similarity_groups_follow_the_bands(spark):
+    """The groups are the components of what the query of P9 calls strong, by brute force."""
+    folder, queries = "/root/testdata/sf0.001", registry.queries()
+    got = {r.recording_id: r.group_id for r in queries["p10_similarity_groups"](spark, folder).collect()}
+    want = {r: r for r in got}
+    for r in queries["p9_evidence_band"](spark, folder).where("band = 'strong'").collect():
+        low, high = sorted((want[r.rec_lo], want[r.rec_hi]))
+        want = {k: low if v == high else v for k, v in want.items()}
+    assert got == want and len(set(got.values())) < 10
