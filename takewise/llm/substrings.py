@@ -62,7 +62,8 @@ def _without(text: bytes, words: list[bytes], spans: list[tuple[int, int]]) -> b
 def strip_passages(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
     """docs with text stripped of the passages that remove_passages finds, white space and all other columns unchanged.
 
-    A document that repeats passages from its first to its last word stays with an empty text.
+    A document that repeats passages from its first to its last word stays with an empty text. Rows without doc_id are
+    nobody's copies and stay as they are.
     """
     names = docs.columns
     inner = {c: c if c in ("doc_id", "text") else f"other_{i}" for i, c in enumerate(names)}  # no name clashes with those used on the way
@@ -81,7 +82,9 @@ def strip_passages(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else batch.column(inner[c]) for c in names], names=names)
 
     schema = ", ".join(f"`{c}` {'long' if c == 'doc_id' else docs.schema[c].dataType.simpleString()}" for c in names)
-    return held.mapInArrow(run, schema)
+    doc_id = F.col("doc_id").cast("long")
+    nameless = docs.where(doc_id.isNull()).select(*[doc_id.alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in names])
+    return held.mapInArrow(run, schema).union(nameless)
 
 
 def remove_passages(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:

@@ -422,3 +422,9 @@ def test_packing_empty(none):
     assert packing.pack(none).count() == 0
 
 
+def test_stripping_keeps_rows_without_doc_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    data = [(1, text, "a"), (2, text + " end", "b"), (None, text, "c"), (None, None, "d")]
+    got = substrings.strip_passages(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    assert got.columns == ["doc_id", "text", "source"]
+    assert {(r.source, r.doc_id, r.text and r.text.strip()) for r in got.collect()} == {("a", 1, text), ("b", 2, "end"), ("c", None, text), ("d", None, None)}
