@@ -6,17 +6,20 @@ import base64
 import heapq
 import json
 import re
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import regex
 
-from takewise.llm.text import Numbering
+from takewise.llm.text import Numbering, ragged
 
 _NONE = np.iinfo(np.int32).max
 #: The characters of Unicode's White_Space property.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_BLANK = re.compile("[\t-\r ]+")
 
 
 class Merges:
@@ -129,63 +132,111 @@ class Merges:
             out, at = np.concatenate(pieces), np.append(0, np.cumsum([len(x) for x in pieces])[:-1])
         return out, at
 
+    def by_turns(self, symbols: np.ndarray, starts: np.ndarray, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """The same result as replay: in each turn every word merges its own leftmost pair of lowest rank.
+
+        There are as many turns as merges in a word, so the few long words that are left at the end are replayed.
+        """
+        words = len(starts)
+        sizes = np.diff(np.append(starts, len(symbols)))
+        sym, word = symbols.astype(np.int64), np.repeat(np.arange(words), sizes)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def ranks_of(sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+            after = np.minimum(at + 1, len(sym) - 1)
+            return np.where((after > at) & (word[at] == word[after]), self.rank(sym[at], sym[after]), _NONE)
+
+        ranks = ranks_of(sym, word, np.arange(len(sym)))
+        while len(sym):
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least = np.minimum.reduceat(ranks, first)
+            ready = least == _NONE
+            size = np.diff(np.append(first, len(sym)))
+            if ready.any():
+                still = np.repeat(ready, size)
+                done.append((sym[still], word[still]))
+                sym, word, ranks = sym[~still], word[~still], ranks[~still]
+                least, size = least[~ready], size[~ready]
+                first = np.cumsum(size) - size
+            if len(first) <= few:
+                if len(first):
+                    ids, at = self.replay(sym, first)
+                    done.append((ids, np.repeat(word[first], np.diff(np.append(at, len(ids))))))
+                break
+            hit = np.flatnonzero(ranks == np.repeat(least, size))
+            owner = word[hit]
+            hit = hit[np.append(True, owner[1:] != owner[:-1])]
+            sym[hit] = self.made[ranks[hit]]
+            keep = np.ones(len(sym), bool)
+            keep[hit + 1] = False
+            place = hit - np.arange(len(hit))  # where the merged symbols stand once the others are gone
+            sym, word, ranks = sym[keep], word[keep], ranks[keep]
+            ranks[place] = ranks_of(sym, word, place)
+            before = place[(place > 0)] - 1
+            ranks[before] = ranks_of(sym, word, before)
+        ids, word = (np.concatenate(x) for x in zip(*done)) if done else (sym, word)
+        order = np.argsort(word, kind="stable")
+        return ids[order].astype(np.int32), np.searchsorted(word[order], np.arange(words))
+
 
 class Encoder:
-    """Texts to ids, word by word, with a table of the words met so far.
+    """Texts to ids, piece by piece, with a table of the pieces met so far.
 
-    units cuts a text into words that are encoded independently of what stands around them; pieces cuts such a word
-    into what merges work on, or returns None for words that only whole(word) can encode. The table holds two generations of
-    about most words each; words that aren't met again fall out of it and would be encoded again, with the same result.
+    cut gives a text's pieces, which are encoded independently of what stands around them; symbols turns the bytes of
+    many pieces, and where each ends, into what merge starts from. Pieces that known has an id for need no merges, and
+    those that begin with a line break are words for whole. The table is emptied once it holds more than most pieces;
+    what is met again is encoded again, with the same result.
     """
 
-    def __init__(self, merges: Merges, units: Callable, pieces: Callable, symbols: Callable, known: Callable = lambda piece: None, whole: Callable | None = None, most: int = 100_000):
-        self.merges, self.units, self.pieces, self.symbols, self.known, self.whole, self.most = merges, units, pieces, symbols, known, whole, most
-        self.words: dict = {}
-        self.older: dict = {}
-        self.small: dict = {}
-
-    def ids(self, texts: list) -> list[list[bytes]]:
-        """For each text its words' ids, each as little-endian unsigned 32-bit numbers."""
-        if len(self.words) > self.most:
-            self.words, self.older, self.small = {}, self.words, {}
-        numbers = Numbering()
-        coded = [np.fromiter(map(numbers.__getitem__, self.units(text)), np.int32) for text in texts]
-        words, older, fresh = self.words, self.older, []
-        for word in numbers:
-            if word not in words:
-                if word in older:
-                    words[word] = older[word]
-                else:
-                    fresh.append(word)
-        self._learn(fresh)
-        table = [words[w] for w in numbers]
-        return [[table[c] for c in codes.tolist()] for codes in coded]
-
-    def _learn(self, fresh: list) -> None:
-        cut, needed = {}, {}
-        for word in fresh:
-            pieces = self.pieces(word)
-            if pieces is None:
-                self.words[word] = np.asarray(self.whole(word), "<u4").tobytes()
-                continue
-            cut[word] = pieces
-            for piece in pieces:
-                if piece not in self.small and piece not in needed:
-                    got = self.known(piece)
-                    if got is None:
-                        needed[piece] = None
-                    else:
-                        self.small[piece] = np.asarray([got], "<u4").tobytes()
-        if needed:
-            symbols = [self.symbols(piece) for piece in needed]
-            lengths = np.fromiter(map(len, symbols), np.int64, len(symbols))
-            starts = np.append(0, np.cumsum(lengths)[:-1])
-            ids, at = self.merges.replay(np.concatenate(symbols), starts)
-            raw, ends = ids.astype("<u4").tobytes(), np.append(at[1:], len(ids)).tolist()
-            for piece, a, b in zip(needed, at.tolist(), ends):
-                self.small[piece] = raw[4 * a : 4 * b]
-        for word, pieces in cut.items():
-            self.words[word] = self.small[pieces[0]] if len(pieces) == 1 else b"".join([self.small[p] for p in pieces])
+    def __init__(self, merge: Callable, cut: Callable, symbols: Callable, known: Callable | None = None, whole: Callable | None = None, most: int = 500_000):
+        self.merge, self.cut, self.symbols, self.known, self.whole, self.most = merge, cut, symbols, known, whole, most
+        self._empty()
+
+    def _empty(self) -> None:
+        self.numbers, self.flat = Numbering(), np.empty(0, np.uint32)
+        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def ids(self, texts: list) -> tuple[np.ndarray, list[int]]:
+        """The ids of all texts, one text after the other, and how many each text has."""
+        if len(self.numbers) > self.most:
+            self._empty()
+        known, coded, many = len(self.numbers), [np.empty(0, np.int32)], []
+        for text in texts:
+            pieces = self.cut(text)
+            many.append(len(pieces))
+            coded.append(np.fromiter(map(self.numbers.__getitem__, pieces), np.int32, len(pieces)))
+        if len(self.numbers) > known:
+            self._learn(list(islice(self.numbers, known, None)))
+        codes = np.concatenate(coded)
+        length = self.length[codes]
+        ends = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(many, dtype=np.int64))]
+        return ragged(self.flat, self.start[codes], length), np.diff(ends).tolist()
+
+    def _learn(self, fresh: list[str]) -> None:
+        raw = [piece.encode() for piece in fresh]
+        length, flat, start = np.zeros(len(raw), np.int64), [self.flat], np.zeros(len(raw), np.int64)
+        done, end = np.zeros(len(raw), bool), len(self.flat)
+        if self.known:
+            number = np.fromiter(map(self.known, raw), np.int64, len(raw))
+            done = number >= 0
+            length[done], start[done] = 1, end + np.arange(int(done.sum()))
+            flat.append(number[done].astype(np.uint32))
+            end += len(flat[-1])
+        if self.whole:
+            for i in [i for i, piece in enumerate(fresh) if piece[0] == "\n"]:
+                got = np.asarray(self.whole(fresh[i][1:]), np.uint32)
+                done[i], length[i], start[i] = True, len(got), end
+                flat.append(got)
+                end += len(got)
+        rest = np.flatnonzero(~done)
+        if len(rest):
+            raw = raw if len(rest) == len(raw) else [raw[i] for i in rest.tolist()]
+            stops = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+            ids, at = self.merge(self.symbols(np.frombuffer(b"".join(raw), np.uint8), stops), np.append(0, stops[:-1]))
+            length[rest], start[rest] = np.diff(np.append(at, len(ids))), end + at
+            flat.append(ids.astype(np.uint32))
+        self.flat = np.concatenate(flat)
+        self.start, self.length = np.append(self.start, start), np.append(self.length, length)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -193,26 +244,51 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
 
 
+def _within_latin1(pattern: str) -> re.Pattern | None:
+    """A pattern of letters, numbers and white space by Unicode property for texts of the first 256 characters alone.
+
+    There the properties are short lists, and the plain module does without the tables of the larger one. None if the
+    pattern names another property.
+    """
+    classes = {r"\p{L}": "L", r"\p{N}": "N", r"\s": "Z", r"\S": "Z"}
+    first = [chr(i) for i in range(256)]
+    lists = {k: re.escape("".join(c for c in first if (re.match(f"[{_SPACE}]", c) if kind == "Z" else unicodedata.category(c)[0] == kind))) for k, kind in classes.items()}
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        name = next((k for k in classes if pattern.startswith(k, at)), None)
+        if name is None:
+            if pattern[at : at + 2] in (r"\p", r"\P"):
+                return None
+            inside = pattern[at] == "[" or inside and pattern[at] != "]"
+            out.append(pattern[at])
+            at += 1
+        elif inside and name == r"\S":
+            return None
+        else:
+            out.append(lists[name] if inside else f"[{'^' if name == r'\S' else ''}{lists[name]}]")
+            at += len(name)
+    return re.compile("".join(out))
+
+
 @lru_cache(maxsize=2)
-def byte_encoder(path: str, pattern: str) -> tuple[Encoder, list[bytes]]:
-    """The encoder for a file of byte ranks, and the bytes of each id."""
+def byte_encoder(path: str, pattern: str) -> tuple[Encoder, np.ndarray, np.ndarray]:
+    """The encoder for a file of byte ranks, and the bytes of all ids in a row with where each id's begin."""
     ranks = read_ranks(path)
     rows = [(ranks[token[:k]], ranks[token[k:]], rank) for token, rank in ranks.items() for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks]
     left, right, rank = np.array(rows, np.int64).T
     single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
     split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-    units = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-    encoder = Encoder(
-        Merges(left, right, rank, rank),
-        units.findall,
-        lambda word: [p.encode() for p in split.findall(word)],
-        lambda piece: single[np.frombuffer(piece, np.uint8)],
-        ranks.get,
-    )
+    simple = _within_latin1(pattern)
+    beyond = re.compile("[^\0-\xff]")
+
+    def cut(text: str) -> list[str]:
+        return split.findall(text) if simple is None or beyond.search(text) else simple.findall(text)
+
+    encoder = Encoder(Merges(left, right, rank, rank).replay, cut, lambda values, stops: single[values], known=lambda piece: ranks.get(piece, -1))
     back = [b""] * (max(ranks.values()) + 1)
     for token, number in ranks.items():
         back[number] = token
-    return encoder, back
+    return encoder, np.frombuffer(b"".join(back), np.uint8), np.append(0, np.cumsum([len(x) for x in back]))
 
 
 def visible_bytes() -> dict[int, str]:
@@ -240,19 +316,26 @@ def word_encoder(path: str) -> Encoder:
     shown = visible_bytes()
     inner = np.array([vocabulary[shown[b]] for b in range(256)], np.int32)
     last = np.array([vocabulary[shown[b] + end] for b in range(256)], np.int32)
-    plain = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-    cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
-
-    def pieces(word: bytes) -> list[bytes] | None:
-        text = word.decode()
-        if "<|" in text or not plain.fullmatch(text):
-            return None
-        return [p.encode() for p in cut.findall(text.lower())]
+    letters = "\xdf-\xf6\xf8-\xff"
+    cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{letters}]+|[0-9]|[^\t-\r a-z0-9{letters}]+")
+    control = re.compile("[\0-\x08\x0e-\x1f\x7f]")
+    strange = re.compile("[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\\|")
+
+    def pieces(text: bytes) -> list[str]:
+        text = text.decode()
+        if text.isascii() and "<|" not in text and not control.search(text) or not strange.search(text):
+            return cut.findall(text.lower())
+        out: list[str] = []
+        for word in _BLANK.split(text):
+            if strange.search(word):
+                out.append("\n" + word)
+            elif word:
+                out += cut.findall(word.lower())
+        return out
 
-    def symbols(piece: bytes) -> np.ndarray:
-        values = np.frombuffer(piece, np.uint8)
+    def symbols(values: np.ndarray, stops: np.ndarray) -> np.ndarray:
         out = inner[values]
-        out[-1] = last[values[-1]]
+        out[stops - 1] = last[values[stops - 1]]
         return out
 
-    return Encoder(Merges(left, right, np.arange(len(merges)), made), bytes.split, pieces, symbols, whole=lambda word: library.encode(word.decode(), add_special_tokens=False).ids)
+    return Encoder(Merges(left, right, np.arange(len(merges)), made).by_turns, pieces, symbols, whole=lambda word: library.encode(word, add_special_tokens=False).ids)

@@ -26,11 +26,12 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail, step = bpe.word_encoder(model), np.array([end], "<u4").tobytes(), 4 * capacity
+        encoder, tail, step = bpe.word_encoder(model), np.array([end], "<u4"), 4 * capacity
         for ids, texts in tx.blocks(batches):
             out: list[tuple] = []
-            for doc, words in zip(ids, encoder.ids(texts)):
-                raw = b"".join(words) + tail
+            values, lengths = encoder.ids(texts)
+            for doc, stop, many in zip(ids, np.cumsum(lengths).tolist(), lengths):
+                raw = np.append(values[stop - many : stop], tail).tobytes()
                 for k, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
                     out.append((doc, k, at // 4, len(part) // 4, part))

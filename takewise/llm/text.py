@@ -94,6 +94,21 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(joined(words, min(width, len(words))))
 
 
+def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, part: int = 1 << 20) -> np.ndarray:
+    """The runs of values that begin at starts, one after the other; indices are made for about part values at a time."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    out, at = np.empty(total, values.dtype), 0
+    shift = starts - (ends - lengths)
+    while at < len(ends):
+        low = int(ends[at] - lengths[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + part, side="right")))
+        high = int(ends[to - 1])
+        out[low:high] = values[np.arange(low, high) + np.repeat(shift[at:to], lengths[at:to])]
+        at = to
+    return out
+
+
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts are long: no more than rows of them go to a Python worker at once, whatever the session's larger setting says."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

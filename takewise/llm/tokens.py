@@ -20,24 +20,19 @@ def _lists(values: np.ndarray, lengths: list[int], kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values, kind))
 
 
-def _joined(words: list[list[bytes]]) -> tuple[np.ndarray, list[int]]:
-    raw = [b"".join(x) for x in words]
-    return np.frombuffer(b"".join(raw), "<u4").astype(np.int32), [len(x) // 4 for x in raw]
-
-
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str = BYTE_RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, ids array<int>) of whole texts by byte-level merges, each match of pattern by itself.
 
-    Each task replays all merges over the distinct words of a block of its documents; a match that is a token as it
-    stands needs no merges. A null or empty text has no ids. Special tokens' strings are ordinary text. A row is
+    Each task replays all merges over the distinct matches that are new in a block of its documents; a match that is a
+    token as it stands needs no merges. A null or empty text has no ids. Special tokens' strings are ordinary text. A row is
     encoded by itself, so repeated rows and ties give equal ids; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = bpe.byte_encoder(ranks, pattern)
+        encoder = bpe.byte_encoder(ranks, pattern)[0]
         for ids, texts in tx.blocks(batches):
-            values, lengths = _joined(encoder.ids([t.decode() for t in texts]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(values, lengths, pa.int32())], names=["doc_id", "ids"])
+            values, lengths = encoder.ids([t.decode() for t in texts])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(values.view(np.int32), lengths, pa.int32())], names=["doc_id", "ids"])
 
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -46,12 +41,17 @@ def decode(encoded: DataFrame, ranks: str = BYTE_RANKS, pattern: str = public_to
     """(doc_id, ids, decoded binary): the bytes that the ids stand for. Null ids decode to no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, back = bpe.byte_encoder(ranks, pattern)
+        _, back, start = bpe.byte_encoder(ranks, pattern)
+        size = np.diff(start)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                held = [b"".join(map(back.__getitem__, x or ())) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(held, pa.binary())], names=["doc_id", "ids", "decoded"])
+                lists = part.column("ids")
+                values = lists.flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+                stops = np.append(0, np.cumsum(size[values]))[np.append(0, ends)]
+                held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(stops), pa.py_buffer(tx.ragged(back, start[values], size[values]))])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, held.cast(pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return tx.only(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
@@ -98,8 +98,8 @@ def section_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, back = bpe.byte_encoder(ranks, pattern)
-        sizes = np.array([len(x) for x in back], np.int64)
+        encoder, _, first = bpe.byte_encoder(ranks, pattern)
+        sizes = np.diff(first)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             given = batch.column("spans").to_pylist() if spans else None
@@ -110,7 +110,8 @@ def section_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     held += len(texts[end]) + 64
                     end += 1
                 out: list[list[np.ndarray]] = []
-                for k, words in zip(range(at, end), encoder.ids(texts[at:end])):
+                whole, lengths = encoder.ids(texts[at:end])
+                for k, stop in zip(range(at, end), np.cumsum(lengths).tolist()):
                     if spans:
                         rows = [(s["start"], s["end"]) for s in given[k] or ()]
                         starts, ends = np.array(rows, np.int64).reshape(-1, 2).T
@@ -118,11 +119,11 @@ def section_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         starts, ends = line_sections(texts[k])
                     else:
                         continue
-                    values = np.frombuffer(b"".join(words), "<u4")
-                    stop = np.cumsum(sizes[values])
+                    values = whole[stop - lengths[k - at] : stop]
+                    ends_at = np.cumsum(sizes[values])
                     raw = np.frombuffer(texts[k].encode(), np.uint8)
                     chars = np.cumsum((raw & 0xC0) != 0x80)
-                    start_char, end_char = (chars[stop - sizes[values]] - 1, chars[stop - 1]) if len(raw) else (stop, stop)
+                    start_char, end_char = (chars[ends_at - sizes[values]] - 1, chars[ends_at - 1]) if len(raw) else (ends_at, ends_at)
                     own = allocate(start_char, end_char, starts, ends)
                     inside = own >= 0
                     crossing = inside.copy()
