@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from takewise.session import checkpoint
+
 SET_KEEPS = ["recording_id", "creation_time", "filename", "file_hash", "uploaded_at"]
 
 
@@ -103,20 +105,23 @@ def rename(table: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     return _changed(table, _last(wanted, key, "title"), key, title=F.col("__e.title"))
 
 
-def merge_songs(recordings: DataFrame, songs: DataFrame, edits: DataFrame, most: int = 64) -> tuple[DataFrame, DataFrame]:
+def merge_songs(recordings: DataFrame, songs: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(recordings, songs): recordings of from_id go to into_id and from_id is deleted, edit by edit in order of seq.
 
-    Chains are followed: what went into a song that is merged later goes on with it. The map of songs is doubled, each
-    song jumping to where its target goes, until nothing changes; it is as small as the table of edits.
+    What went into a song goes on with the next later merge of that song; a merge that came before doesn't touch it. So
+    each edit has at most one follower, of a later seq, and there are no cycles: A into B, then B into A, leaves all in
+    A, though both songs are deleted. The chains are halved until all end, as many times as the logarithm of the longest.
     """
-    first = edits.where("from_id <> into_id").groupBy("from_id").agg(F.min_by("into_id", "seq").alias("into_id"))
-    for _ in range(most):
-        step = first.alias("a").join(first.alias("b"), F.col("a.into_id") == F.col("b.from_id"), "left")
-        moved = step.select(F.col("a.from_id").alias("from_id"), F.coalesce("b.into_id", "a.into_id").alias("into_id"), F.col("b.from_id").isNotNull().alias("open"))
-        again = moved.where("open AND from_id <> into_id").limit(1).count()
-        first = moved.select("from_id", "into_id")
-        if not again:
-            break
+    steps = edits.where("from_id <> into_id AND seq IS NOT NULL").groupBy("from_id", "seq").agg(F.min("into_id").alias("into_id"))
+    at = steps.select(F.col("from_id").alias("song"), "seq", F.lit(0).alias("side"), "from_id", "into_id")
+    to = steps.select(F.col("into_id").alias("song"), "seq", F.lit(1).alias("side"), "from_id", "into_id")
+    later = Window.partitionBy("song").orderBy("seq", "side").rowsBetween(1, Window.unboundedFollowing)
+    follower = F.first(F.when(F.col("side") == 0, F.struct("from_id", "seq")), ignorenulls=True).over(later)
+    chain = checkpoint(at.union(to).withColumn("next", follower).where("side = 1").select("from_id", "seq", "into_id", "next"))
+    while chain.where("next IS NOT NULL").limit(1).count():
+        b = chain.select(F.struct("from_id", "seq").alias("next"), F.col("into_id").alias("far"), F.col("next").alias("beyond"))
+        chain = checkpoint(chain.join(b, "next", "left").select("from_id", "seq", F.coalesce("far", "into_id").alias("into_id"), F.col("beyond").alias("next")))
+    first = chain.groupBy("from_id").agg(F.min_by("into_id", "seq").alias("into_id"))
     out = recordings.join(first, recordings.song_id == first.from_id, "left").select(*[F.coalesce("into_id", "song_id").alias(c) if c == "song_id" else F.col(c) for c in recordings.columns])
     return out, songs.join(first, songs.song_id == first.from_id, "left_anti")
 

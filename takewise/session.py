@@ -24,11 +24,14 @@ def session(app: str = "takewise", **conf: str) -> SparkSession:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage of df in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is absent, as in tests, a temporary folder takes its place.
+    Where the setting is absent a temporary folder takes its place in local mode, as in tests; on a cluster, whose
+    machines would not see each other's folders, that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(folder)
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()

@@ -1,7 +1,11 @@
 """Hand-worked cases and properties."""
 
 import json
+import pathlib
 import random
+import shutil
+import subprocess
+import sys
 import wave
 
 import numpy as np
@@ -9,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from takewise.functions import arrays
-from takewise.operators import catalog, contour, edits, frames, graph, ingest, matching, pairs, rhythm, segment, trim
+from takewise.operators import catalog, contour, edits, frames, graph, ingest, matching, pairs, report, rhythm, segment, trim
 from takewise.plans import registry
 from takewise.sources import audio, tables
 from takewise.streaming import library
@@ -260,3 +264,51 @@ def test_similarity_groups_follow_the_bands(spark):
         low, high = sorted((want[r.rec_lo], want[r.rec_hi]))
         want = {k: low if v == high else v for k, v in want.items()}
     assert got == want and len(set(got.values())) < 10
+
+
+def test_merges_go_in_order_of_seq(spark):
+    schema = "from_id string, into_id string, seq int"
+
+    def merged(rows):
+        recordings = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (4, None)], "recording_id long, song_id string")
+        songs = spark.createDataFrame([("A",), ("B",), ("C",)], "song_id string")
+        out, left = edits.merge_songs(recordings, songs, spark.createDataFrame(rows, schema))
+        return {r.recording_id: r.song_id for r in out.collect()}, {r.song_id for r in left.collect()}
+
+    def one_by_one(rows):
+        at, left = {1: "A", 2: "B", 3: "C", 4: None}, {"A", "B", "C"}
+        for source, target, _ in sorted(rows, key=lambda r: r[2]):
+            if source != target:
+                at, left = {k: target if v == source else v for k, v in at.items()}, left - {source}
+        return at, left
+
+    cases = [[("A", "B", 1), ("B", "A", 2)], [("B", "C", 1), ("A", "B", 2)], [("A", "B", 1), ("B", "C", 2), ("C", "A", 3), ("A", "B", 4)], [("A", "A", 1)], []]
+    for rows in cases:
+        assert merged(rows) == one_by_one(rows)
+
+
+def test_scores_are_rounded_as_binary_values(spark):
+    values = [0.5035, 0.5045, 0.0625, 0.0, 1.0, 0.9995, 0.1235]
+    rows = [(i, i + 100, v, v, v, v, v, v, "blast") for i, v in enumerate(values)]
+    found = spark.createDataFrame(rows, "rec_lo long, rec_hi long, score double, groove double, drums double, contour double, spectral double, tempo double, weights string")
+    names = spark.createDataFrame([], "recording_id long, filename string")
+    got = {r.rec_lo: r.block for r in report.similarity_section(found, names).collect()}
+    assert all(f"Overall: {v:.3f}\n" in got[i] and f"Drums: {v:.3f} " in got[i] for i, v in enumerate(values))
+
+
+def test_the_later_batch_holds(spark):
+    recordings = spark.createDataFrame([("1", "song", "ungrouped", None)], "recording_id string, kind string, state string, song_id string")
+    songs = spark.createDataFrame([], "song_id string, title string, notes string")
+    groups = spark.createDataFrame([("9", 0, "nine", "", None, ["1"]), ("10", 0, "ten", "", None, ["1"])], "batch_id string, place int, title string, notes string, existing_song_id string, recording_ids array<string>")
+    assert report.apply_grouping(groups, recordings, songs, "2025-01-01")[0].first().song_id == "song-10-0"
+
+
+def test_without_the_corpus_operators(tmp_path):
+    """The entry points and the library's queries work in a copy that lacks the operators and the pipeline, or the operators alone."""
+    root = pathlib.Path(__file__).parent.parent
+    shutil.copytree(root / "takewise", tmp_path / "takewise", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pairs_best' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    (tmp_path / "corpus_pipeline.py").write_text("import takewise.llm\n")
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
