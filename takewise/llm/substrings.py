@@ -63,7 +63,7 @@ def strip_passages(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFram
     """docs with text stripped of the passages that remove_passages finds, white space and all other columns unchanged.
 
     A document that repeats passages from its first to its last word stays with an empty text. Rows without doc_id are
-    nobody's copies and stay as they are.
+    nobody's copies and stay as they are. Columns may have any names.
     """
     names = docs.columns
     inner = {c: c if c in ("doc_id", "text") else f"other_{i}" for i, c in enumerate(names)}  # no name clashes with those used on the way
@@ -82,17 +82,17 @@ def strip_passages(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else batch.column(inner[c]) for c in names], names=names)
 
     schema = ", ".join(f"`{c}` {'long' if c == 'doc_id' else docs.schema[c].dataType.simpleString()}" for c in names)
-    doc_id = F.col("doc_id").cast("long")
-    nameless = docs.where(doc_id.isNull()).select(*[doc_id.alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in names])
-    return held.mapInArrow(run, schema).union(nameless)
+    return held.mapInArrow(run, schema)
 
 
 def remove_passages(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept) of each document.
 
     Each word is removed that a window of consecutive words covers whose sequence also starts earlier. spans are the
-    removed runs of words; kept are the other words, joined by one space. A null or empty text, or one shorter than a window, loses nothing (null: kept is
-    empty). Repeated rows of one document are the same document and give equal rows; rows without doc_id are left out.
+    removed runs of words; kept are the other words, joined by one space. A null or empty text, or one shorter than a
+    window, loses nothing (null: kept is empty). Equal rows are the same document and give equal rows; different texts
+    of one doc_id are documents in order of their SHA-256; rows without doc_id lose nothing. A very long text is cut in
+    one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

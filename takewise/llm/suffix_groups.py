@@ -87,6 +87,102 @@ def suffix_array(symbols: list[int]) -> list[int]:
     return out
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges that begin at starts, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """suffix_array of many texts at once: each in its own part of the result, counted from its own start.
+
+    The texts take their steps together: in one step each of them goes through its highest group that is left, and in
+    one turn of the last pass each places the suffixes before one suffix. A group is a run of slots, named by the first;
+    what moves up goes to the last slots of its group. The work is that of the single construction, in passes over all
+    members of the groups of a step. Texts of like length are best put together, as there are as many turns as the
+    longest has symbols.
+    """
+    n, sizes = len(symbols), np.asarray(sizes, np.int64)
+    base = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    member = np.lexsort((symbols, text))  # the suffix in each slot
+    slot = np.empty(n, np.int64)
+    slot[member] = np.arange(n)
+    same = np.zeros(n, bool)
+    same[1:] = (symbols[member[1:]] == symbols[member[:-1]]) & (text[1:] == text[:-1])
+    first = np.flatnonzero(~same)
+    size, length = np.zeros(n, np.int64), np.ones(n, np.int64)  # of the group that starts at a slot
+    size[first] = np.diff(np.append(first, n))
+    group = np.full(n + 1, -1, np.int64)  # the last place stands for what is before a text, below all groups
+    group[member] = np.repeat(first, size[first])
+    pointer = np.full(n + 1, -1, np.int64)
+    moving = np.zeros(n, bool)
+    left = np.flatnonzero(sizes > 0)
+    edge, current = base + sizes, np.zeros(len(sizes), np.int64)
+    while len(left):
+        low = group[member[edge[left] - 1]]
+        current[left] = low
+        many = edge[left] - low
+        own = member[_spread(low, many)]
+        least = np.repeat(low, many)
+        j = np.where(own == base[text[own]], -1, own - 1)
+        pointer[own] = j
+        open_ = np.flatnonzero(group[j] >= least)
+        while len(open_):  # suffixes of the group itself are skipped by what their own pointers have found so far
+            step = pointer[j[open_]]
+            j[open_] = step
+            pointer[own[open_]] = step
+            open_ = open_[group[step] >= least[open_]]
+        edge[left] = low
+        left = left[low > base[left]]
+        j = np.sort(j[j >= 0])
+        if not len(j):
+            continue
+        new = np.append(True, j[1:] != j[:-1])
+        pointed, times = j[new], np.diff(np.append(np.flatnonzero(new), len(j)))
+        old = group[pointed]
+        order = np.lexsort((times, old))
+        pointed, times, old = pointed[order], times[order], old[order]
+        head = np.append(True, old[1:] != old[:-1])
+        which, count = old[head], np.diff(np.append(np.flatnonzero(head), len(old)))
+        tail = _spread(which + size[which] - count, count)
+        moving[pointed] = True
+        there = member[tail]
+        stay = there[~moving[there]]
+        vacant = slot[pointed]
+        vacant = vacant[vacant < np.repeat(which + size[which] - count, count)]
+        moving[pointed] = False
+        member[vacant], slot[stay] = stay, vacant
+        member[tail], slot[pointed] = pointed, tail
+        grown = length[old] + times * length[current[text[pointed]]]
+        head[1:] |= times[1:] != times[:-1]
+        start = tail[head]
+        part = np.diff(np.append(np.flatnonzero(head), len(tail)))
+        size[which] -= count
+        size[start], length[start] = part, grown[head]
+        group[pointed] = np.repeat(start, part)
+
+    reach = np.append(length[group[:n]], 0)
+    free, out = np.arange(n), np.full(n, -1, np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    running, turn = order[: int((sizes > 0).sum())], -1
+    until = np.sort(sizes)
+    while len(running):
+        x = base[running] + (sizes[running] if turn < 0 else out[base[running] + turn])
+        j = np.where(x > base[running], x - 1, -1)
+        while len(j):
+            hit = (j >= 0) & (j + reach[j] == x)
+            j, x = j[hit], x[hit]
+            g = group[j]
+            place = free[g]
+            out[place] = j - base[text[j]]
+            free[g] = place + 1
+            j = pointer[j]
+        turn += 1
+        running = running[: len(sizes) - int(np.searchsorted(until, turn, side="right"))]
+    return out
+
+
 def _gram_hashes(values: np.ndarray, gram: int) -> np.ndarray:
     """The hash of each run of gram bytes, by doubling."""
     if len(values) < gram:
@@ -118,76 +214,60 @@ def _byte_hashes(gram: int):
     return lambda: hashes
 
 
+def _orders(symbols: np.ndarray, sizes: np.ndarray, together: int = 1 << 20) -> np.ndarray:
+    """suffix_arrays of texts of any lengths, about together symbols at a time; a text that is long among them goes alone."""
+    out, base = np.empty(len(symbols), np.int64), np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    at, ends = 0, np.append(0, np.cumsum(sizes[order]))
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + together, side="right")) - 1)
+        longest = int(sizes[order[at]])
+        if ends[to] - ends[at] < 60 * longest:
+            to = at + 1
+            a = base[order[at]]
+            out[a : a + longest] = suffix_array(symbols[a : a + longest].tolist())
+        else:
+            part = order[at:to]
+            where = _spread(base[part], sizes[part])
+            out[where] = suffix_arrays(symbols[where], sizes[part])
+        at = to
+    return out
+
+
 def _suffix_labels(window: int):
     def labels(strings: list[bytes], keys: np.ndarray, many: np.ndarray) -> np.ndarray:
-        """The windows of all strings by number, -1 for those that are alone; equal windows have equal numbers.
+        """The windows of all strings by number; equal windows have equal numbers. Strings of a minimiser stand together.
 
-        Windows whose hash no other window has are left out first, and each string is cut to what is left of it. The
-        different strings of a minimiser then make one text, whose suffix array has equal windows side by side.
+        The different strings of a minimiser make one text, each ended by a symbol below all bytes. In the order of its
+        suffixes equal windows are side by side, so each window is compared with the one before it.
         """
-        out = np.full(int(many.sum()), -1, np.int64)
-        begin = np.cumsum(many) - many
-        text = np.frombuffer(b"".join(strings), np.uint8)
-        size = many + window - 1
+        raw = np.frombuffer(b"\0".join([*strings, b""]), np.uint8)
+        size = many + window  # with the end
         base = np.cumsum(size) - size
-        hashes = _gram_hashes(text, window)[np.arange(len(out)) - np.repeat(begin, many) + np.repeat(base, many)]
-        order = np.argsort(hashes, kind="stable")
-        equal = hashes[order[1:]] == hashes[order[:-1]]
-        alike = np.zeros(len(out), bool)
-        alike[order[1:]] |= equal
-        alike[order[:-1]] |= equal
-        where = np.flatnonzero(alike)
-        if not len(where):
-            return out
-        string = np.repeat(np.arange(len(many)), many)[where]
-        head = np.append(True, string[1:] != string[:-1])
-        tail = np.append(head[1:], True)
-        used, first, last = string[head], where[head] - begin[string[head]], where[tail] - begin[string[tail]]
-        groups: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
-        for k, a, b in zip(used.tolist(), first.tolist(), last.tolist()):
-            part = strings[k][a : b + window]
-            groups.setdefault(int(keys[k]), {}).setdefault(part, []).append((int(begin[k]) + a, b - a + 1, 0))
-        number = 0
-        for parts in groups.values():
-            distinct = list(parts)
-            if len(distinct) == 1:
-                n = len(distinct[0]) - window + 1
-                marks = [np.arange(number, number + n)]
-                number += n
-            else:
-                marks = _ordered(distinct, window, number)
-                number = 1 + max(int(m.max()) for m in marks)
-            for part, mark in zip(distinct, marks):
-                for at, n, _ in parts[part]:
-                    out[at : at + n] = mark
-        return out
+        symbols = raw.astype(np.int32) + 1
+        symbols[base + size - 1] = 0
+        head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sizes = np.add.reduceat(size, head)
+        place = _orders(symbols, sizes) + np.repeat(np.cumsum(sizes) - sizes, sizes)
+        begins = _spread(base, many)
+        valid = np.zeros(len(symbols), bool)
+        valid[begins] = True
+        place = place[valid[place]]
+        hashes = np.zeros(len(symbols), np.uint64)
+        hashes[: len(symbols) - window + 1] = _gram_hashes(raw, window)
+        again = np.flatnonzero(hashes[place[1:]] == hashes[place[:-1]])
+        rows = np.lib.stride_tricks.sliding_window_view(raw, window)
+        new = np.ones(len(place), bool)
+        for at in range(0, len(again), 1 << 14):
+            part = again[at : at + (1 << 14)]
+            new[part + 1] = (rows[place[part]] != rows[place[part + 1]]).any(1)
+        mark = np.empty(len(symbols), np.int64)
+        mark[place] = np.cumsum(new)
+        return mark[begins]
 
     return labels
 
 
-def _ordered(strings: list[bytes], window: int, number: int) -> list[np.ndarray]:
-    """Numbers from number on for the windows of the strings, in the order of their suffixes."""
-    symbols, ends, starts = [], [], []
-    for s in strings:
-        starts.append(len(symbols))
-        symbols += [b + 1 for b in s]
-        ends.append(len(symbols))
-        symbols.append(0)  # ends a string, below all bytes
-    text = b"\0".join(strings)
-    size = np.array(ends) - np.array(starts)
-    valid = np.zeros(len(symbols), bool)
-    for a, b in zip(starts, ends):
-        valid[a : b - window + 1] = True
-    marks, before, now = np.full(len(symbols), -1, np.int64), None, number - 1
-    for i in suffix_array(symbols):
-        if valid[i]:
-            this = text[i : i + window]
-            if this != before:
-                now, before = now + 1, this
-            marks[i] = now
-    return [marks[a : a + n - window + 1] for a, n in zip(starts, size.tolist())]
-
-
 def byte_units(window: int = 100, gram: int = 32) -> superkmers.Units:
     return superkmers.Units(window, gram, lambda text: text, _byte_hashes(gram), lambda text, a, n: text[a : a + n], _suffix_labels(window))
 
@@ -197,8 +277,9 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32) -> DataFr
 
     Each byte is removed that a string of window bytes covers which also starts earlier (a smaller doc_id, or the same
     document and an earlier start); strings are judged on the input and don't cross documents. spans are the maximal
-    removed runs. A null text is empty; one shorter than window loses nothing. Repeated rows of one document are the
-    same document and give equal rows; rows without doc_id are left out.
+    removed runs. A null text is empty; one shorter than window loses nothing. Equal rows are the same document and give
+    equal rows; different texts of one doc_id are documents in order of their SHA-256; rows without doc_id lose nothing.
+    A very long text is cut in one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,10 @@ mostly share one, so they travel as one string. Three shuffles do the work:
 A task sends what it meets twice only once: of equal strings in a block of documents the earliest goes to the bucket,
 and all windows of the others are known to be repeated there and then. So a passage that a third of all documents
 share sends its bucket one string per block of documents, and no task gathers the documents that hold it.
+
+A short phrase in many documents with different neighbours would still gather a string from each of them. So grams that
+are common in a sample of documents come last in the order that minimisers are taken by: a window has one only if all
+its grams are common, as in a repeated passage. Any order gives the same result; the sample only spreads the work.
 """
 
 from __future__ import annotations
@@ -26,8 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from takewise.llm import text as tx
+from takewise.session import checkpoint
 
 _LOW = np.uint64((1 << 24) - 1)
+_TOP = np.uint64(1 << 63)
+#: Documents that are looked at for common grams, and in how many of them a common one occurs.
+SAMPLE, COMMON = 20_000, 20
 _CHUNK = 1 << 20
 _RUNS = "doc_id long, start array<int>, many array<int>, key array<long>"
 _ARROW_RUNS = ["doc_id", "start", "many", "key"]
@@ -45,13 +53,30 @@ class Units:
     labels: Callable
 
 
-def minimiser_runs(hashes: np.ndarray, grams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Order:
+    """Ranks of grams: by hash, the common ones behind all others."""
+
+    def __init__(self, common: np.ndarray):
+        self.common = np.sort(common)
+        self.hint = np.zeros(1 << 20, bool)
+        self.hint[(self.common >> np.uint64(44)).astype(np.int64)] = True
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        ranks = hashes >> np.uint64(1) & ~_LOW
+        if len(self.common):
+            maybe = np.flatnonzero(self.hint[(hashes >> np.uint64(44)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.common, hashes[maybe]), len(self.common) - 1)
+            ranks[maybe[self.common[at] == hashes[maybe]]] |= _TOP
+        return ranks
+
+
+def minimiser_runs(hashes: np.ndarray, grams: int, order: Order = Order(np.empty(0, np.uint64))) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of grams hashes each that share a minimiser: first window, number of windows, minimiser's hash."""
     windows = len(hashes) - grams + 1
     parts = []
     for at in range(0, max(windows, 0), _CHUNK):
         part = hashes[at : min(at + _CHUNK, windows) + grams - 1]
-        least, size = part & ~_LOW | np.arange(len(part), dtype=np.uint64), 1
+        least, size = order(part) | np.arange(len(part), dtype=np.uint64), 1
         while 2 * size <= grams:
             least = np.minimum(least[:-size], least[size:])
             size *= 2
@@ -99,14 +124,38 @@ def _by_document(doc: np.ndarray, start: np.ndarray, many: np.ndarray, key: np.n
 _SEED = ("<u8", "<i8", "<i4", "<i4", "<u8", "<i8", "<i4", "<i4", "<u8")
 
 
-def _seeds(units: Units, buckets: int) -> Callable:
+def _common(docs: DataFrame, units: Units, documents: int) -> np.ndarray:
+    """The hashes of grams in COMMON or more of about SAMPLE documents chosen by a hash of doc_id.
+
+    A sample has grams for COMMON of them each at most, whatever the corpus. Only grams whose hash is low enough to be a
+    minimiser of some window, but for one in 20,000, are counted.
+    """
+    low = np.uint64(min((1 << 64) - 1, 10 * (1 << 64) // (units.window - units.gram + 1)))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(1, documents)) * (1 << 30))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = units.hashes()
+        for _, texts in tx.blocks(batches):
+            found = []
+            for text in texts:
+                own = hashes(units.cut(text))
+                found.append(np.unique(own[own <= low]))
+            gram, many = np.unique(np.concatenate(found), return_counts=True)
+            often = many > 1
+            yield pa.RecordBatch.from_arrays([pa.array(gram[often].view(np.int64)), pa.array(many[often], pa.int64())], names=["gram", "many"])
+
+    common = chosen.mapInArrow(count, "gram long, many long").groupBy("gram").agg(F.sum("many").alias("many")).where(F.col("many") >= COMMON)
+    return np.array([r.gram for r in common.select("gram").collect()], np.int64).view(np.uint64)
+
+
+def _seeds(units: Units, buckets: int, ranks: Order) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = units.hashes()
         grams = units.window - units.gram + 1
         for ids, texts in tx.blocks(batches):
             found, counts = [], []
             for text in texts:
-                got = minimiser_runs(hashes(units.cut(text)), grams)
+                got = minimiser_runs(hashes(units.cut(text)), grams, ranks)
                 found.append(got)
                 counts.append(len(got[0]))
             start, many, key = (np.concatenate(x) for x in zip(*found))
@@ -238,19 +287,35 @@ def _per_document(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "many", "key")).alias("runs"))
 
 
+def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with place, by which documents go in order, and their number: doc_id itself, or, if different texts share a
+    doc_id, numbers in order of doc_id and then of the texts' digests."""
+    some = docs.where(F.col("doc_id").isNotNull())
+    ids = some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("many"))
+    seen = ids.agg(F.sum("many").alias("rows"), F.max("many").alias("most")).first()
+    if (seen.most or 0) < 2:
+        return docs.withColumn("place", F.col("doc_id")), seen.rows or 0
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    numbered = checkpoint(some.select("doc_id", digest).distinct().orderBy("doc_id", "digest").withColumn("place", F.monotonically_increasing_id()))
+    return docs.select("*", digest).join(numbered, ["doc_id", "digest"], "left").drop("digest"), seen.rows
+
+
 def repeated(docs: DataFrame, units: Units, others: list[str] | None = None) -> DataFrame:
     """docs (doc_id, text, and the columns others) with runs: where windows start that also start earlier; null where there are none.
 
-    Earlier is a smaller doc_id, or the same document and an earlier start. doc_id names a document: rows that repeat one
-    are the same document, and rows without one are left out. Null texts have no windows.
+    Earlier is a smaller doc_id, or the same document and an earlier start. Equal rows are one document; different texts
+    of one doc_id are documents in order of their SHA-256. Rows without doc_id stay, but are compared with nothing. Null
+    texts have no windows. A text of any length is cut whole, in one task.
     """
-    whole = tx.only(docs, "doc_id", "text", *(others or [])).withColumn("doc_id", F.col("doc_id").cast("long")).where(F.col("doc_id").isNotNull())
-    docs = whole.select("doc_id", "text")
+    whole = tx.only(docs, "doc_id", "text", *(others or [])).withColumn("doc_id", F.col("doc_id").cast("long"))
+    whole, documents = _placed(whole)
+    docs = whole.where(F.col("place").isNotNull()).select(F.col("place").alias("doc_id"), "text")
     buckets = tx.partitions(docs, 4)
-    found = docs.mapInArrow(_seeds(units, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_repeated_minimisers, _RUNS)
+    order = Order(_common(docs, units, documents))
+    found = docs.mapInArrow(_seeds(units, buckets, order), "bucket int, blob binary").groupBy("bucket").applyInArrow(_repeated_minimisers, _RUNS)
     strings = docs.join(_per_document(found), "doc_id").mapInArrow(_strings(units, buckets), "bucket int, blob binary")
     windows = strings.groupBy("bucket").applyInArrow(_repeated_windows(units), _RUNS)
-    return whole.join(_per_document(windows), "doc_id", "left")
+    return whole.join(_per_document(windows).withColumnRenamed("doc_id", "place"), "place", "left").drop("place")
 
 
 def covered(parts: list[dict] | None, window: int, length: int) -> list[tuple[int, int]]:
