@@ -28,6 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from takewise.llm import text as tx
 from takewise.session import checkpoint
@@ -288,16 +289,16 @@ def _per_document(rows: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs with place, by which documents go in order, and their number: doc_id itself, or, if different texts share a
-    doc_id, numbers in order of doc_id and then of the texts' digests."""
-    some = docs.where(F.col("doc_id").isNotNull())
-    ids = some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("many"))
+    """docs (doc_id, ...) and their number; if different texts share a doc_id, then with place in its stead: numbers in
+    order of doc_id and then of the texts' digests, and doc_id itself as own_id."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("many"))
     seen = ids.agg(F.sum("many").alias("rows"), F.max("many").alias("most")).first()
     if (seen.most or 0) < 2:
-        return docs.withColumn("place", F.col("doc_id")), seen.rows or 0
+        return docs, seen.rows or 0
     digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
-    numbered = checkpoint(some.select("doc_id", digest).distinct().orderBy("doc_id", "digest").withColumn("place", F.monotonically_increasing_id()))
-    return docs.select("*", digest).join(numbered, ["doc_id", "digest"], "left").drop("digest"), seen.rows
+    numbered = checkpoint(docs.select("doc_id", digest).distinct().orderBy("doc_id", "digest").withColumn("place", F.monotonically_increasing_id()))
+    placed = docs.select("*", digest).join(numbered, ["doc_id", "digest"]).drop("digest")
+    return placed.withColumnRenamed("doc_id", "own_id").withColumnRenamed("place", "doc_id"), seen.rows
 
 
 def repeated(docs: DataFrame, units: Units, others: list[str] | None = None) -> DataFrame:
@@ -307,15 +308,21 @@ def repeated(docs: DataFrame, units: Units, others: list[str] | None = None) ->
     of one doc_id are documents in order of their SHA-256. Rows without doc_id stay, but are compared with nothing. Null
     texts have no windows. A text of any length is cut whole, in one task.
     """
-    whole = tx.only(docs, "doc_id", "text", *(others or [])).withColumn("doc_id", F.col("doc_id").cast("long"))
-    whole, documents = _placed(whole)
-    docs = whole.where(F.col("place").isNotNull()).select(F.col("place").alias("doc_id"), "text")
+    every = tx.only(docs, "doc_id", "text", *(others or []))
+    if every.schema["doc_id"].dataType != LongType():  # a cast of what is long already keeps Spark from shuffling the texts only once
+        every = every.withColumn("doc_id", F.col("doc_id").cast("long"))
+    whole, documents = _placed(every.where(F.col("doc_id").isNotNull()))
+    docs = whole.select("doc_id", "text")
     buckets = tx.partitions(docs, 4)
     order = Order(_common(docs, units, documents))
     found = docs.mapInArrow(_seeds(units, buckets, order), "bucket int, blob binary").groupBy("bucket").applyInArrow(_repeated_minimisers, _RUNS)
     strings = docs.join(_per_document(found), "doc_id").mapInArrow(_strings(units, buckets), "bucket int, blob binary")
-    windows = strings.groupBy("bucket").applyInArrow(_repeated_windows(units), _RUNS)
-    return whole.join(_per_document(windows).withColumnRenamed("doc_id", "place"), "place", "left").drop("place")
+    windows = _per_document(strings.groupBy("bucket").applyInArrow(_repeated_windows(units), _RUNS))
+    out = whole.join(windows, "doc_id", "left")
+    if "own_id" in whole.columns:
+        out = out.drop("doc_id").withColumnRenamed("own_id", "doc_id")
+    nameless = every.where(F.col("doc_id").isNull()).withColumn("runs", F.lit(None).cast(windows.schema["runs"].dataType))
+    return out.unionByName(nameless)
 
 
 def covered(parts: list[dict] | None, window: int, length: int) -> list[tuple[int, int]]:
