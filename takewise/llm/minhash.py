@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from takewise.llm import text as tx
@@ -17,47 +17,68 @@ from takewise.session import checkpoint
 
 #: Documents of a bucket that are compared in one piece; a larger bucket is a grid of such pieces.
 PIECE = 256
+#: Pieces for which the set of one document is made at once.
+LOT = 64
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Shingles of words; links from percent similar; bands of rows coordinates each; a universe of 2 ** bits slots."""
+    """Shingles of words; links from percent similar; bands of rows coordinates each."""
 
     words: int = 5
     percent: int = 80
     bands: int = 30
     rows: int = 5
-    bits: int = 18
     seed: int = 11
 
 
 class Circulant:
-    """Signatures of sets of 64-bit hashes. A hash has a slot; the first permutation scatters the slots, and coordinate k
-    is the least value that the second one, shifted by k, gives to a slot of the set (Li and Li, 2021)."""
+    """Signatures of sets of 64-bit hashes. A hash has one of 2 ** 32 slots; the first permutation scatters the slots, and
+    coordinate k is the least value that the second one, shifted by k, gives to a slot of the set (Li and Li, 2021). Both
+    are rules, not tables, so there are slots enough for texts of any length."""
 
     def __init__(self, settings: Settings):
-        self.s, self.size = settings, 1 << settings.bits
+        self.s = settings
         rng = np.random.default_rng(settings.seed)
-        self.scatter = rng.permutation(self.size).astype(np.int32)
-        values, count = rng.permutation(self.size).astype(np.uint32), settings.bands * settings.rows
-        self.values = np.concatenate([values, values[:count]])
-
-    def bands(self, sets: list[np.ndarray]) -> np.ndarray:
-        """A row of band keys for each set; no set is empty."""
-        s, count = self.s, self.s.bands * self.s.rows
+        self.odd = (rng.integers(0, 1 << 32, 4, dtype=np.uint32) | np.uint32(1)).tolist()
+
+    def scatter(self, slots: np.ndarray) -> np.ndarray:
+        return self._moved(slots.copy(), self.odd[0], self.odd[1], np.empty_like(slots))
+
+    def second(self, slots: np.ndarray, spare: np.ndarray | None = None) -> np.ndarray:
+        """In place: slots get their values."""
+        return self._moved(slots, self.odd[2], self.odd[3], np.empty_like(slots) if spare is None else spare)
+
+    @staticmethod
+    def _moved(x: np.ndarray, one: int, two: int, spare: np.ndarray) -> np.ndarray:
+        for shift, odd in ((16, one), (15, two)):
+            np.right_shift(x, np.uint32(shift), out=spare)
+            np.bitwise_xor(x, spare, out=x)
+            np.multiply(x, np.uint32(odd), out=x)
+        np.right_shift(x, np.uint32(16), out=spare)
+        return np.bitwise_xor(x, spare, out=x)
+
+    def coordinates(self, sets: list[np.ndarray]) -> np.ndarray:
+        """A row of coordinates for each set; no set is empty."""
+        count = self.s.bands * self.s.rows
         out, at = np.empty((len(sets), count), np.uint32), 0
         while at < len(sets):
             end, held = at, 0
-            while end < len(sets) and (end == at or held + len(sets[end]) <= 1 << 16):
+            while end < len(sets) and (end == at or held + len(sets[end]) <= 1 << 15):
                 held += len(sets[end])
                 end += 1
-            slots = self.scatter[(np.concatenate(sets[at:end]) >> np.uint64(64 - s.bits)).astype(np.int64)].astype(np.int64)
+            slots = self.scatter((np.concatenate(sets[at:end]) >> np.uint64(32)).astype(np.uint32))
             starts = np.append(0, np.cumsum([len(x) for x in sets[at : end - 1]])).astype(np.int64)
-            buffer = np.empty(len(slots), np.uint32)
+            values, spare = np.empty_like(slots), np.empty_like(slots)
             for k in range(count):
-                np.take(self.values[k : k + self.size], slots, out=buffer)
-                out[at:end, k] = np.minimum.reduceat(buffer, starts)
+                np.add(slots, np.uint32(k), out=values)
+                out[at:end, k] = np.minimum.reduceat(self.second(values, spare), starts)
             at = end
+        return out
+
+    def bands(self, sets: list[np.ndarray]) -> np.ndarray:
+        """A row of band keys for each set; no set is empty."""
+        s, out = self.s, self.coordinates(sets)
         keys = np.zeros((len(sets), s.bands), np.uint64) + np.arange(1, s.bands + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for r in range(s.rows):
@@ -87,10 +108,10 @@ def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
-def _with_sets(docs: DataFrame, roles: DataFrame, settings: Settings) -> DataFrame:
-    """roles (doc_id, ...) with the set of their documents; many roles of a document make its set once."""
+def _with_sets(docs: DataFrame, roles: DataFrame, settings: Settings, lot: Column) -> DataFrame:
+    """roles (doc_id, ...) with the set of their documents; the roles of a document in one lot make its set once."""
     others = [f for f in roles.schema if f.name != "doc_id"]
-    packed = roles.groupBy("doc_id").agg(F.collect_list(F.struct(*[f.name for f in others])).alias("roles"))
+    packed = roles.groupBy("doc_id", lot.alias("lot")).agg(F.collect_list(F.struct(*[f.name for f in others])).alias("roles")).drop("lot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = tx.WordHashes()
@@ -125,8 +146,11 @@ def _star(percent: int):
     def run(table: pa.Table) -> pa.Table:
         docs, centres = table.column("doc_id").to_pylist(), table.column("centre").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        middle = {c: s for d, c, s in zip(docs, centres, sets) if d == c}
-        return _links([(c, d) for d, c, s in zip(docs, centres, sets) if d != c and _similar(middle[c], s, percent)])
+        middle: dict[int, list[np.ndarray]] = {}
+        for d, c, s in zip(docs, centres, sets):
+            if d == c:
+                middle.setdefault(c, []).append(s)
+        return _links([(c, d) for d, c, s in zip(docs, centres, sets) if d != c and any(_similar(m, s, percent) for m in middle[c])])
 
     return run
 
@@ -191,26 +215,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     2. In buckets that still hold several components, all classes of different components are compared, a large
        bucket as a grid of pieces.
 
-    Of two sets as similar as 0.8 no band agrees with probability (1 - 0.8 ** rows) ** bands, 7 in a million by default.
-    A document with fewer words than a shingle has one; a null, empty or blank text has none and is linked with nothing.
-    Rows that repeat a doc_id are one document and give a row each; rows without doc_id are left out.
+    Two sets as similar as 0.8 share no band with probability (1 - 0.8 ** rows) ** bands if coordinates are independent,
+    7 in a million by default; a test measures how often bands agree. A document with fewer words than a shingle has
+    one; a null, empty or blank text has none and is linked with nothing. A very long text is cut whole, in one task.
+    Rows that repeat a doc_id are one document, which has the links of all its texts, and give a row each; rows without
+    doc_id are linked with nothing: they are kept, and their component_id is null.
     """
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("doc_id").isNotNull())
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = checkpoint(signatures(docs, settings))
-    some = signed.where("n_shingles > 0")
+    some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
     banded = some.join(classes, ["h1", "h2", "doc_id"], "left_semi").select("doc_id", F.explode("bands").alias("key")).distinct()
     first = banded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("many")).where("many > 1")
     members = checkpoint(banded.join(first, "key"))
-    groups = tx.partitions(docs, 4)
+    size = 8 * (some.agg(F.avg("n_shingles").alias("n")).first().n or 0)
+
+    def groups(rows: int) -> int:
+        """So many that a group of sets has some 4 MB."""
+        return max(tx.partitions(docs), int(rows * size) >> 22)
 
     pairs = members.where("doc_id != centre").groupBy("doc_id").agg(F.min("centre").alias("centre"))
     pairs = checkpoint(pairs)
     salts = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("many")).select("centre", F.ceil(F.col("many") / PIECE).cast("int").alias("salts"))
     ray = pairs.join(salts, "centre").select("doc_id", "centre", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
     hub = salts.select(F.col("centre").alias("doc_id"), "centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    dealt = F.pmod(F.xxhash64("centre", "salt"), F.lit(groups)).alias("dealt")
-    links = checkpoint(_with_sets(docs, ray.union(hub), settings).withColumn("dealt", dealt).groupBy("dealt").applyInArrow(_star(settings.percent), "a long, b long"))
+    dealt = F.pmod(F.xxhash64("centre", "salt"), F.lit(groups(pairs.count()))).alias("dealt")
+    lot = F.floor(F.col("salt") / LOT)
+    links = checkpoint(_with_sets(docs, ray.union(hub), settings, lot).withColumn("dealt", dealt).groupBy("dealt").applyInArrow(_star(settings.percent), "a long, b long"))
 
     labels = connected_components(links)
     labelled = members.join(labels, members.doc_id == labels.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
@@ -221,10 +252,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cells = labelled.join(open_.select("key", side.alias("side")), "key").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("side")).cast("int"))
     cells = cells.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
     cells = cells.select("doc_id", "key", "label", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("i") > F.col("j")).cast("int").alias("side"))
-    dealt = F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)).alias("dealt")
-    more = _with_sets(docs, cells, settings).withColumn("dealt", dealt).groupBy("dealt").applyInArrow(_cross(settings.percent), "a long, b long")
+    cells = checkpoint(cells)
+    dealt = F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups(cells.count()))).alias("dealt")
+    lot = F.floor((F.col("i") + F.col("j")) / LOT)
+    more = _with_sets(docs, cells, settings, lot).withColumn("dealt", dealt).groupBy("dealt").applyInArrow(_cross(settings.percent), "a long, b long")
 
     final = connected_components(links.union(more))
     by_class = classes.join(final, classes.doc_id == final.node, "left").select("h1", "h2", F.coalesce("component", "doc_id").alias("component"))
-    out = signed.join(by_class, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    linked = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
+    out = signed.join(by_class, ["h1", "h2"], "left").select("doc_id", "n_shingles", linked.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

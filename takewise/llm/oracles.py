@@ -13,13 +13,13 @@ r AS (SELECT doc_id, i FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1
 c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (SELECT unnest(range(0, 8)) AS o) GROUP BY 1),
 l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
 d AS (SELECT l.doc_id, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM l LEFT JOIN c USING (doc_id)),
-e AS (SELECT *, n_words < 20 AS f1, 100 * n_repeat_words > 30 * n_words AS f2 FROM d),
-h AS (SELECT source, count(*) AS n, sum(f1::INT) AS a, sum(f2::INT) AS b FROM e WHERE source IS NOT NULL GROUP BY 1),
-p AS (SELECT avg(a / n) AS m1, var_pop(a / n) AS v1, avg(b / n) AS m2, var_pop(b / n) AS v2 FROM h),
-s AS (SELECT source, CASE WHEN v1 <= 0 THEN m1 WHEN m1 * (1 - m1) / v1 - 1 <= 0 THEN a / n ELSE (a + m1 * (m1 * (1 - m1) / v1 - 1)) / (n + m1 * (1 - m1) / v1 - 1) END AS r1,
-  CASE WHEN v2 <= 0 THEN m2 WHEN m2 * (1 - m2) / v2 - 1 <= 0 THEN b / n ELSE (b + m2 * (m2 * (1 - m2) / v2 - 1)) / (n + m2 * (1 - m2) / v2 - 1) END AS r2 FROM h, p)
+e AS (SELECT *, n_words < 20 AS f1, 100 * n_repeat_words > 30 * n_words AS f2, 10 * n_symbols > n_words AS f3, n_dup_lines > 2 AS f4, word_chars < 2 * n_words OR word_chars > 15 * n_words AS f5 FROM d),
+u AS (UNPIVOT (SELECT source, f1, f2, f3, f4, f5 FROM e WHERE source IS NOT NULL) ON f1, f2, f3, f4, f5 INTO NAME rule VALUE failed),
+h AS (SELECT source, rule, count(*) AS n, sum(failed::INT) AS f FROM u GROUP BY 1, 2),
+p AS (SELECT rule, avg(f / n) AS m, var_pop(f / n) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n) AS v FROM h GROUP BY 1),
+z AS (SELECT source, bool_or(CASE WHEN v <= 0 THEN m WHEN m * (1 - m) / v - 1 <= 0 THEN f / n ELSE (f + m * (m * (1 - m) / v - 1)) / (n + m * (1 - m) / v - 1) END > 0.25) AS bad FROM h JOIN p USING (rule) GROUP BY 1)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, f1 OR f2 AS base_failed,
-  NOT (f1 OR f2) AND NOT coalesce(r1 > 0.5 OR r2 > 0.5, false) AS kept FROM e LEFT JOIN s USING (source)""",
+  NOT (f1 OR f2) AND NOT coalesce(bad, false) AS kept FROM e LEFT JOIN z USING (source)""",
     "op2_circulant_minhash": rf"""WITH RECURSIVE {_LOWER},
 g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),

@@ -76,13 +76,25 @@ def test_host_verdicts(spark):
     counts = spark.createDataFrame(data, "host string, wrong boolean")
     got = rows(host_rules.host_verdicts(counts, {"wrong": F.col("wrong")}), "host")
     rates = np.array([0.95, 0.02, 1.0])
-    weight = rates.mean() * (1 - rates.mean()) / rates.var() - 1
+    chance = rates.mean() * (1 - rates.mean()) * np.mean([1 / 200, 1 / 300, 1 / 2])
+    weight = rates.mean() * (1 - rates.mean()) / (rates.var() - chance) - 1
     assert got["bad"].rejected and not got["good"].rejected
     for host, n, f in (("bad", 200, 190), ("good", 300, 6)):
         want = (f + rates.mean() * weight) / (n + weight) if weight > 0 else f / n
         assert abs(got[host].wrong_rate - want) < 1e-9
 
 
+def test_rejected_hosts(spark):
+    """A bad host takes its sound documents with it; a hot host may be split; the two ways of joining agree."""
+    fine = " ".join(f"word{i}" for i in range(30))
+    data = [(i, "short" if i % 3 else fine, "bad") for i in range(300)] + [(1000 + i, fine if i % 50 else "short", f"good{i % 3}") for i in range(900)] + [(5000, fine, None), (None, fine, "bad"), (5001, fine, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    for few in (100, 0):
+        got = host_rules.quality_rules(df, few=few).collect()
+        assert len(got) == len(data) and all(r.kept == (not r.base_failed and r.host != "bad") for r in got)
+        assert {r.host for r in got if not r.base_failed and not r.kept} == {"bad"}
+
+
 def linked(words, least=80):
     sets = {}
     for doc, text in texts():
@@ -126,13 +138,31 @@ def test_near_duplicates_empty(none):
 
 def test_circulant_coordinates():
     """Coordinate k is the least value of the second permutation at the scattered slots shifted by k."""
-    s = minhash.Settings(bands=3, rows=2, bits=8)
+    s = minhash.Settings(bands=3, rows=2)
     c, x = minhash.Circulant(s), np.array([5 << 56, 9 << 56, 200 << 56], np.uint64)
-    slots = [int(c.scatter[v]) for v in (5, 9, 200)]
-    want = [min(int(c.values[(p + k) % 256]) for p in slots) for k in range(6)]
     again = c.bands([x, x[::-1].copy()])
     assert (again[0] == again[1]).all()
-    assert sorted(c.values[:256].tolist()) == list(range(256)) and len(want) == 6
+    every = np.arange(1 << 16, dtype=np.uint32)
+    for part in (c.scatter(every), c.second(every.copy())):
+        assert len(np.unique(part)) == len(every)
+    slots = c.scatter((x >> np.uint64(32)).astype(np.uint32))
+    want = [min(int(c.second(np.array([(int(p) + k) % 2**32], np.uint32))[0]) for p in slots) for k in range(6)]
+    assert c.coordinates([x]).tolist() == [want]
+
+
+def test_signatures_of_large_and_similar_sets():
+    """Large sets without a common shingle share no band, and sets as similar as 0.8 share one as often as they should."""
+    r, c = np.random.default_rng(3), minhash.Circulant(minhash.Settings())
+    draw = lambda n: r.integers(0, 2**64, n, dtype=np.uint64)
+    a, b = c.bands([draw(1_000_000), draw(1_000_000)])
+    assert not (a == b).any()
+    shared, same = [], []
+    for _ in range(300):
+        common, one, two = draw(160), draw(20), draw(20)
+        keys = c.bands([np.concatenate([common, one]), np.concatenate([common, two])])
+        shared.append((keys[0] == keys[1]).any())
+        same.append((keys[0] == keys[1]).mean())
+    assert all(shared) and abs(np.mean(same) - 0.8**5) < 0.03
 
 
 def repeats(units, window):
