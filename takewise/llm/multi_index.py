@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from takewise.llm import text as tx
+
 
 @dataclass(frozen=True)
 class Index:
@@ -93,10 +95,10 @@ def _share(sample: np.ndarray, first: np.ndarray, second: np.ndarray, k: int, re
     return float(min(1.0, np.quantile(np.concatenate(need), recall) / len(sample)))
 
 
-def build(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", size: int = 32, sample: int = 20_000, k: int = 20, recall: float = 0.96) -> Index:
+def build(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", size: int | None = None, sample: int = 20_000, k: int = 20, recall: float = 0.96) -> Index:
     """The index of all usable vectors.
 
-    Codebooks of size centroids, and the share of the vectors that a search visits so that it finds recall of the k
+    Codebooks of size centroids (by default so many that a pair of them has some 50 vectors, 8 to 1,024), and the share of the vectors that a search visits so that it finds recall of the k
     nearest, are fitted on about sample vectors chosen by a hash of vec_id. Each vector is indexed. The dimension is
     that of most vectors; others take no part. The driver gets the sample and the number of vectors per cell alone.
     """
@@ -109,7 +111,7 @@ def build(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / many) * (1 << 30))))
     got = sorted((r.vec_id, tuple(r.vector)) for r in chosen.collect())
     points = np.array([v for _, v in got], float).reshape(-1, n) if got else np.zeros((1, n))
-    split = n // 2
+    split, size = n // 2, size or min(1024, max(8, int((many / 50) ** 0.5)))
     first, second = codebook(points[:, :split], size), codebook(points[:, split:], size)
     visit = _share(points, first, second, k, recall)
 
@@ -146,66 +148,103 @@ def _shards(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return start, pieces
 
 
+def _best(query: np.ndarray, asked: np.ndarray, wanted: np.ndarray, ids: np.ndarray, x: np.ndarray, cuts: list[int], k: int) -> list[list[dict]]:
+    """The k nearest for each query of those vectors whose cell it wants: wanted has a column per cell, cuts bound cells."""
+    scores = np.full((len(query), len(ids)), -np.inf)
+    for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        hit = np.flatnonzero(wanted[:, c])
+        scores[hit, a:b] = query[hit] @ x[a:b].T
+    scores[asked[:, None] == ids[None, :]] = -np.inf
+    least, out = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)], []
+    for i, low in enumerate(least.tolist()):
+        near = np.flatnonzero(scores[i] >= low - 1e-9 * (1 + abs(low))) if low > -np.inf else np.flatnonzero(scores[i] > -np.inf)
+        exact = (x[near] * query[i]).sum(1)  # one order of adding for all, so equal vectors have equal scores
+        best = np.lexsort((ids[near], -exact))[:k]
+        out.append([{"far": -s, "vec_id": v} for s, v in zip(exact[best].tolist(), ids[near[best]].tolist())])
+    return out
+
+
 def search(index: Index, queries: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries (vec_id, vector): the k nearest of all indexed rows but the query's own.
 
     The nearest have the largest inner products in double precision, equal ones the smaller vec_id. A query visits the
     cells that traverse gives, and all their vectors are scored, so any number of equal vectors is ranked exactly. Cells
-    are dealt to shards of about block vectors, a hot cell to several, and queries to groups of about block; a task
-    holds one shard and one group. A query without other vectors has no rows.
+    are dealt to shards of about block vectors, a hot cell to several. Each vector goes to its shard once and each query
+    to the shards it visits; a shard's vectors come first in its sorted partition and are held, its queries stream past
+    them. A query without other vectors has no rows.
     """
     first, second, counts, split = index.first, index.second, index.counts, index.split
     start, pieces = _shards(counts, block)
-    wanted, width = index.visit * counts.sum(), len(counts)
-    groups = max(1, -(-queries.count() // block))
+    wanted = index.visit * counts.sum()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for q, vector in zip(batch.column("vec_id").to_pylist(), batch.column("vector").to_pylist()):
-                v = np.array(vector)
+            vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            row, shard, visited = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, v in enumerate(vectors):
                 cells = np.array(traverse(first @ v[:split], second @ v[split:], counts, wanted))
-                seen = np.zeros(width, bool)
-                seen[cells] = True
-                mask = np.packbits(seen).tobytes()
-                used = np.unique(np.concatenate([np.arange(start[c], start[c] + pieces[c]) for c in cells[counts[cells] > 0]])) if counts[cells].any() else ()
-                rows += [(int(s), q % groups, q, vector, mask) for s in used]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["shard", "part", "query_id", "query", "mask"])
-
+                cells = np.sort(cells[counts[cells] > 0])
+                many = pieces[cells]
+                own = np.repeat(start[cells] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+                row.append(np.full(len(own), i))
+                shard.append(own)
+                visited.append(np.repeat(cells, many))
+            row, shard, visited = (np.concatenate(x) for x in (row, shard, visited))
+            order = np.lexsort((visited, shard, row))
+            row, shard, visited = row[order], shard[order], visited[order]
+            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (shard[1:] != shard[:-1]))[: len(row)])
+            cells = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)), pa.int32()), pa.array(visited, pa.int32()))
+            at = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([pa.array(shard[new]), pa.array(np.ones(len(new), np.int32)), batch.column("vec_id").take(at), batch.column("vector").take(at), cells], names=names)
+
+    names = ["shard", "asks", "id", "vector", "cells"]
+    schema = "shard long, asks int, id long, vector array<double>, cells array<int>"
     shard_of = F.array(*[F.lit(int(x)) for x in start]), F.array(*[F.lit(int(x)) for x in pieces])
     cell = F.col("cell") + 1
     shard = F.element_at(shard_of[0], cell) + F.pmod(F.xxhash64("vec_id"), F.element_at(shard_of[1], cell))
-    held = index.rows.select(shard.cast("long").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("part"), "vec_id", "vector", "cell")
-
-    def rank(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        shard, out = (asked.column("shard")[0].as_py() if asked.num_rows else 0), []
-        if vectors.num_rows and asked.num_rows:
-            ids, cell = vectors.column("vec_id").to_numpy(), vectors.column("cell").to_numpy()
-            order = np.lexsort((ids, cell))
-            ids, cell = ids[order], cell[order]
-            x = vectors.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
-            query, q = asked.column("query_id").to_numpy(), asked.column("query").combine_chunks().flatten().to_numpy().reshape(asked.num_rows, -1)
-            mask = np.unpackbits(np.frombuffer(b"".join(asked.column("mask").to_pylist()), np.uint8).reshape(len(query), -1), axis=1).astype(bool)
-            cuts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell)).tolist()
-            for at in range(0, len(query), 512):
-                part = slice(at, at + 512)
-                scores = np.full((len(query[part]), len(ids)), -np.inf)
-                for a, b in zip(cuts, cuts[1:]):
-                    hit = np.flatnonzero(mask[part, cell[a]])
-                    scores[hit, a:b] = q[part][hit] @ x[a:b].T
-                scores[query[part][:, None] == ids[None, :]] = -np.inf
-                least = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
-                for i, low in enumerate(least.tolist()):
-                    near = np.flatnonzero(scores[i] >= low - 1e-9 * (1 + abs(low))) if low > -np.inf else np.flatnonzero(scores[i] > -np.inf)
-                    exact = (x[near] * q[at + i]).sum(1)  # one order of adding for all, so equal vectors have equal scores
-                    best = np.lexsort((ids[near], -exact))[:k]
-                    out.append((int(query[at + i]), [{"far": -s, "vec_id": v} for s, v in zip(exact[best].tolist(), ids[near[best]].tolist())]))
-        kind = pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())]))
-        return pa.table([pa.array([q for q, _ in out], pa.int64()), pa.array([shard % 32] * len(out), pa.int64()), pa.array([b for _, b in out], kind)], names=["query_id", "salt", "best"])
-
-    asked = queries.mapInArrow(place, "shard long, part long, query_id long, query array<double>, mask binary")
-    best = held.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(rank, "query_id long, salt long, best array<struct<far:double,vec_id:long>>")
+    held = index.rows.select(shard.cast("long").alias("shard"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), "vector", F.array("cell").alias("cells"))
+    parts = tx.partitions(queries)
+    asked = queries.repartition(parts, "vec_id").mapInArrow(place, schema)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, ready = None, [], None
+        for batch in batches:
+            shards, asks = (batch.column(c).to_numpy() for c in ("shard", "asks"))
+            cuts = np.append(np.flatnonzero(np.append(True, (shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1]))), len(shards)).tolist()
+            out: list[tuple[int, list[dict]]] = []
+            salt: list[int] = []
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                ids, x = part.column("id").to_numpy(), part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                if shards[a] != now:
+                    now, kept, ready = shards[a], [], None
+                if not asks[a]:
+                    kept.append((ids, x, part.column("cells").flatten().to_numpy()))
+                    continue
+                if not kept:
+                    continue
+                if ready is None:
+                    own, rows, cells = (np.concatenate(y) for y in zip(*kept))
+                    order = np.lexsort((own, cells))
+                    own, rows, cells = own[order], rows[order], cells[order]
+                    bounds = np.append(np.flatnonzero(np.append(True, cells[1:] != cells[:-1])), len(cells))
+                    ready = own, rows, cells[bounds[:-1]], bounds.tolist()
+                own, rows, cells, bounds = ready
+                lists = part.column("cells")
+                visited, who = lists.flatten().to_numpy(), np.repeat(np.arange(b - a), lists.value_lengths().to_numpy())
+                at = np.minimum(np.searchsorted(cells, visited), len(cells) - 1)
+                hit = cells[at] == visited
+                mask = np.zeros((b - a, len(cells)), bool)
+                mask[who[hit], at[hit]] = True
+                for c in range(0, b - a, 512):
+                    some = slice(c, c + 512)
+                    out += zip(ids[some].tolist(), _best(x[some], ids[some], mask[some], own, rows, bounds, k))
+                salt += [int(shards[a]) % 32] * (b - a)
+            kind = pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int64()), pa.array(salt, pa.int64()), pa.array([found for _, found in out], kind)], names=["query_id", "salt", "best"])
+
+    both = held.union(asked).repartition(2 * parts, "shard").sortWithinPartitions("shard", "asks")
+    best = both.mapInArrow(rank, "query_id long, salt long, best array<struct<far:double,vec_id:long>>")
     for keys in (["query_id", "salt"], ["query_id"]):  # in two steps, so that no list holds the results of all shards
         best = best.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "one")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("one.vec_id").alias("vec_id"), (-F.col("one.far")).alias("score"))

@@ -90,15 +90,28 @@ def _social(text: Column, key: str) -> Column:
 
 
 def _date(text: Column, key: str) -> Column:
-    """A day that exists, from 1920-01-01 to 2099-06-06, written year first, or month or day first."""
-    out = F.lit(None).cast("string")
-    shapes = [("yyyy-MM-dd", r"^\d{4}-"), ("yyyy/MM/dd", r"^\d{4}/"), ("dd.MM.yyyy", r"^\d{2}\."), ("MM/dd/yyyy", r"^\d{2}/"), ("dd/MM/yyyy", r"^\d{2}/")]
-    for form, shape in reversed(shapes):
-        day = F.datediff(F.try_to_timestamp(text, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-        moved = feistel(F.floor(day / SPAN), day % SPAN, F.lit(SPAN), F.lit(SPAN), key, "date")
-        new = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (moved["l"] * SPAN + moved["r"]).cast("int")), form)
-        out = F.when(text.rlike(shape) & day.between(0, SPAN * SPAN - 1), new).otherwise(out)
-    return out
+    """A day that exists, from 1920-01-01 to 2099-06-06, written year first, or month or day first; others stay.
+
+    The writing is read off once: the year's place, the marks between, and whether month or day comes first. Of two
+    readings of one writing month first is taken.
+    """
+    mark = F.regexp_extract(text, "[./-]", 0)
+    part = [F.try_element_at(F.split(text, "[./-]"), F.lit(i)) for i in (1, 2, 3)]
+    ahead = F.length(part[0]) == 4
+
+    def day_of(month: Column, day: Column) -> Column:
+        year = F.when(ahead, part[0]).otherwise(part[2])
+        return F.datediff(F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date"))
+
+    month_first = F.when(mark == "/", day_of(part[0], part[1]))
+    day_first = day_of(part[1], part[0])
+    day = F.when(ahead, day_of(part[1], part[2])).otherwise(F.coalesce(month_first, day_first))
+    by_month = month_first.isNotNull()
+    moved = feistel(F.floor(day / SPAN), day % SPAN, F.lit(SPAN), F.lit(SPAN), key, "date")
+    new = F.date_add(F.lit(FIRST_DAY).cast("date"), (moved["l"] * SPAN + moved["r"]).cast("int"))
+    y, m, d = (F.date_format(new, form) for form in ("yyyy", "MM", "dd"))
+    shown = F.when(ahead, F.concat(y, mark, m, mark, d)).when(by_month, F.concat(m, mark, d, mark, y)).otherwise(F.concat(d, mark, m, mark, y))
+    return F.when(day.between(0, SPAN * SPAN - 1), shown)
 
 
 def pseudonym(match: Column, key: str) -> Column:
@@ -118,25 +131,27 @@ def pseudonym(match: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "takewise") -> DataFrame:
-    """docs with private values in text replaced, and n_private, how many were.
+def pseudonymise(docs: DataFrame, text: str = "text", key: str = "takewise", count: str = "n_private") -> DataFrame:
+    """docs with private values in text replaced, and a column count, how many were.
 
     Numbers and dates that their checks confirm are moved by a Feistel permutation of their format under key: a card
     number stays one of its issuer, a date a date of the same writing. Equal values have equal pseudonyms in all
     documents, different ones of a format different ones. Mail addresses and secrets have keyed digests in their place.
-    What fails its check (a card number's check digit, a day that doesn't exist) stays as it is. A null text stays null
-    with 0 replaced, as does an empty one; each row is dealt with by itself, so repeated rows and ties make no
-    difference; other columns pass through (one named n_private gives way). One projection of SQL functions: no shuffle, no Python.
+    What fails its check (a card number's check digit, a day that doesn't exist or lies before 1920-01-01 or after
+    2099-06-06) stays as it is. A null text stays null with 0 replaced, as does an empty one; each row is dealt with by
+    itself, so repeated rows and ties make no difference, and a text of any length is dealt with whole. Other columns of
+    whatever names pass through; if one is called count already, the new one gets an underscore more. One projection of
+    SQL functions: no shuffle, no Python. Whoever knows key can undo the pseudonyms, so give one of your own.
     """
-    column = F.col(f"`{text}`")
-    hinted = column.rlike(HINT)
-    names = [c for c in docs.columns if c not in (text, "n_private")]
-    found = docs.select(*[F.col(f"`{c}`") for c in names], column.alias(text), F.when(hinted, F.regexp_extract_all(column, F.lit(ANY), F.lit(0))).alias("__found"))
-    found = found.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
-    filled = F.zip_with(F.col("__found"), F.col("__new"), lambda old, new: F.coalesce(new, old))
-    some = F.coalesce(F.size("__found"), F.lit(0)) > 0
-    whole = F.array_join(F.zip_with(F.split(F.col(f"`{text}`"), ANY, -1), filled, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
-    count = F.when(some, F.size(F.filter("__new", lambda x: x.isNotNull()))).otherwise(0).cast("long")
-    out = {text: F.when(some, whole).otherwise(F.col(f"`{text}`")), "n_private": count}
-    order = [c for c in docs.columns if c != "n_private"] + ["n_private"]
-    return found.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in order])
+    while count in docs.columns:
+        count += "_"
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in names.items()])
+    column = F.col(names[text])
+    found = inner.select("*", F.when(column.rlike(HINT), F.regexp_extract_all(column, F.lit(ANY), F.lit(0))).alias("found"))
+    found = found.withColumn("new", F.transform("found", lambda m: pseudonym(m, key)))
+    filled = F.zip_with(F.col("found"), F.col("new"), lambda old, new: F.coalesce(new, old))
+    some = F.coalesce(F.size("found"), F.lit(0)) > 0
+    whole = F.array_join(F.zip_with(F.split(column, ANY, -1), filled, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+    many = F.when(some, F.size(F.filter("new", lambda x: x.isNotNull()))).otherwise(0).cast("long")
+    return found.select(*[(F.when(some, whole).otherwise(column) if c == text else F.col(k)).alias(c) for c, k in names.items()], many.alias(count))

@@ -47,12 +47,28 @@ _LONG = [(re.compile(rb"a{3,}"), b"aa"), (re.compile(rb"A{3,}"), b"AA"), (re.com
 _MARKS = b"#*$%&|<>=~^_{}[]\\"
 
 
+#: First bytes of characters of other scripts in UTF-8: all from Greek on, but general punctuation.
+_OTHER_SCRIPTS = bytes([*range(0xCE, 0xE2), *range(0xE3, 0xF5)])
+_ASCII_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
+
+
+def foreign(text: bytes) -> bool:
+    """Whether most letters of a text belong to another script than the Latin one."""
+    if text.isascii():
+        return False
+    other = len(text) - len(text.translate(None, _OTHER_SCRIPTS))
+    return other > len(text) - len(text.translate(None, _ASCII_LETTERS))
+
+
 def counts(text: bytes) -> dict[str, float]:
-    """What the labellers look at, from a whole text."""
+    """What the labellers look at, from a whole text. In another script than the Latin one words and sentences are not
+    told by blanks, function words and ASCII stops, so nothing is said that depends on them."""
     words = text.split()
     n = len(words)
     if not n:
         return {"n": 0}
+    if foreign(text):
+        return {"n": n, "marks": sum(map(text.count, [bytes([m]) for m in _MARKS])) / max(1, len(text) // 3), "stutter": sum(a == b for a, b in zip(words, words[1:])) / n}
     kinds = Counter(words)
     letters = text.translate(_SHAPE)
     upper, lower = letters.count(b"A"), letters.count(b"a")
@@ -308,10 +324,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         hashing = Hashing(len(model.weights))
         for batch in batches:
             texts = tx.binary(batch, "text")
-            p = np.array([probability(model, *hashing(t)) for t in texts], float)
+            posterior = [model.posteriors.get(votes(t), model.share) for t in texts]
+            p = np.array([q if foreign(t) else probability(model, *hashing(t)) for t, q in zip(texts, posterior)], float)
             abusive = [model.toxicity(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(p), pa.array([model.posteriors.get(votes(t), model.share) for t in texts], pa.float64()), pa.array(abusive, pa.float64()), pa.array([bool(a >= threshold and b < 0.5 and t.strip()) for a, b, t in zip(p, abusive, texts)], pa.bool_())],
+                [batch.column("doc_id"), pa.array(p), pa.array(posterior, pa.float64()), pa.array(abusive, pa.float64()), pa.array([bool(a >= threshold and b < 0.5 and t.strip()) for a, b, t in zip(p, abusive, texts)], pa.bool_())],
                 names=["doc_id", "score", "posterior", "toxicity", "kept"],
             )
 
@@ -325,7 +342,9 @@ def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sampl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = Hashing(len(model.weights))
         for batch in batches:
-            good = [bool(t.strip()) and probability(model, *hashing(t)) >= threshold and model.toxicity(t) < 0.5 for t in tx.binary(batch, text)]
+            texts = tx.binary(batch, text)
+            said = [model.posteriors.get(votes(t), model.share) if foreign(t) else probability(model, *hashing(t)) for t in texts]
+            good = [bool(t.strip()) and p >= threshold and model.toxicity(t) < 0.5 for t, p in zip(texts, said)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -335,7 +354,9 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
     """Each row's score, posterior, toxicity and whether it is kept: whether it is good and not abusive.
 
     A null, empty or blank text is rejected. A row is judged by its text alone, so repeated rows and ties get equal
-    verdicts; a null doc_id is passed on; an empty table gives an empty result. Other columns play no part.
+    verdicts; a null doc_id is passed on; an empty table gives an empty result. Other columns play no part. A very long
+    text is read whole, in one task. A text in another script than the Latin one, of which the scorer has seen nothing,
+    is scored by the posterior of its votes, in which labellers that know Latin texts alone abstain.
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return score(docs, fit(docs, sample), threshold)

@@ -1,7 +1,9 @@
 """Each operator against brute force on a fixture with nulls, empty, long and repeated texts and clashing columns."""
 
+import datetime
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -288,6 +290,18 @@ def test_pseudonyms(spark, docs, none):
     assert rows(pii.pseudonymise(docs))[1].runs == "r"
 
 
+def test_pseudonyms_beside_any_columns(spark):
+    df = spark.createDataFrame([(1, "born 1990-01-31, 31.12.2001, 02/28/1999 or 28/02/1999, not 1915-03-02 or 30/30/2000", "a", "b", 7, "c")], "doc_id long, text string, __found string, __new string, n_private int, c0 string")
+    got = pii.pseudonymise(df)
+    r = got.first()
+    assert got.columns == [*df.columns, "n_private_"] and (r["__found"], r["__new"], r["n_private"], r["c0"], r["n_private_"]) == ("a", "b", 7, "c", 4)
+    form = lambda p: datetime.datetime.strptime(*p)
+    a, b, c, d = re.match(r"born (\S+), (\S+), (\S+) or (\S+), not 1915-03-02 or 30/30/2000$", r.text).groups()
+    dates = [form(p) for p in ((a, "%Y-%m-%d"), (b, "%d.%m.%Y"), (c, "%m/%d/%Y"), (d, "%d/%m/%Y"))]
+    assert dates[2] == dates[3] and len(set(dates)) == 3
+    assert pii.pseudonymise(df, key="another").first().text != r.text
+
+
 def test_feistel_is_a_permutation(spark):
     n = 400
     moved = pii.feistel(F.floor(F.col("id") / 20), F.col("id") % 20, F.lit(20), F.lit(20), "k", "d")
@@ -384,6 +398,51 @@ def test_quality(spark, docs, none):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in weak_labels.classify(docs).collect() if r.kept}
 
 
+def test_other_scripts_are_not_judged_by_latin_words(spark):
+    fine = ["这是一段关于河流和山脉的文字，内容清楚。" * 5, "Это чистый текст о реке и горах, он хорошо написан. " * 5, "هذا نص نظيف عن النهر والجبال. " * 6]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    df = docs.union(spark.createDataFrame(list(enumerate(fine, 9000)) + [(9100, "$$ ## " * 40 + "河")], "doc_id long, text string"))
+    got = rows(weak_labels.classify(df))
+    assert all(got[9000 + i].kept for i in range(len(fine))) and not got[9100].kept
+    assert {9000, 9001, 9002} <= {r.doc_id for r in weak_labels.keep_good(df).collect()}
+    assert not weak_labels.foreign("déjà vu, señor, Straße".encode()) and not weak_labels.foreign(b"")
+
+
+def test_expectation_maximisation():
+    """Against the same steps for each document by itself, and the rates of labellers whose votes were drawn with known ones."""
+    r = random.Random(11)
+    truth = [r.random() < 0.8 for _ in range(4000)]
+    right = [0.95, 0.9, 0.8, 0.7]
+    drawn = ["".join("-" if r.random() < 0.1 else "gb"[(r.random() < a) != good] for a in right) for good in truth]
+    patterns = Counter(drawn)
+    posterior, rates, share = weak_labels.estimate(patterns)
+    good = [0.1 if "b" in v else 0.95 for v in drawn]
+    strength = max(1.0, 0.001 * len(drawn))
+    for _ in range(100):
+        rate, total = [], sum(good)
+        for l in range(len(right)):
+            cells = [[2.0 * strength, 2.0 * strength], [0.1 * strength, 5.0 * strength]]
+            for v, g in zip(drawn, good):
+                if v[l] != "-":
+                    cells[0]["bg".index(v[l])] += 1 - g
+                    cells[1]["bg".index(v[l])] += g
+            rate.append([[x / sum(c) for x in c] for c in cells])
+        part = (total + 1) / (len(drawn) + 2)
+        new = []
+        for v in drawn:
+            odds = [1 - part, part]
+            for l, mark in enumerate(v):
+                if mark != "-":
+                    odds = [odds[c] * rate[l][c]["bg".index(mark)] for c in (0, 1)]
+            new.append(odds[1] / sum(odds))
+        done, good = max(abs(a - b) for a, b in zip(new, good)) < 1e-9, new
+        if done:
+            break
+    assert max(abs(posterior[v] - g) for v, g in zip(drawn, good)) < 1e-6
+    assert abs(share - 0.8) < 0.03 and all(abs(rates[l, 1, 1] - a) < 0.04 for l, a in enumerate(right))
+    assert np.mean([(posterior[v] >= 0.5) == t for v, t in zip(drawn, truth)]) > 0.93
+
+
 def test_labels_held_out(spark):
     folder = "/root/testdata/sf0.01"
     got = weak_labels.classify(spark.read.parquet(f"{folder}/documents.parquet")).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
