@@ -1,4 +1,8 @@
-"""A training corpus from documents: five stages, each an operator of takewise.llm."""
+"""A training corpus from documents: five stages, each an operator of takewise.llm.
+
+Every stage takes an empty table, columns of further names, repeated rows and rows without doc_id; but for the last each
+returns the columns it got. The key of the pseudonyms is the session's spark.takewise.pseudonymKey.
+"""
 
 from __future__ import annotations
 
@@ -18,31 +22,34 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label scorer rejects go."""
+    """Documents that the weak-label scorer rejects go, those with a null, empty or blank text among them."""
     tx.short_batches(spark)
     return weak_labels.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (shingles of five words, 0.8 similar) the one with the smallest doc_id stays."""
+    """Of near duplicates (shingles of five words, 0.8 similar) the one with the smallest doc_id stays; its repeated rows
+    stay with it. Documents without words or without doc_id are nobody's duplicates."""
     tx.short_batches(spark)
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 20 words or more that also start earlier go; what is left of a document stays."""
+    """Passages of 20 words or more that also start earlier go; what is left of a document stays, if only an empty text.
+    Rows without doc_id stay as they are."""
     tx.short_batches(spark)
     return _measured(substrings.strip_passages(docs))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Private values are replaced."""
-    return _measured(pii.pseudonymise(docs).select(*docs.columns))
+    """Private values are replaced; a null or empty text has none."""
+    key = spark.conf.get("spark.takewise.pseudonymKey", "takewise")
+    return _measured(pii.pseudonymise(docs, key=key).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences: the place of each piece of each document."""
+    """The sequences: the place of each piece of each document; a null or empty text is the end token alone."""
     tx.short_batches(spark)
     return packing.pack(docs)
 
