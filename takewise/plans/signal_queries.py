@@ -48,6 +48,32 @@ def _bounds(f):
     return f.groupBy("recording_id").agg((F.count(F.lit(1)) * 3.0).alias("duration_sec")).join(peaks, "recording_id", "left")
 
 
+def _peaks(f):
+    return segment.novelty_peaks(segment.novelty(f, ["c0", "c1"], 4), 0.3, 8)
+
+
+def _riffs_of_peaks(f):
+    """Riffs between the peaks that novelty finds, a second a frame."""
+    peaks = _peaks(f).groupBy("recording_id").agg(F.collect_list(F.col("frame_idx").cast("double")).alias("peaks"))
+    bounds = f.groupBy("recording_id").agg(F.count(F.lit(1)).cast("double").alias("duration_sec"))
+    return segment.assemble_riffs(bounds.join(peaks, "recording_id", "left"))
+
+
+def _curves(f, *sizes):
+    got = contour.contour_curves(f.select("recording_id", "frame_idx", F.col("rms").alias("centroid"), F.col("flatness").alias("rolloff")), ["recording_id"], *sizes)
+    return got.select("recording_id", _points("centroid_curve").alias("centroid"), _points("rolloff_curve").alias("rolloff"))
+
+
+def _standard(s, d, curve, *n):
+    got = ad.riffs(s, d).select("riff_id", contour.standard_form(F.col(curve), *n).alias("f"))
+    return got.select("riff_id", _points("f.contour").alias("contour"), F.array_join(F.col("f.intervals").cast("array<string>"), ",").alias("intervals"))
+
+
+def _pattern(h, *slots):
+    got = rhythm.beat_pattern(rhythm.assign_beats(_off(h), _beats(h), ["recording_id"]), ["recording_id"], "strength", *slots)
+    return got.select("recording_id", _points("pattern").alias("pattern"), "uniformity")
+
+
 def _beats(h):
     return h.where("idx % 4 = 0").select("recording_id", F.floor(F.col("idx") / 4).cast("long").alias("idx"), "t_sec")
 
@@ -72,13 +98,14 @@ def _fingerprints(s, d):
     fields = ("riff_id", "groove", "drums", "spectral", "tempo", F.col("uniformity").alias("onset_uniformity"))
     own = r.select("riff_id", (F.col("riff_id") % 6).alias("n_beats"), (F.col("riff_id") % 8 / 4).alias("duration_sec"))
     got = rhythm.choose_fingerprint(own, r.select(*fields), r.withColumn("tempo", F.col("tempo") + 1).withColumn("groove", F.col("drums")).select(*fields), ["riff_id"])
-    return got.select("riff_id", F.size("groove").cast("long").alias("n"), R6("tempo"), R6("onset_uniformity"), F.round(F.get("groove", F.lit(0)), 6).alias("g0"), "degraded")
+    return got.select("riff_id", F.size("groove").cast("long").alias("n"), R6("tempo"), R6("onset_uniformity"), *[_points(c).alias(c) for c in ("groove", "drums", "spectral")], "degraded")
 
 
 def _selected(s, d):
     r = ad.riffs(s, d)
-    got = contour.select_contour(r.select("riff_id", F.when(F.col("riff_id") % 4 == 0, F.col("groove")).alias("pitch"), F.col("contour").alias("centroid"), F.reverse("contour").alias("rolloff"), (F.col("riff_id") % 9 / 2).alias("duration_sec")))
-    return got.select("riff_id", "method", F.size("curve").cast("long").alias("n"))
+    rolloff = F.when(F.col("riff_id") % 3 == 0, F.array_sort("contour")).otherwise(F.slice("contour", 1, 40))
+    got = contour.select_contour(r.select("riff_id", F.when(F.col("riff_id") % 4 == 0, F.col("groove")).alias("pitch"), F.col("contour").alias("centroid"), rolloff.alias("rolloff"), (F.col("riff_id") % 9 / 2).alias("duration_sec")))
+    return got.select("riff_id", "method", F.size("curve").cast("long").alias("n"), _points("curve").alias("points"))
 
 
 def _points(column):
@@ -93,17 +120,23 @@ QUERIES = {
     "t5_boundary": _boundary,
     "t6_segments": _segments,
     "r1_novelty": _frames(lambda f: segment.novelty(f, ["c0", "c1"], 4).select("recording_id", "frame_idx", R6("novelty"))),
-    "r2_peaks": _frames(lambda f: segment.novelty_peaks(segment.novelty(f, ["c0", "c1"], 4), 0.3, 8).select("recording_id", "frame_idx", R6("novelty"))),
+    "r1_novelty_wide": _frames(lambda f: segment.novelty(f, ["c0", "c1"]).select("recording_id", "frame_idx", R6("novelty"))),
+    "r2_peaks": _frames(lambda f: _peaks(f).select("recording_id", "frame_idx", R6("novelty"))),
+    "r2_peaks_wide": _frames(lambda f: segment.novelty_peaks(segment.novelty(f, ["c0", "c1"], 4)).select("recording_id", "frame_idx", R6("novelty"))),
     "r3_riffs": _frames(lambda f: segment.assemble_riffs(_bounds(f))),
-    "c1_curves": _frames(lambda f: contour.contour_curves(f.select("recording_id", "frame_idx", F.col("rms").alias("centroid"), F.col("flatness").alias("rolloff")), ["recording_id"], 5, 4).select("recording_id", _points("centroid_curve").alias("centroid"), _points("rolloff_curve").alias("rolloff"))),
+    "r3_riffs_of_peaks": _frames(_riffs_of_peaks),
+    "c1_curves": _frames(lambda f: _curves(f, 5, 4)),
+    "c1_curves_wide": _frames(lambda f: _curves(f)),
     "c2_pitch_track": _hours(lambda h: contour.pitch_track_curve(_f0(h), ["recording_id"]).select("recording_id", "frame_idx", R6("midi"))),
-    "c2_pitch_curves": _hours(lambda h: contour.pitch_curves(contour.pitch_track_curve(_f0(h), ["recording_id"]), ["recording_id"]).select("recording_id", F.size("curve").cast("long").alias("n"))),
+    "c2_pitch_curves": _hours(lambda h: contour.pitch_curves(contour.pitch_track_curve(_f0(h), ["recording_id"]), ["recording_id"]).select("recording_id", F.size("curve").cast("long").alias("n"), _points("curve").alias("points"))),
     "c3_quality": lambda s, d: ad.riffs(s, d).select("riff_id", F.round(contour.contour_quality(F.col("contour")), 6).alias("quality")),
     "c4_selected": _selected,
     "c5_resampled": lambda s, d: ad.riffs(s, d).select("riff_id", _points(arrays.resampled(F.col("groove"), 10)).alias("points")),
-    "c6_c7_standard_form": lambda s, d: ad.riffs(s, d).select("riff_id", contour.standard_form(F.col("groove"), 16).alias("f")).select("riff_id", _points("f.contour").alias("contour"), F.array_join(F.col("f.intervals").cast("array<string>"), ",").alias("intervals")),
+    "c6_c7_standard_form": lambda s, d: _standard(s, d, "groove", 16),
+    "c6_c7_standard_form_200": lambda s, d: _standard(s, d, "contour"),
     "g1_beats": _hours(lambda h: rhythm.assign_beats(_off(h), _beats(h), ["recording_id"]).select("recording_id", "idx", "beat_idx")),
-    "g2_pattern": _hours(lambda h: rhythm.beat_pattern(rhythm.assign_beats(_off(h), _beats(h), ["recording_id"]), ["recording_id"], "strength", 4).select("recording_id", _points("pattern").alias("pattern"), "uniformity")),
+    "g2_pattern": _hours(lambda h: _pattern(h, 4)),
+    "g2_pattern_16": _hours(lambda h: _pattern(h)),
     "g3_tempo": _hours(lambda h: rhythm.tempo_from_beats(_beats(h), ["recording_id"])),
     "g4_spectral_mean": _frames(lambda f: rhythm.spectral_mean(f.withColumn("contrast", F.array("c0", "c1")), ["recording_id"]).select("recording_id", F.col("spectral")[0].alias("s0"), F.col("spectral")[1].alias("s1"))),
     "g5_histogram": _hours(lambda h: rhythm.ioi_histogram(h, ["recording_id"], 39, 0.05).select("recording_id", _points("groove").alias("groove"))),
@@ -143,12 +176,64 @@ cw AS (SELECT *, max(start_sec) OVER (PARTITION BY recording_id) - min(start_sec
 cx AS (SELECT * FROM cw QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY CASE WHEN early THEN 0 ELSE -confidence END, start_sec, k) = 1),
 chosen AS (SELECT dur.recording_id, coalesce(start_sec, 0) AS start_sec, coalesce(end_sec, duration_sec) AS end_sec, coalesce(confidence, 0) AS confidence, coalesce(method, 'none') AS method, duration_sec FROM dur LEFT JOIN cx USING (recording_id))"""
 _OUT = "SELECT recording_id, round(start_sec, 6) AS start_sec, round(end_sec, 6) AS end_sec, round(confidence, 6) AS confidence, method FROM "
-_NOV = """n0 AS (SELECT *, sqrt(c0 * c0 + c1 * c1) AS nm, count(*) OVER (PARTITION BY recording_id) AS n FROM frames),
+
+
+def _nov(half):
+    return f"""n0 AS (SELECT *, sqrt(c0 * c0 + c1 * c1) AS nm, count(*) OVER (PARTITION BY recording_id) AS n FROM frames),
 n1 AS (SELECT recording_id, frame_idx, n, c0 / CASE WHEN nm < 1e-10 THEN 1 ELSE nm END AS u, c1 / CASE WHEN nm < 1e-10 THEN 1 ELSE nm END AS v FROM n0),
-n2 AS (SELECT recording_id, frame_idx, CASE WHEN frame_idx >= 4 AND frame_idx < n - 4 THEN (sum(u) OVER b - sum(u) OVER a) ** 2 + (sum(v) OVER b - sum(v) OVER a) ** 2 ELSE 0 END AS raw FROM n1
-  WINDOW b AS (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))"""
+n2 AS (SELECT recording_id, frame_idx, CASE WHEN frame_idx >= {half} AND frame_idx < n - {half} THEN (sum(u) OVER b - sum(u) OVER a) ** 2 + (sum(v) OVER b - sum(v) OVER a) ** 2 ELSE 0 END AS raw FROM n1
+  WINDOW b AS (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN {half} PRECEDING AND 1 PRECEDING), a AS (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND {half - 1} FOLLOWING)),
+nov AS (SELECT recording_id, frame_idx, CASE WHEN max(raw) OVER (PARTITION BY recording_id) > 0 THEN raw / max(raw) OVER (PARTITION BY recording_id) ELSE raw END AS novelty FROM n2)"""
+
+
+def _found_peaks(distance):
+    return f"""k0 AS (SELECT *, CASE WHEN lag(novelty) OVER w = novelty THEN 0 ELSE 1 END AS fresh FROM nov WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx)),
+k1 AS (SELECT *, sum(fresh) OVER (PARTITION BY recording_id ORDER BY frame_idx) AS run FROM k0),
+k2 AS (SELECT recording_id, min(frame_idx) AS a, max(frame_idx) AS b, first(novelty) AS novelty FROM k1 GROUP BY recording_id, run),
+k3 AS (SELECT *, lag(novelty) OVER w AS before, lead(novelty) OVER w AS after FROM k2 WINDOW w AS (PARTITION BY recording_id ORDER BY a)),
+k4 AS (SELECT recording_id, (a + b) // 2 AS frame_idx, novelty FROM k3 WHERE novelty > before AND novelty > after AND novelty >= 0.3),
+k5 AS (SELECT recording_id, list([frame_idx] ORDER BY novelty DESC, frame_idx DESC) AS l FROM k4 GROUP BY 1),
+k6 AS (SELECT recording_id, list_reduce(l, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: abs(y - x[1]) < {distance})) > 0 THEN kept ELSE list_append(kept, x[1]) END, []::BIGINT[]) AS kept FROM k5),
+peaks AS (SELECT k4.* FROM k4 JOIN k6 USING (recording_id) WHERE list_contains(kept, frame_idx))"""
+
+
+#: Riffs of bounds (recording_id, d, p): starts of parts by a fold over the points, then parts over a minute in equal pieces.
+_CUT = """q0 AS (SELECT recording_id, d, CASE WHEN d < 3 THEN [0.0, d] ELSE list_sort(list_distinct(list_concat([0.0::DOUBLE, d], coalesce(p, []::DOUBLE[])))) END AS pts FROM bounds),
+q1 AS (SELECT recording_id, list_reduce(list_transform(pts[2:], lambda x: [x]), lambda s, x: CASE WHEN x[1] - s[len(s)] < 3 AND x[1] < pts[len(pts)] THEN s ELSE list_append(s, x[1]) END, [0.0::DOUBLE]) AS e FROM q0),
+q2 AS (SELECT recording_id, unnest(range(1, len(e))) AS i, e FROM q1), q3 AS (SELECT recording_id, i, e[i] AS a, e[i + 1] AS b, greatest(1, ceil((e[i + 1] - e[i]) / 60))::BIGINT AS c FROM q2),
+q4 AS (SELECT recording_id, i, a, b, c, unnest(range(0, c)) AS j FROM q3)
+SELECT recording_id, (row_number() OVER (PARTITION BY recording_id ORDER BY i, j) - 1)::INTEGER AS riff_index, round(a + j * (b - a) / c, 3) AS start_sec, round(a + (j + 1) * (b - a) / c, 3) AS end_sec FROM q4"""
+
+
+def _filtered(column, size, what):
+    """A list that slides over a column (a list), continued by reflection."""
+    at = f"((i + o) % (2 * len({column})) + 2 * len({column})) % (2 * len({column}))"
+    return f"list_transform(range(0, len({column})), lambda i: {what}(list_transform(range({-(size // 2)}, {size - size // 2}), lambda o: {column}[CASE WHEN {at} < len({column}) THEN {at} ELSE 2 * len({column}) - 1 - {at} END + 1])))"
+
+
+def _curves_sql(median, mean):
+    return over("frames", f"""AND WITH l AS (SELECT recording_id, list(rms ORDER BY frame_idx) AS x, list(flatness ORDER BY frame_idx) AS y FROM frames GROUP BY 1),
+m AS (SELECT recording_id, {_filtered("x", median, "list_median")} AS x, y FROM l), r AS (SELECT recording_id, {_filtered("x", mean, "list_avg")} AS x, {_filtered("y", mean, "list_avg")} AS y FROM m)
+SELECT recording_id, {_PTS("x")} AS centroid, {_PTS("y")} AS rolloff FROM r""")
+
+
+def _standard_sql(curve, n):
+    return over("riffs", f"""AND WITH a AS (SELECT riff_id, {_RES(curve, n)} AS v FROM riffs), b AS (SELECT *, list_sum(v) / {n} AS mu FROM a),
+c AS (SELECT *, sqrt(list_sum(list_transform(v, lambda q: (q - mu) * (q - mu))) / {n}) AS sd FROM b), d AS (SELECT riff_id, list_transform(v, lambda q: CASE WHEN sd > 1e-8 THEN (q - mu) / sd ELSE 0 END) AS z FROM c),
+e AS (SELECT *, list_transform(range(1, {n}), lambda i: z[i + 1] - z[i]) AS t FROM d), g AS (SELECT *, sqrt(list_sum(list_transform(t, lambda q: (q - list_sum(t) / {n - 1}) * (q - list_sum(t) / {n - 1}))) / {n - 1}) AS w FROM e)
+SELECT riff_id, {_PTS("list_transform(z, lambda y: round(y, 4))")} AS contour, array_to_string(list_transform(t, lambda q: CASE WHEN q > w THEN 2 WHEN q > 0.25 * w THEN 1 WHEN q < -w THEN -2 WHEN q < -0.25 * w THEN -1 ELSE 0 END::VARCHAR), ',') AS intervals FROM g""")
+
+
+def _pattern_sql(n):
+    return over("hours", f"""AND WITH {_BEAT}, l AS (SELECT recording_id, beat_idx, list(strength ORDER BY t_sec) AS groove FROM asg GROUP BY 1, 2),
+r AS (SELECT recording_id, beat_idx, {_RES('groove', n)} AS v FROM l), n AS (SELECT recording_id, list_transform(v, lambda q: CASE WHEN list_max(v) > 1e-8 THEN q / list_max(v) ELSE q END) AS v FROM r),
+m AS (SELECT recording_id, [{', '.join(f'avg(v[{k + 1}])' for k in range(n))}] AS p FROM n GROUP BY 1), u AS (SELECT recording_id, p, list_sum(p) / {n} AS mu FROM m)
+SELECT recording_id, {_PTS("list_transform(p, lambda y: round(y, 4))")} AS pattern, round(CASE WHEN mu > 1e-8 THEN greatest(0, least(1, 1 - sqrt(list_sum(list_transform(p, lambda q: (q - mu) * (q - mu))) / {n}) / mu)) ELSE 0.5 END, 4) AS uniformity FROM u""")
+
+
 _PTS = lambda v: f"array_to_string(list_transform({v}, lambda q: round(q * 10000)::BIGINT::VARCHAR), ',')"
 _RES = lambda v, n: f"list_transform(range(0, {n}), lambda k: CASE WHEN k * len({v}) / ({n} - 1.0::DOUBLE) >= len({v}) - 1 THEN {v}[len({v})] ELSE {v}[(k * len({v}) // ({n} - 1)) + 1] + ({v}[(k * len({v}) // ({n} - 1)) + 2] - {v}[(k * len({v}) // ({n} - 1)) + 1]) * (k * len({v}) / ({n} - 1.0::DOUBLE) - (k * len({v}) // ({n} - 1))) END)"
+_LAGS = lambda d: f"list_transform(range(0, 20), lambda k: list_sum(list_transform(range(1, len({d}) - k + 1), lambda i: {d}[i] * {d}[i + k])))"
 _BEAT = "bt AS (SELECT recording_id, idx // 4 AS b, t_sec, lead(t_sec) OVER (PARTITION BY recording_id ORDER BY idx) AS nxt FROM hours WHERE idx % 4 = 0), asg AS (SELECT h.recording_id, h.idx, b AS beat_idx, h.t_sec, h.strength FROM hours h JOIN bt ON bt.recording_id = h.recording_id AND h.t_sec >= bt.t_sec AND h.t_sec < bt.nxt WHERE h.idx % 4 <> 0)"
 
 _PITCHED = """f AS (SELECT recording_id, idx, CASE WHEN idx % 3 <> 0 THEN 12 * (log2(100 + strength) - log2(440.0::DOUBLE)) + 69 END AS note, avg(0.4 + (recording_id % 5) * 0.1::DOUBLE) OVER (PARTITION BY recording_id) AS c,
@@ -158,17 +243,24 @@ k AS (SELECT *, last_value(note IGNORE NULLS) OVER a AS ln, last_value(CASE WHEN
 
 ORACLE_SQL = {
     "c2_pitch_track": over("hours", f"AND WITH {_PITCHED} SELECT recording_id, idx AS frame_idx, round(CASE WHEN ln IS NULL THEN hn WHEN hn IS NULL OR hi = li THEN ln ELSE ln + (hn - ln) * (idx - li) / (hi - li) END, 6) AS midi FROM k"),
-    "c2_pitch_curves": over("hours", f"AND WITH {_PITCHED} SELECT recording_id, count(*) AS n FROM k GROUP BY 1"),
-    "c4_selected": over("riffs", """AND WITH q AS (SELECT riff_id, list_transform(range(1, len(contour)), lambda i: contour[i + 1] - contour[i]) AS d FROM riffs)
-SELECT riff_id, CASE WHEN riff_id % 9 / 2 < 1 THEN 'none' WHEN riff_id % 4 = 0 THEN 'pyin' ELSE 'centroid' END AS method, CASE WHEN riff_id % 9 / 2 < 1 THEN 0 WHEN riff_id % 4 = 0 THEN 16 ELSE 64 END::BIGINT AS n FROM q"""),
-    "c6_c7_standard_form": over("riffs", f"""AND WITH a AS (SELECT riff_id, {_RES('groove', 16)} AS v FROM riffs), b AS (SELECT *, list_sum(v) / 16 AS mu FROM a),
-c AS (SELECT *, sqrt(list_sum(list_transform(v, lambda q: (q - mu) * (q - mu))) / 16) AS sd FROM b), d AS (SELECT riff_id, list_transform(v, lambda q: CASE WHEN sd > 1e-8 THEN (q - mu) / sd ELSE 0 END) AS z FROM c),
-e AS (SELECT *, list_transform(range(1, 16), lambda i: z[i + 1] - z[i]) AS t FROM d), g AS (SELECT *, sqrt(list_sum(list_transform(t, lambda q: (q - list_sum(t) / 15) * (q - list_sum(t) / 15))) / 15) AS w FROM e)
-SELECT riff_id, {_PTS("list_transform(z, lambda y: round(y, 4))")} AS contour, array_to_string(list_transform(t, lambda q: CASE WHEN q > w THEN 2 WHEN q > 0.25 * w THEN 1 WHEN q < -w THEN -2 WHEN q < -0.25 * w THEN -1 ELSE 0 END::VARCHAR), ',') AS intervals FROM g"""),
-    "g2_pattern": over("hours", f"""AND WITH {_BEAT}, l AS (SELECT recording_id, beat_idx, list(strength ORDER BY t_sec) AS groove FROM asg GROUP BY 1, 2),
-r AS (SELECT recording_id, beat_idx, {_RES('groove', 4)} AS v FROM l), n AS (SELECT recording_id, list_transform(v, lambda q: CASE WHEN list_max(v) > 1e-8 THEN q / list_max(v) ELSE q END) AS v FROM r),
-m AS (SELECT recording_id, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS p FROM n GROUP BY 1), u AS (SELECT recording_id, p, list_sum(p) / 4 AS mu FROM m)
-SELECT recording_id, {_PTS("list_transform(p, lambda y: round(y, 4))")} AS pattern, round(CASE WHEN mu > 1e-8 THEN greatest(0, least(1, 1 - sqrt(list_sum(list_transform(p, lambda q: (q - mu) * (q - mu))) / 4) / mu)) ELSE 0.5 END, 4) AS uniformity FROM u"""),
+    "c2_pitch_curves": over("hours", f"""AND WITH {_PITCHED}, l AS (SELECT recording_id, list(CASE WHEN ln IS NULL THEN hn WHEN hn IS NULL OR hi = li THEN ln ELSE ln + (hn - ln) * (idx - li) / (hi - li) END ORDER BY idx) AS x FROM k GROUP BY 1),
+m AS (SELECT recording_id, {_filtered("x", 15, "list_avg")} AS x FROM l) SELECT recording_id, len(x) AS n, {_PTS("x")} AS points FROM m"""),
+    "c4_selected": over("riffs", f"""AND WITH q AS (SELECT *, CASE WHEN riff_id % 3 = 0 THEN list_sort(contour) ELSE contour[1:40] END AS rolloff FROM riffs),
+d AS (SELECT *, list_transform(range(1, len(contour)), lambda i: contour[i + 1] - contour[i]) AS dc, list_transform(range(1, len(rolloff)), lambda i: rolloff[i + 1] - rolloff[i]) AS dr FROM q),
+a AS (SELECT *, {_LAGS("dc")} AS ac, {_LAGS("dr")} AS ar FROM d),
+m AS (SELECT *, CASE WHEN riff_id % 9 / 2 < 1 THEN 'none' WHEN riff_id % 4 = 0 THEN 'pyin' WHEN greatest(0, list_sum(ac[2:20]) / ac[1]) >= greatest(0, list_sum(ar[2:20]) / ar[1]) THEN 'centroid' ELSE 'rolloff' END AS method FROM a),
+c AS (SELECT riff_id, method, CASE method WHEN 'pyin' THEN groove WHEN 'centroid' THEN contour WHEN 'rolloff' THEN rolloff ELSE [] END AS curve FROM m)
+SELECT riff_id, method, len(curve) AS n, CASE WHEN len(curve) = 0 THEN '' ELSE {_PTS("curve")} END AS points FROM c"""),
+    "c6_c7_standard_form": _standard_sql("groove", 16),
+    "c6_c7_standard_form_200": _standard_sql("contour", 200),
+    "g2_pattern": _pattern_sql(4),
+    "g2_pattern_16": _pattern_sql(16),
+    "c1_curves": _curves_sql(5, 4),
+    "c1_curves_wide": _curves_sql(15, 25),
+    "r2_peaks": over("frames", f"AND WITH {_nov(4)}, {_found_peaks(8)} SELECT recording_id, frame_idx, round(novelty, 6) AS novelty FROM peaks"),
+    "r2_peaks_wide": over("frames", f"AND WITH {_nov(4)}, {_found_peaks(172)} SELECT recording_id, frame_idx, round(novelty, 6) AS novelty FROM peaks"),
+    "r3_riffs": over("frames", f"AND WITH bounds AS (SELECT recording_id, count(*) * 3.0::DOUBLE AS d, list(frame_idx * 2.5::DOUBLE) FILTER (frame_idx % 7 = 3 AND rms > 50) AS p FROM frames GROUP BY 1), {_CUT}"),
+    "r3_riffs_of_peaks": over("frames", f"AND WITH {_nov(4)}, {_found_peaks(8)}, pl AS (SELECT recording_id, list(frame_idx::DOUBLE) AS p FROM peaks GROUP BY 1), bounds AS (SELECT recording_id, count(*)::DOUBLE AS d, any_value(p) AS p FROM frames LEFT JOIN pl USING (recording_id) GROUP BY 1), {_CUT}"),
     "g5_histogram": over("hours", f"""AND WITH x AS (SELECT recording_id, lead(t_sec) OVER (PARTITION BY recording_id ORDER BY idx) - t_sec AS gap, count(*) OVER (PARTITION BY recording_id) AS n FROM hours),
 y AS (SELECT recording_id, CASE WHEN gap <= 39 * 0.05::DOUBLE THEN least(floor(gap / 0.05::DOUBLE), 38)::INTEGER END AS b FROM x WHERE n > 2 AND gap IS NOT NULL),
 z AS (SELECT recording_id, list(b) FILTER (b IS NOT NULL) AS l, count(b) AS m FROM y GROUP BY 1)
@@ -179,7 +271,8 @@ SELECT recording_id, {_PTS("list_transform(range(0, 39), lambda k: CASE WHEN m >
     "t4_pitched_content": over("frames", f"AND WITH {_PITCH} {_OUT} pitched"),
     "t5_boundary": over("frames hours", f"AND WITH {_ALL} {_OUT} chosen"),
     "t6_segments": over("frames hours", f"AND WITH {_ALL}, x AS (SELECT recording_id, least(start_sec, duration_sec) AS a, least(end_sec, duration_sec) AS b, duration_sec AS t FROM chosen), y AS (SELECT recording_id, 'pre' AS part, 0.0::DOUBLE AS f, a AS u FROM x UNION ALL SELECT recording_id, 'song', a, greatest(a, b) FROM x UNION ALL SELECT recording_id, 'post', greatest(a, b), t FROM x) SELECT recording_id, part, round(f, 6) AS from_sec, round(u, 6) AS to_sec, recording_id || '_' || part || '.opus' AS name FROM y WHERE part = 'song' OR u - f > 1"),
-    "r1_novelty": over("frames", f"AND WITH {_NOV} SELECT recording_id, frame_idx, round(CASE WHEN max(raw) OVER (PARTITION BY recording_id) > 0 THEN raw / max(raw) OVER (PARTITION BY recording_id) ELSE raw END, 6) AS novelty FROM n2"),
+    "r1_novelty": over("frames", f"AND WITH {_nov(4)} SELECT recording_id, frame_idx, round(novelty, 6) AS novelty FROM nov"),
+    "r1_novelty_wide": over("frames", f"AND WITH {_nov(32)} SELECT recording_id, frame_idx, round(novelty, 6) AS novelty FROM nov"),
     "c3_quality": over("riffs", "AND WITH q AS (SELECT riff_id, list_transform(range(1, len(contour)), lambda i: contour[i + 1] - contour[i]) AS d FROM riffs), p AS (SELECT riff_id, list_transform(range(0, 20), lambda k: list_sum(list_transform(range(1, len(d) - k + 1), lambda i: d[i] * d[i + k]))) AS a FROM q) SELECT riff_id, round(greatest(0, list_sum(a[2:20]) / a[1] / 19), 6) AS quality FROM p"),
     "c5_resampled": over("riffs", f"SELECT riff_id, {_PTS(_RES('groove', 10))} AS points FROM riffs"),
     "g1_beats": over("hours", f"AND WITH {_BEAT} SELECT recording_id, idx, beat_idx FROM asg"),
@@ -188,5 +281,7 @@ SELECT recording_id, {_PTS("list_transform(range(0, 39), lambda k: CASE WHEN m >
     "g6_autocorr": over("riffs", f"AND WITH x AS (SELECT riff_id, groove, list_sum(list_transform(groove, lambda q: q * q)) AS z FROM riffs) SELECT riff_id, {_PTS('list_transform(range(0, 5), lambda k: round(list_sum(list_transform(range(1, 17 - k), lambda i: groove[i] * groove[i + k])) / z, 4))')} AS drums FROM x"),
     "g8_flags": over("riffs", "AND WITH x AS (SELECT recording_id, unnest(list_filter(['no_madmom:librosa_beat_tracking', CASE WHEN riff_id % 3 = 0 THEN 'riff_' || riff_index || ':fallback_fingerprint' END, CASE WHEN riff_id % 7 = 0 THEN 'riff_' || riff_index || ':no_contour' END, CASE WHEN riff_id % 11 = 0 THEN 'riff_' || riff_index || ':empty_groove' END], lambda q: q IS NOT NULL)) AS f FROM riffs) SELECT recording_id, string_agg(DISTINCT f, ',' ORDER BY f) AS flags FROM x GROUP BY 1"),
     "g9_overall_tempo": over("riffs", "SELECT recording_id, round(avg(CASE WHEN tempo > 0 THEN tempo END), 1) AS tempo FROM riffs GROUP BY 1"),
-    "g7_fingerprint": over("riffs", "AND WITH x AS (SELECT *, riff_id % 8 / 4 < 1 AS short, riff_id % 6 < 4 AS few FROM riffs) SELECT riff_id, CASE WHEN short THEN 0 ELSE 16 END::BIGINT AS n, round(CASE WHEN short THEN 0 WHEN few THEN tempo + 1 ELSE tempo END, 6) AS tempo, round(CASE WHEN short OR few THEN 0.5 ELSE uniformity END, 6)::DOUBLE AS onset_uniformity, round(CASE WHEN short THEN NULL WHEN few THEN drums[1] ELSE groove[1] END, 6) AS g0, few AND NOT short AS degraded FROM x"),
+    "g7_fingerprint": over("riffs", f"""AND WITH x AS (SELECT *, riff_id % 8 / 4 < 1 AS short, riff_id % 6 < 4 AS few FROM riffs)
+SELECT riff_id, CASE WHEN short THEN 0 ELSE 16 END::BIGINT AS n, round(CASE WHEN short THEN 0 WHEN few THEN tempo + 1 ELSE tempo END, 6) AS tempo, round(CASE WHEN short OR few THEN 0.5 ELSE uniformity END, 6)::DOUBLE AS onset_uniformity,
+  CASE WHEN short THEN '' WHEN few THEN {_PTS("drums")} ELSE {_PTS("groove")} END AS groove, CASE WHEN short THEN '' ELSE {_PTS("drums")} END AS drums, CASE WHEN short THEN '' ELSE {_PTS("spectral")} END AS spectral, few AND NOT short AS degraded FROM x"""),
 }
