@@ -155,14 +155,24 @@ def score_block(new: pa.Table, library: pa.Table, least: float) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def find_matches(new: DataFrame, library: DataFrame, least: float = SCORE_LEAST, new_blocks: int = 1, library_blocks: int = 16) -> DataFrame:
+def block_counts(new: DataFrame, library: DataFrame, rows: int = 500) -> tuple[int, int]:
+    """How many blocks each side is cut into: of some rows each, and so many of the library that every core has one."""
+    new_blocks, library_blocks = (max(1, -(-side.count() // rows)) for side in (new, library))
+    return new_blocks, max(library_blocks, -(-library.sparkSession.sparkContext.defaultParallelism // new_blocks))
+
+
+def find_matches(new: DataFrame, library: DataFrame, least: float = SCORE_LEAST, new_blocks: int | None = None, library_blocks: int | None = None) -> DataFrame:
     """Every pair of a new riff with a riff of another recording that scores least or more (rounded to four digits).
 
     Riffs travel, pairs don't: both sides are cut into blocks by a hash of riff_id, so a recording with very many riffs
-    is spread, and each block of new riffs meets each block of the library in one task. Block counts are to be chosen
-    so that a block has some hundreds of riffs; the work is their number times that of the library, in equal parts.
+    is spread, and each block of new riffs meets each block of the library in one task. Without given block counts both
+    sides are counted first, so that a block has some hundreds of riffs however large the library; the work is the number
+    of new riffs times that of the library, in equal parts.
     Two new riffs are compared both ways round, since the similarity is not symmetric. Null vectors count as empty.
     """
+    if new_blocks is None or library_blocks is None:
+        counted = block_counts(new, library)
+        new_blocks, library_blocks = new_blocks or counted[0], library_blocks or counted[1]
     others = F.sequence(F.lit(0), F.lit(library_blocks - 1))
     names = [f.split()[0] for f in _SIDE.split(", ")]
     fresh = [F.col(n).alias(n) for n in names]  # new and library may be one table; each side has columns of its own

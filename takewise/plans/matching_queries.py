@@ -5,22 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from takewise.operators import edits
 from takewise.operators import matching as m
 from takewise.operators import pairs as p
 from takewise.operators.catalog import matches_for_riff
 from takewise.plans import adapters as ad
-from takewise.plans.sql import TEMPO, WARP, cosine, over
-
-
-def _blocks(spark: SparkSession, riffs: DataFrame) -> int:
-    """As many library blocks as there are cores or blocks of some 500 riffs, whichever is more."""
-    return max(spark.sparkContext.defaultParallelism, -(-riffs.count() // 500))
+from takewise.plans.sql import TEMPO, WARP, cosine, over, recursive
 
 
 def found(spark: SparkSession, sf_dir: str, least: float = m.SCORE_LEAST, everything: bool = False) -> DataFrame:
     riffs = ad.riffs(spark, sf_dir)
-    new = riffs if everything else ad.batch(riffs)
-    return m.find_matches(new, riffs, least, max(1, -(-new.count() // 500)), _blocks(spark, riffs))
+    return m.find_matches(riffs if everything else ad.batch(riffs), riffs, least)
 
 
 def matches_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +26,22 @@ def matches_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir, 0.7).select("riff_a_id", "riff_b_id", "score", "weights")
 
 
+def matches_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every riff against every other one."""
+    return found(spark, sf_dir, everything=True).select("riff_a_id", "riff_b_id", "score", "weights")
+
+
+def pairs_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best match of each pair of recordings, with every riff on both sides."""
+    return p.best_pair_matches(found(spark, sf_dir, everything=True))
+
+
+def matches_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch's matches after those of 0.7 or more, stored before."""
+    got = found(spark, sf_dir)
+    return edits.store(got.where("score >= 0.7"), got).select("riff_a_id", "riff_b_id", "score")
+
+
 def batch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     riffs = ad.riffs(spark, sf_dir)
     return m.split_batch(riffs, riffs.select("recording_id").where("recording_id % 10 = 0")).select("riff_id", "recording_id", "riff_index", "tempo", "uniformity")
@@ -118,6 +129,9 @@ QUERIES = {
     "m8_neighbours_compared": neighbours_compared,
     "m9_matches_batch": matches_batch,
     "m9_matches_strict": matches_strict,
+    "m9_matches_library": matches_library,
+    "pairs_best_library": pairs_library,
+    "e13_store_matches": matches_stored,
     "m10_match_stats": stats,
     "m11_library_health": health,
     "pairs_best": pairs_best,
@@ -157,6 +171,13 @@ SELECT riff_a_id, riff_b_id, round(CASE weights WHEN 'blast' THEN 0.55 * contour
     "m9_matches_strict": over("scored", "SELECT riff_a_id, riff_b_id, score, weights FROM scored WHERE score >= 0.7"),
     "m10_match_stats": over("scored", f"AND WITH c AS (SELECT (SELECT count(*) FROM riffs a JOIN riffs b ON a.recording_id <> b.recording_id WHERE a.recording_id % 10 = 0) AS pairs, (SELECT count(*) FROM scored) AS compared, (SELECT count(*) FROM scored WHERE score >= 0.3) AS matched) SELECT pairs, pairs - compared AS skipped, compared, matched, round(100.0 * (pairs - compared) / pairs, 1)::DOUBLE AS percent_skipped FROM c"),
     "m11_library_health": over("riffs", "SELECT count(*) AS n_riffs, CASE WHEN count(*) < 2 THEN 'skipped' WHEN count(*) > 1000 THEN 'slow' WHEN count(*) > 500 THEN 'approaching' ELSE 'fine' END AS health FROM riffs"),
+    "m9_matches_library": over("scored_all", "SELECT riff_a_id, riff_b_id, score, weights FROM scored WHERE score >= 0.3"),
+    "pairs_best_library": over("scored_all", "AND WITH " + _BEST.format(least=0.3) + " SELECT * FROM best"),
+    "e13_store_matches": over("scored", "SELECT riff_a_id, riff_b_id, score FROM scored WHERE score >= 0.7 UNION ALL SELECT riff_a_id, riff_b_id, score FROM scored WHERE score >= 0.3"),
+    "p10_similarity_groups": recursive(over("scored", "AND WITH " + _BEST.format(least=0.3) + """,
+strong AS (SELECT rec_lo AS a, rec_hi AS b FROM banded WHERE band = 'strong' UNION SELECT rec_hi, rec_lo FROM banded WHERE band = 'strong'),
+reach(node, near) AS (SELECT a, b FROM strong UNION SELECT reach.node, strong.b FROM reach JOIN strong ON strong.a = reach.near)
+SELECT r.recording_id, coalesce(min(near), r.recording_id) AS group_id FROM (SELECT DISTINCT recording_id FROM riffs) r LEFT JOIN reach ON node = r.recording_id GROUP BY r.recording_id""")),
     "pairs_best": over("scored", "AND WITH " + _BEST.format(least=0.3) + " SELECT * FROM best"),
     "p9_evidence_band": over("scored", "AND WITH " + _BEST.format(least=0.3) + " SELECT rec_lo, rec_hi, score, band FROM banded"),
     "p11_riff_overlap": over(
