@@ -98,12 +98,17 @@ def features(s: np.ndarray, sr: int, before: np.ndarray | None = None) -> dict[s
 
 
 def frame_features(audio: DataFrame) -> DataFrame:
-    """A row per frame of HOP samples, from chunks that run WINDOW - HOP samples into the next; a map without a shuffle."""
+    """A row per frame of HOP samples, from chunks that run WINDOW - HOP samples into the next; a map without a shuffle.
+
+    A recording shorter than a window is one frame, filled with zeros; a last chunk shorter than that has none of its own.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for r in part.itertuples():
                 x = np.asarray(r.samples, float)
+                if r.first and len(x) < WINDOW:
+                    continue
                 s, first = spectra(x), int(r.first) // HOP
                 windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, (0, max(0, WINDOW - len(x)))), WINDOW)[::HOP]
                 index = np.arange(first, first + len(s))

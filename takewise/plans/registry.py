@@ -1,8 +1,8 @@
 """All registered queries of the recording library, with their SQL."""
 
-from takewise.plans import catalog_queries, edit_queries, matching_queries, report_queries, signal_queries
+from takewise.plans import catalog_queries, edit_queries, file_queries, matching_queries, report_queries, signal_queries
 
-_MODULES = [matching_queries, catalog_queries, edit_queries, signal_queries, report_queries]
+_MODULES = [matching_queries, catalog_queries, edit_queries, signal_queries, report_queries, file_queries]
 
 
 def queries() -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,17 +22,27 @@ def session(app: str = "takewise", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of df in the shared folder that the cluster names in spark.checkpoint.dir.
+def _shared(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir.
 
     Where the setting is absent a temporary folder takes its place in local mode, as in tests; on a cluster, whose
     machines would not see each other's folders, that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of df in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The name of a folder that doesn't exist yet, in the shared one."""
+    return f"{_shared(spark)}/written-{uuid.uuid4().hex}"

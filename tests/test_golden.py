@@ -4,6 +4,7 @@ import json
 import pathlib
 import random
 import shutil
+import struct
 import subprocess
 import sys
 import wave
@@ -204,6 +205,22 @@ def test_audio(spark, tmp_path):
     assert all(abs(r.centroid - 1000) < 30 for r in split)
 
 
+def test_frames_do_not_depend_on_chunks(spark):
+    """The windows of whole recordings, whatever the chunks, also where the last chunk is shorter than a window."""
+    x = np.random.default_rng(3).normal(0, 0.1, 512 * 35 + 100)
+    head = b"RIFF\0\0\0\0WAVEfmt " + struct.pack("<IHHIIHHI", 16, 1, 1, 22050, 44100, 2, 16, 0)[:20] + b"data"
+    data = (x * 32767).astype("<i2").tobytes()
+    files = spark.createDataFrame([("long", head + struct.pack("<I", len(data)) + data), ("short", head + struct.pack("<I", 200) + data[:200]), ("no sound", b"text")], "k string, content binary")
+    got = {}
+    for chunk in (512 * 4, 512 * 8, 1 << 18):
+        rows = frames.frame_features(audio.decode_pcm(files, "k", chunk=chunk, halo=1536)).where("recording_id = 'long'").orderBy("frame_idx").collect()
+        got[chunk] = [(r.frame_idx, round(r.rms, 9), round(r.centroid, 4), round(r.rolloff, 4)) for r in rows]
+    whole = np.frombuffer(data, "<i2") / 32768
+    want = [np.sqrt((whole[i : i + 2048] ** 2).mean()) for i in range(0, len(whole) - 2047, 512)]
+    assert len({tuple(v) for v in got.values()}) == 1
+    assert [r[0] for r in got[2048]] == list(range(len(want))) and np.allclose([r[1] for r in got[2048]], want, atol=1e-6)
+
+
 def manifest(folder, name, **fields):
     (folder / name).write_text(json.dumps(fields, indent=2) if fields else "{ broken")
 
