@@ -28,6 +28,16 @@ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 reach AS (SELECT doc_id, doc_id AS r FROM w UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.r),
 m AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op3_suffix_groups": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, md5(h[2 * i + 1:2 * i + 200]) AS w FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)),
+l AS (SELECT doc_id, i FROM p QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1),
+b AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM l),
+c AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM c GROUP BY doc_id, run),
+g AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, list_prepend(0, list(z ORDER BY a)) AS starts, list(a ORDER BY a) AS ends FROM r GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(starts) + 1), lambda k: h[2 * starts[k] + 1:2 * coalesce(ends[k], length(h) // 2)]), '') END)) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)""",
     "op4_super_kmers": rf"""WITH {_PLAIN},
 v AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
 r AS (SELECT doc_id, i FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
