@@ -64,3 +64,39 @@ def test_stages(spark):
         at.setdefault(r.sequence_id, []).append((r.offset, r.length))
     assert all(sum(n for _, n in s) <= 2048 and sorted(s)[0][0] == 0 for s in at.values())
     assert corpus_pipeline.run(spark, FOLDER).count() == sum(map(len, at.values()))
+
+
+EDGES = "doc_id long, text string, source string, n_chars long, kept string, found string, bucket int, component_id string, n_private string"
+
+
+def edge_rows():
+    passage = " ".join(f"word{i} of" for i in range(60))
+    texts = [(None, passage), (1, None), (2, ""), (3, passage), (3, passage), (4, passage), (5, "Mail a.b@example.com, born 1990-01-31. " * 2000), (6, " \n\t")]
+    return [(d, t, None if d == 2 else "s", None if t is None else len(t), "k", "f", 1, "c", "p") for d, t in texts]
+
+
+def test_stages_on_nulls_repeats_and_clashing_names(spark):
+    docs = spark.createDataFrame(edge_rows(), EDGES)
+    quality, near, substrings, private, packed = [f for _, f in corpus_pipeline.STAGES]
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=str)
+    good = quality(spark, docs, FOLDER)
+    assert good.columns == docs.columns and not {1, 2, 6} & set(ids(good))
+    unique = near(spark, docs, FOLDER)
+    assert unique.columns == docs.columns and ids(unique) == [1, 2, 3, 3, 5, 6, None]
+    stripped = substrings(spark, unique, FOLDER)
+    left = {r.doc_id: r.text for r in stripped.collect()}
+    assert stripped.columns == docs.columns and ids(stripped) == [1, 2, 3, 3, 5, 6, None]
+    assert left[None] == left[3] == edge_rows()[0][1] and left[1] is None and len(left[5].split()) < 30
+    hidden = private(spark, docs, FOLDER)
+    shown = {r.doc_id: r for r in hidden.collect()}
+    assert hidden.columns == docs.columns and "a.b@" not in shown[5].text and shown[5].n_chars == len(shown[5].text) and shown[5].n_private == "p" and shown[1].text is None
+    pieces = packed(spark, docs, FOLDER).collect()
+    assert {r.doc_id for r in pieces} == {None, 1, 2, 3, 4, 5, 6} and all(r.length == 1 for r in pieces if r.doc_id in (1, 2))
+
+
+def test_stages_on_an_empty_table(spark):
+    none = spark.createDataFrame([], EDGES)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, none, FOLDER)
+        assert got.columns == none.columns and got.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, none, FOLDER).count() == 0
