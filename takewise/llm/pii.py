@@ -12,7 +12,7 @@ SECRET = r"(?<![A-Za-z0-9])(?i:token|secret|api[_-]?key|access[_-]?key|passw(?:o
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
 ADDRESS = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])"
-CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:([ -])[0-9]{4})(?:\1[0-9]{4}){2})(?![0-9])"
+CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:([ -])[0-9]{4})(?:\1[0-9]{4}){2}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}([/-])[0-9]{2}\2[0-9]{2}|[0-9]{2}([./])[0-9]{2}\3[0-9]{4})(?![0-9]|[./-][0-9])"
 ANY = "|".join([EMAIL, SECRET, ACCESS_KEY, PHONE, ADDRESS, CARD, SOCIAL, DATE])
@@ -60,7 +60,8 @@ def _card(text: Column, key: str) -> Column:
     check = F.element_at(F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda c: F.call_function("luhn_check", F.concat(body, c))), 1)
     whole = F.concat(body, check)
     gap = F.regexp_extract(text, "[ -]", 0)
-    spaced = F.array_join(F.array(*[whole.substr(4 * i + 1, 4) for i in range(4)]), " ")
+    places = lambda *sizes: F.concat_ws(" ", *[whole.substr(sum(sizes[:i]) + 1, n) for i, n in enumerate(sizes)])
+    spaced = F.when(F.length(digits) == 15, places(4, 6, 5)).otherwise(places(4, 4, 4, 4))
     good = digits.rlike(ISSUER) & F.call_function("luhn_check", digits)
     return F.when(good, F.when(gap == "", whole).when(gap == "-", F.translate(spaced, " ", "-")).otherwise(spaced))
 
