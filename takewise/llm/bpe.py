@@ -190,16 +190,16 @@ class Encoder:
 
     def __init__(self, merge: Callable, cut: Callable, symbols: Callable, known: Callable | None = None, whole: Callable | None = None, most: int = 500_000):
         self.merge, self.cut, self.symbols, self.known, self.whole, self.most = merge, cut, symbols, known, whole, most
-        self._empty()
+        self.empty()
 
-    def _empty(self) -> None:
+    def empty(self) -> None:
         self.numbers, self.flat = Numbering(), np.empty(0, np.uint32)
         self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def ids(self, texts: list) -> tuple[np.ndarray, list[int]]:
         """The ids of all texts, one text after the other, and how many each text has."""
         if len(self.numbers) > self.most:
-            self._empty()
+            self.empty()
         known, coded, many = len(self.numbers), [np.empty(0, np.int32)], []
         for text in texts:
             pieces = self.cut(text)
@@ -212,6 +212,29 @@ class Encoder:
         ends = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(many, dtype=np.int64))]
         return ragged(self.flat, self.start[codes], length), np.diff(ends).tolist()
 
+    def missing(self, texts: list, met: set) -> list[list[str]]:
+        """The distinct pieces of each text that need merges; met collects those found to need none."""
+        out = []
+        for text in texts:
+            fresh = set(self.cut(text)) - met
+            need = [piece for piece in fresh if self.known(piece.encode()) < 0]
+            if len(need) < len(fresh):
+                met.update(fresh.difference(need))
+            out.append(need)
+        return out
+
+    def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces after one replay over all of them, and where each piece's begin."""
+        stops = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        return self.merge(self.symbols(np.frombuffer(b"".join(pieces), np.uint8), stops), np.append(0, stops[:-1]))
+
+    def given(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Adds pieces whose ids are known; none of them may be in the table."""
+        self.start, self.length = np.append(self.start, len(self.flat) + np.cumsum(lengths) - lengths), np.append(self.length, lengths)
+        self.flat = np.append(self.flat, ids.astype(np.uint32))
+        for piece in pieces:
+            self.numbers[piece]
+
     def _learn(self, fresh: list[str]) -> None:
         raw = [piece.encode() for piece in fresh]
         length, flat, start = np.zeros(len(raw), np.int64), [self.flat], np.zeros(len(raw), np.int64)
@@ -231,8 +254,7 @@ class Encoder:
         rest = np.flatnonzero(~done)
         if len(rest):
             raw = raw if len(rest) == len(raw) else [raw[i] for i in rest.tolist()]
-            stops = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-            ids, at = self.merge(self.symbols(np.frombuffer(b"".join(raw), np.uint8), stops), np.append(0, stops[:-1]))
+            ids, at = self.merged(raw)
             length[rest], start[rest] = np.diff(np.append(at, len(ids))), end + at
             flat.append(ids.astype(np.uint32))
         self.flat = np.concatenate(flat)
