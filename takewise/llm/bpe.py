@@ -184,21 +184,21 @@ class Encoder:
 
     cut gives a text's pieces, which are encoded independently of what stands around them; symbols turns the bytes of
     many pieces, and where each ends, into what merge starts from. Pieces that known has an id for need no merges, and
-    those that begin with a line break are words for whole. The table is emptied once it holds more than most pieces;
+    those that begin with a line break are words for whole. The table is emptied once it holds more than most new pieces;
     what is met again is encoded again, with the same result.
     """
 
     def __init__(self, merge: Callable, cut: Callable, symbols: Callable, known: Callable | None = None, whole: Callable | None = None, most: int = 500_000):
         self.merge, self.cut, self.symbols, self.known, self.whole, self.most = merge, cut, symbols, known, whole, most
-        self.empty()
+        self.begin([], np.empty(0), np.empty(0))
 
     def empty(self) -> None:
-        self.numbers, self.flat = Numbering(), np.empty(0, np.uint32)
-        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+        pieces, self.flat, self.length = self.base
+        self.numbers, self.start = Numbering(zip(pieces, range(len(pieces)))), np.cumsum(self.length) - self.length
 
     def ids(self, texts: list) -> tuple[np.ndarray, list[int]]:
         """The ids of all texts, one text after the other, and how many each text has."""
-        if len(self.numbers) > self.most:
+        if len(self.numbers) - len(self.base[0]) > self.most:
             self.empty()
         known, coded, many = len(self.numbers), [np.empty(0, np.int32)], []
         for text in texts:
@@ -212,28 +212,25 @@ class Encoder:
         ends = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(many, dtype=np.int64))]
         return ragged(self.flat, self.start[codes], length), np.diff(ends).tolist()
 
-    def missing(self, texts: list, met: set) -> list[list[str]]:
-        """The distinct pieces of each text that need merges; met collects those found to need none."""
-        out = []
+    def missing(self, texts: list, met: set) -> set[str]:
+        """The distinct pieces of the texts that need merges; met collects those found to need none."""
+        fresh: set[str] = set()
         for text in texts:
-            fresh = set(self.cut(text)) - met
-            need = [piece for piece in fresh if self.known(piece.encode()) < 0]
-            if len(need) < len(fresh):
-                met.update(fresh.difference(need))
-            out.append(need)
-        return out
+            fresh.update(self.cut(text))
+        fresh -= met
+        need = {piece for piece in fresh if self.known(piece.encode()) < 0}
+        met |= fresh - need
+        return need
 
     def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces after one replay over all of them, and where each piece's begin."""
         stops = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         return self.merge(self.symbols(np.frombuffer(b"".join(pieces), np.uint8), stops), np.append(0, stops[:-1]))
 
-    def given(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Adds pieces whose ids are known; none of them may be in the table."""
-        self.start, self.length = np.append(self.start, len(self.flat) + np.cumsum(lengths) - lengths), np.append(self.length, lengths)
-        self.flat = np.append(self.flat, ids.astype(np.uint32))
-        for piece in pieces:
-            self.numbers[piece]
+    def begin(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Empties the table but for pieces whose ids are given, which stay in it from now on."""
+        self.base = pieces, ids.astype(np.uint32), lengths.astype(np.int64)
+        self.empty()
 
     def _learn(self, fresh: list[str]) -> None:
         raw = [piece.encode() for piece in fresh]

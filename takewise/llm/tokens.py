@@ -9,13 +9,12 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from takewise.llm import bpe
 from takewise.llm import text as tx
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Blocks of documents per shuffle partition: a task holds the words of one at a time.
-BLOCKS = 4
 
 
 def _lists(values: np.ndarray, lengths: list[int], kind: pa.DataType) -> pa.ListArray:
@@ -34,56 +33,65 @@ def _gathered(batches: Iterator[pa.RecordBatch], size: int = tx.BLOCK_BYTES) ->
         yield pa.concat_batches(held)
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str = BYTE_RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """(doc_id, ids array<int>) of whole texts by byte-level merges, each match of pattern by itself.
+def corpus_words(docs: DataFrame, text: str = "text", ranks: str = BYTE_RANKS, pattern: str = public_tokenizers.PATTERN, shared: int = 100_000, longest: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(piece, ids) of words found in several blocks of documents, each replayed once for the whole corpus.
 
-    A match that is a token as it stands needs no merges. The others of the whole corpus are gathered, each once, with the
-    blocks of documents that it occurs in; each task replays all merges over its share of these words, and their ids go
-    back to the blocks, where they come before the texts. Blocks are by hash of the row, so a row goes to the same block
-    whenever it is read. A null or empty text has no ids. Special tokens' strings are ordinary text. Repeated rows and
-    ties give equal ids; a text of any length is taken whole; an empty table gives an empty result.
+    A word is a match of pattern that is no token as it stands. Of those of at most longest characters the commonest are
+    taken, no more than shared: words are counted per number of blocks that hold them, and the least number is chosen from
+    which on they are few enough. Each task replays all merges over its share of them. The second table holds the counts
+    and is to be unpersisted when the first has been read.
     """
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, met = bpe.byte_encoder(ranks, pattern)[0], set()
-        for numbers, texts in tx.blocks(batches):
-            found = {(piece, number) for number, need in zip(numbers, encoder.missing([t.decode() for t in texts], met)) for piece in need}
-            pieces, numbers = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(numbers, pa.int32())], names=["piece", "block"])
+        for _, texts in tx.blocks(batches):
+            need = [piece for piece in encoder.missing([t.decode() for t in texts], met) if len(piece) <= longest]
+            yield pa.RecordBatch.from_arrays([pa.array(need, pa.string())], names=["piece"])
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.byte_encoder(ranks, pattern)[0]
         for batch in _gathered(batches):
             ids, at = encoder.merged(tx.binary(batch, "piece"))
-            lists = _lists(ids.astype(np.int32), np.diff(np.append(at, len(ids))).tolist(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("blocks"), lists], names=["piece", "blocks", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), _lists(ids.astype(np.int32), np.diff(np.append(at, len(ids))).tolist(), pa.int32())], names=["piece", "ids"])
+
+    rows = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.length("text") > 0)
+    counted = rows.mapInArrow(wanted, "piece string").groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").persist(StorageLevel.DISK_ONLY)
+    # the numbers of blocks in steps of an eighth of a doubling, so there are a few hundred at any size
+    step = F.floor(8 * F.log2("n"))
+    least, total = 1 << 30, 0
+    for row in counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        total += row["count"]
+        if total > shared:
+            break
+        least = row.step
+    return counted.where(step >= least).select("piece").mapInArrow(replay, "piece string, ids array<int>"), counted
+
+
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str = BYTE_RANKS, pattern: str = public_tokenizers.PATTERN, shared: int = 100_000) -> DataFrame:
+    """(doc_id, ids array<int>) of whole texts by byte-level merges, each match of pattern by itself.
+
+    A match that is a token as it stands needs no merges. Of the others, words that several blocks of documents hold are
+    replayed once for the corpus (corpus_words) and broadcast: shared words of 64 characters at most, whatever the corpus.
+    A word that one block alone holds, or that is longer or not among those shared, is replayed with its block, all new
+    words of a block at once. A null or empty text has no ids. Special tokens' strings are ordinary text. A row is encoded
+    by itself, so repeated rows and ties give equal ids; a text of any length is taken whole; an empty table gives an
+    empty result.
+    """
+    words, counted = corpus_words(docs, text, ranks, pattern, shared)
+    table = words.toArrow()
+    counted.unpersist()
+    lists = table.column("ids").combine_chunks()
+    held = docs.sparkSession.sparkContext.broadcast((table.column("piece").to_pylist(), lists.flatten().to_numpy(), lists.value_lengths().to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = bpe.byte_encoder(ranks, pattern)[0], None
-        for batch in batches:
-            blocks, words = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("block", "words"))
-            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (words[1:] != words[:-1])) + 1
-            for low, high in zip(np.append(0, cuts).tolist(), np.append(cuts, len(blocks)).tolist()):
-                part = batch.slice(low, high - low)
-                if blocks[low] != at:
-                    encoder.empty()
-                    at = blocks[low]
-                if words[low]:
-                    lists = part.column("ids")
-                    encoder.given(part.column("text").to_pylist(), lists.flatten().to_numpy(), lists.value_lengths().to_numpy())
-                    continue
-                for ids, texts in tx.blocks(iter([part])):
-                    values, lengths = encoder.ids([t.decode() for t in texts])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(values.view(np.int32), lengths, pa.int32())], names=["doc_id", "ids"])
-
-    parts = tx.partitions(docs)
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCKS * parts)).cast("int"))
-    need = rows.where(F.length("text") > 0).select(F.col("block").alias("doc_id"), "text").mapInArrow(wanted, "piece string, block int")
-    made = need.groupBy("piece").agg(F.collect_set("block").alias("blocks")).mapInArrow(replay, "piece string, blocks array<int>, ids array<int>")
-    words = made.select(F.explode("blocks").alias("block"), F.lit(True).alias("words"), F.lit(None).cast("long").alias("doc_id"), F.col("piece").alias("text"), "ids")
-    texts = rows.select("block", F.lit(False).alias("words"), "doc_id", "text", F.lit(None).cast("array<int>").alias("ids"))
-    return words.union(texts).repartition(parts, "block").sortWithinPartitions("block", F.col("words").desc()).mapInArrow(run, "doc_id long, ids array<int>")
+        encoder = bpe.byte_encoder(ranks, pattern)[0]
+        if encoder.base[0] is not held.value[0]:
+            encoder.begin(*held.value)
+        for ids, texts in tx.blocks(batches):
+            values, lengths = encoder.ids([t.decode() for t in texts])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(values.view(np.int32), lengths, pa.int32())], names=["doc_id", "ids"])
+
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: str = BYTE_RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

@@ -449,7 +449,7 @@ def test_merge_replay(docs, none):
     assert tokens.encode(none).count() == 0
 
 
-def test_words_of_the_corpus_go_back_to_their_blocks(spark):
+def test_words_of_the_corpus(spark):
     """Words that need merges, shared by many documents or by one, long ones, repeated rows and rows without doc_id."""
     r = random.Random(12)
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(path("byte_bpe_50k.tiktoken")), special_tokens={})
@@ -457,9 +457,13 @@ def test_words_of_the_corpus_go_back_to_their_blocks(spark):
     data = [(i, " ".join(r.choice(words) for _ in range(r.randrange(1, 40))), "z") for i in range(400)]
     data += data[:20] * 3 + [(None, data[5][1], "z"), (None, None, None), (401, " zqxv" * 4000, "z"), (402, "zqxv", None)]
     df = spark.createDataFrame(data, "doc_id long, text string, block string").withColumn("words", F.lit(1)).withColumn("ids", F.lit("x"))
-    got = tokens.encode(df).collect()
     order = lambda rows: sorted(rows, key=lambda x: (x[0] is not None, x))
-    assert order((x.doc_id, list(x.ids)) for x in got) == order((d, library.encode_ordinary(t or "")) for d, t, _ in data)
+    held, counted = tokens.corpus_words(df)
+    assert all(list(x.ids) == library.encode_ordinary(x.piece) for x in held.collect()) and " zqxv" in {x.piece for x in held.collect()}
+    counted.unpersist()
+    for shared in (100_000, 10, 0):
+        got = tokens.encode(df, shared=shared).collect()
+        assert order((x.doc_id, list(x.ids)) for x in got) == order((d, library.encode_ordinary(t or "")) for d, t, _ in data)
 
 
 def test_encoders_on_odd_texts():
