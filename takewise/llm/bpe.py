@@ -303,7 +303,7 @@ def byte_encoder(path: str, pattern: str) -> tuple[Encoder, np.ndarray, np.ndarr
     def cut(text: str) -> list[str]:
         return split.findall(text) if simple is None or beyond.search(text) else simple.findall(text)
 
-    encoder = Encoder(Merges(left, right, rank, rank).replay, cut, lambda values, stops: single[values], known=lambda piece: ranks.get(piece, -1))
+    encoder = Encoder(Merges(left, right, rank, rank).replay, cut, lambda values, stops: single[values], known=lambda piece: ranks.get(piece, -1), most=150_000)
     back = [b""] * (max(ranks.values()) + 1)
     for token, number in ranks.items():
         back[number] = token
