@@ -42,6 +42,17 @@ def read_riffs(spark: SparkSession, path: str) -> DataFrame:
     return riff_columns(spark.read.schema(schema).json(path))
 
 
+def versions(spark: SparkSession, folder: str, name: str = "version") -> list[int]:
+    """The numbers n of the parts {folder}/{name}=n that were written to their end, in order; none if there is no folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    parts = [s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith(f"{name}=")]
+    whole = [p.getName() for p in parts if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(x.partition("=")[2]) for x in whole)
+
+
 def write_table(table: DataFrame, path: str, partitions: list[str] | None = None, mode: str = "overwrite") -> None:
     """Parquet; recordings are laid out by kind and state, so that lists of a state read that part alone."""
     writer = table.write.mode(mode)
