@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takewise.llm import host_rules, minhash, multi_index, packing, pii, substrings, suffix_groups, tokens, weak_labels
+from takewise.llm import host_rules, lines, minhash, multi_index, packing, pii, prefix_tries, repair, substrings, suffix_groups, tokens, weak_labels
 from takewise.llm import text as tx
 from takewise.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -65,6 +65,22 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op11_prefix_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_tries.prefix_nodes(prefix_tries.rebuilt(prefix_tries.sequences(conversations)))
+
+
+def op12_suffix_dawg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx.short_batches(spark)
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair.repair(conversations, repair.damaged(conversations))
+
+
+def op13_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lines.dedup_lines(_documents(spark, sf_dir))
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_host_rules": op1_host_rules,
     "op2_circulant_minhash": op2_circulant_minhash,
@@ -76,5 +92,8 @@ QUERIES = {
     "op8_merge_replay": op8_merge_replay,
     "op9_multi_index": op9_multi_index,
     "op10_best_fit": op10_best_fit,
+    "op11_prefix_tries": op11_prefix_tries,
+    "op12_suffix_dawg": op12_suffix_dawg,
+    "op13_cuckoo_lines": op13_cuckoo_lines,
 }
 
