@@ -167,7 +167,8 @@ class LineIndex:
         again = refs.where("size(docs) > 1").select("key").union(self._read("shards", _SHARDS, last).where("key IS NOT NULL").select("key")).distinct()
         pairs = refs.join(again, "key", "left_semi").select("key", "sign", F.explode("docs").alias("doc_id"))
         live = checkpoint(pairs.groupBy("key", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0").drop("n"))
-        first = live.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
+        # written, so that the join deals both sides itself and Spark may split a key that very many documents hold
+        first = checkpoint(live.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first"))
         return live.join(first, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
