@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOP, WINDOW = 512, 2048
+from takewise.sources.audio import LEAD
+
+HOP, WINDOW = LEAD, 2048
 _SCHEMA = "recording_id string, frame_idx long, t_sec double, rms double, flatness double, onset double, centroid double, rolloff double, contrast array<double>"
 
 
@@ -66,8 +68,8 @@ def loudness_gain(audio: DataFrame, target: float = -14.0) -> DataFrame:
 
 def apply_gain(audio: DataFrame, gains: DataFrame) -> DataFrame:
     """Samples times the gain, clipped to -1 to 1."""
-    louder = F.transform("samples", lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * F.col("gain"))).cast("float"))
-    return audio.join(gains.select("recording_id", "gain"), "recording_id").select(*[louder.alias(c) if c == "samples" else F.col(c) for c in audio.columns])
+    louder = lambda c: F.transform(c, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * F.col("gain"))).cast("float"))
+    return audio.join(gains.select("recording_id", "gain"), "recording_id").select(*[louder(c).alias(c) if c in ("samples", "before") else F.col(c) for c in audio.columns])
 
 
 def spectra(x: np.ndarray) -> np.ndarray:
@@ -100,7 +102,8 @@ def features(s: np.ndarray, sr: int, before: np.ndarray | None = None) -> dict[s
 def frame_features(audio: DataFrame) -> DataFrame:
     """A row per frame of HOP samples, from chunks that run WINDOW - HOP samples into the next; a map without a shuffle.
 
-    A recording shorter than a window is one frame, filled with zeros; a last chunk shorter than that has none of its own.
+    A chunk's first frame is compared with the one before it, of which the chunk carries what it needs in before, so no
+    value depends on where chunks begin. A recording shorter than a window is one frame, filled with zeros; a last chunk shorter than that has none of its own.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,11 +113,12 @@ def frame_features(audio: DataFrame) -> DataFrame:
                 if r.first and len(x) < WINDOW:
                     continue
                 s, first = spectra(x), int(r.first) // HOP
+                before = spectra(np.concatenate([np.asarray(r.before, float), x[: WINDOW - HOP]]))[0] if r.first else None
                 windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, (0, max(0, WINDOW - len(x)))), WINDOW)[::HOP]
                 index = np.arange(first, first + len(s))
-                yield pd.DataFrame({"recording_id": r.recording_id, "frame_idx": index, "t_sec": index * HOP / r.sr, "rms": np.sqrt((windows**2).mean(1)), **features(s, r.sr)})[[f.split()[0] for f in _SCHEMA.split(", ")]]
+                yield pd.DataFrame({"recording_id": r.recording_id, "frame_idx": index, "t_sec": index * HOP / r.sr, "rms": np.sqrt((windows**2).mean(1)), **features(s, r.sr, before)})[[f.split()[0] for f in _SCHEMA.split(", ")]]
 
-    return audio.select("recording_id", "sr", "first", "samples").mapInPandas(run, _SCHEMA)
+    return audio.select("recording_id", "sr", "first", "samples", "before").mapInPandas(run, _SCHEMA)
 
 
 def _median(s: np.ndarray, size: int, axis: int) -> np.ndarray:

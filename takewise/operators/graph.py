@@ -29,3 +29,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(least, F.col("u") == F.col("k")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = checkpoint(small.union(least).distinct())
+
+
+def update_components(labels: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """labels (node, component) with further edges: equal to the components over all edges so far.
+
+    Each end of a new edge stands for its component, or itself if it has none. The edges between components, no more than
+    the new ones, are connected by themselves; the least name of those that grow together is the name of all. Old edges
+    are not looked at again. Ends that are null are left out; labels must hold each node once.
+    """
+    ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+    old = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    drawn = checkpoint(ends.join(old("a"), "a", "left").join(old("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("x"), F.coalesce("of_b", "b").alias("y")))
+    grown = checkpoint(connected_components(drawn, "x", "y").select(F.col("node").alias("was"), F.col("component").alias("now")))
+    fresh = drawn.select(F.col("a").alias("node"), F.col("x").alias("component")).union(drawn.select("b", "y")).distinct()
+    fresh = fresh.join(labels.select("node"), "node", "left_anti")
+    named = labels.select("node", "component").unionByName(fresh)
+    return named.join(grown, named["component"] == grown["was"], "left").select("node", F.coalesce("now", "component").alias("component"))

@@ -8,19 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from takewise.functions.arrays import cosine, warped
+from takewise.operators import blocks, scoring
+from takewise.operators.scoring import BLAST_ABOVE, GROOVE_BELOW, INTERVAL_LEAST, SCORE_LEAST, TEMPO_LEAST, WEIGHTS
+from takewise.operators.scoring import warp_batch as warp_batch
 
-#: The weights of the five similarities, for fast uniform playing, for grooves, and for the rest.
-WEIGHTS = {
-    "blast": {"contour": 0.55, "groove": 0.10, "drums": 0.10, "spectral": 0.05, "tempo": 0.20},
-    "groove": {"contour": 0.15, "groove": 0.35, "drums": 0.20, "spectral": 0.10, "tempo": 0.20},
-    "balanced": {"contour": 0.30, "groove": 0.25, "drums": 0.15, "spectral": 0.10, "tempo": 0.20},
-}
-BLAST_ABOVE, GROOVE_BELOW = 0.7, 0.4
-TEMPO_LEAST, INTERVAL_LEAST, SCORE_LEAST = 0.6, 0.15, 0.3
-LONGEST = 500
-
-_SIDE = "riff_id long, recording_id long, riff_order long, tempo double, uniformity double, groove array<double>, drums array<double>, spectral array<double>, contour array<double>, intervals array<double>"
-MATCH = "riff_a_id long, riff_b_id long, recording_a long, recording_b long, order_a long, order_b long, score double, groove double, drums double, contour double, spectral double, tempo double, weights string"
+_VALUES = ["tempo", "uniformity", "groove", "drums", "spectral", "contour", "intervals"]
+_SIMILARITIES = ["groove", "drums", "contour", "spectral", "tempo"]
 
 
 def split_batch(riffs: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -79,110 +72,94 @@ def compare(pairs: DataFrame) -> DataFrame:
     return out.withColumn("score", F.round(score, 4)).select("riff_a_id", "riff_b_id", "score", *[F.round(k, 4).alias(k) for k in sims], "weights")
 
 
-def _matrix(lists: list, width: int | None = None) -> np.ndarray:
-    lists = [x if x is not None else [] for x in lists]
-    width = max([len(x) for x in lists], default=0) if width is None else width
-    out = np.zeros((len(lists), width))
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
-    return out
+def _side(riffs: DataFrame, *names: str) -> DataFrame:
+    """riffs with the columns that matching reads; without riff_order those of equal score are ordered by a hash of riff_id."""
+    order = F.col("riff_order") if "riff_order" in riffs.columns else F.xxhash64("riff_id").alias("riff_order")
+    lists = [F.col(c).cast("array<double>").alias(c) if c not in ("tempo", "uniformity") else F.col(c).cast("double").alias(c) for c in names]
+    return riffs.select("riff_id", "recording_id", order, *lists)
+
+
+def match_schema(riffs: DataFrame) -> str:
+    """The columns of matches, with ids and order of the types that riffs has."""
+    kind = lambda name: riffs.schema[name].dataType.simpleString() if name in riffs.columns else "bigint"
+    ids = [f"{new} {kind(old)}" for new, old in (("riff_a_id", "riff_id"), ("riff_b_id", "riff_id"), ("recording_a", "recording_id"), ("recording_b", "recording_id"), ("order_a", "riff_order"), ("order_b", "riff_order"))]
+    return ", ".join([*ids, "score double", *[f"{c} double" for c in _SIMILARITIES], "weights string"])
 
 
-def _cosines(a: list, b: list) -> np.ndarray:
-    width = max([len(x or []) for x in (*a, *b)], default=0)
-    one, two = _matrix(a, width), _matrix(b, width)
-    size = [np.sqrt((m * m).sum(1)) for m in (one, two)]
-    norm = size[0][:, None] * size[1][None, :]
-    usable = (size[0][:, None] >= 1e-10) & (size[1][None, :] >= 1e-10)
-    return np.where(usable, np.maximum(0, one @ two.T / np.where(usable, norm, 1)), 0)
-
-
-def _rounded(x: np.ndarray) -> np.ndarray:
-    """To four digits, halves up as in SQL."""
-    return np.floor(x * 1e4 + 0.5) / 1e4
-
-
-def _shortened(values: list | None) -> np.ndarray:
-    v = np.asarray(values if values is not None else [], float)
-    return v if len(v) <= LONGEST else np.interp(np.linspace(0, len(v), LONGEST), np.arange(len(v)), v)
-
-
-def warp_batch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """functions.arrays.warped for many pairs of curves of equal lengths: rows of a with rows of b."""
-    (pairs, n), m = a.shape, b.shape[1]
-    if not n or not m:
-        return np.zeros(pairs)
-    row, edge = np.zeros((pairs, m + 1)), np.full((pairs, 1), np.inf)
-    for i in range(n):
-        row = np.concatenate([edge, (a[:, i, None] - b) ** 2 + np.minimum(row[:, 1:], row[:, :-1])], 1)
-    return np.maximum(0, 1 - row[:, 1:].min(1) / min(n, m) / 2)
-
-
-def score_block(new: pa.Table, library: pa.Table, least: float) -> pa.Table:
-    """All pairs of one block of new riffs and one block of the library that pass the tests, scored."""
-    names, kinds = [f.split()[0] for f in MATCH.split(", ")], [pa.int64()] * 6 + [pa.float64()] * 6 + [pa.string()]
-    if not new.num_rows or not library.num_rows:
-        return pa.table([pa.array([], k) for k in kinds], names=names)
-    left, right = ({c: t.column(c).to_pylist() for c in t.column_names} for t in (new, library))
-    ids = [np.array(x["riff_id"]) for x in (left, right)]
-    recordings = [np.array(x["recording_id"]) for x in (left, right)]
-    ta, tb = (np.array([t or 0.0 for t in x["tempo"]], float) for x in (left, right))
-    safe = [np.where(t > 0, t, 1.0) for t in (ta, tb)]
-    x, y = safe[0][:, None], safe[1][None, :]
-    best = np.maximum.reduce([np.minimum(p, q) / np.maximum(p, q) for p, q in ((x, y), (x, 2 * y), (2 * x, y))])
-    tempo = np.where((ta[:, None] > 0) & (tb[None, :] > 0), np.where(best >= 0.85, 1.0, best), 0.5)
-    bare = [np.array([not v for v in x["intervals"]]) for x in (left, right)]
-    keep = (ids[0][:, None] != ids[1][None, :]) & (recordings[0][:, None] != recordings[1][None, :]) & (tempo >= TEMPO_LEAST)
-    keep &= bare[0][:, None] | bare[1][None, :] | (_cosines(left["intervals"], right["intervals"]) >= INTERVAL_LEAST)
-    i, j = np.nonzero(keep)
-    sims = {k: _cosines(left[k], right[k])[i, j] for k in ("groove", "drums", "spectral")} | {"tempo": tempo[i, j]}
-    curves = [[_shortened(v) for v in x["contour"]] for x in (left, right)]
-    lengths = [np.array([len(v) for v in c]) for c in curves]
-    sims["contour"] = np.zeros(len(i))
-    for n, m in {(int(a), int(b)) for a, b in zip(lengths[0][i], lengths[1][j])}:
-        where = np.flatnonzero((lengths[0][i] == n) & (lengths[1][j] == m))
-        for at in range(0, len(where), 4096):
-            part = where[at : at + 4096]
-            sims["contour"][part] = warp_batch(np.array([curves[0][p] for p in i[part]]).reshape(len(part), n), np.array([curves[1][p] for p in j[part]]).reshape(len(part), m))
-    ua, ub = (np.array([0.5 if u is None else u for u in x["uniformity"]]) for x in (left, right))
-    label = np.where((ua[i] > BLAST_ABOVE) & (ub[j] > BLAST_ABOVE), "blast", np.where((ua[i] < GROOVE_BELOW) & (ub[j] < GROOVE_BELOW), "groove", "balanced"))
-    score = sum(np.select([label == k for k in WEIGHTS], [w[what] for w in WEIGHTS.values()]) * sims[what] for what in ("contour", "groove", "drums", "spectral", "tempo"))
-    score = _rounded(score)
-    hit = np.flatnonzero(score >= least)
-    i, j = i[hit], j[hit]
-    order = [np.array(x["riff_order"]) for x in (left, right)]
-    columns = [ids[0][i], ids[1][j], recordings[0][i], recordings[1][j], order[0][i], order[1][j], score[hit], *[_rounded(sims[k][hit]) for k in ("groove", "drums", "contour", "spectral", "tempo")], label[hit].tolist()]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-
-def block_counts(new: DataFrame, library: DataFrame, rows: int = 500) -> tuple[int, int]:
-    """How many blocks each side is cut into: of some rows each, and so many of the library that every core has one."""
-    new_blocks, library_blocks = (max(1, -(-side.count() // rows)) for side in (new, library))
-    return new_blocks, max(library_blocks, -(-library.sparkSession.sparkContext.defaultParallelism // new_blocks))
+def _joined(new: pa.Table, library: pa.Table, i: np.ndarray, j: np.ndarray) -> dict[str, pa.ChunkedArray]:
+    sides = (("a", new.take(pa.array(i))), ("b", library.take(pa.array(j))))
+    names = (("riff_{}_id", "riff_id"), ("recording_{}", "recording_id"), ("order_{}", "riff_order"))
+    return {to.format(s): t.column(name) for to, name in names for s, t in sides}
 
 
 def find_matches(new: DataFrame, library: DataFrame, least: float = SCORE_LEAST, new_blocks: int | None = None, library_blocks: int | None = None) -> DataFrame:
     """Every pair of a new riff with a riff of another recording that scores least or more (rounded to four digits).
 
-    Riffs travel, pairs don't: both sides are cut into blocks by a hash of riff_id, so a recording with very many riffs
-    is spread, and each block of new riffs meets each block of the library in one task. Without given block counts both
-    sides are counted first, so that a block has some hundreds of riffs however large the library; the work is the number
-    of new riffs times that of the library, in equal parts.
-    Two new riffs are compared both ways round, since the similarity is not symmetric. Null vectors count as empty.
+    Both sides are cut into blocks by ranges of tempo, of some thousands of riffs each however large the library and
+    whatever recording or tempo is common. Summaries of the blocks meet first; pairs of blocks that cannot hold a match
+    are dropped, the others are scored in a task each: the tests, the cheap similarities, and warping only where these
+    leave the score open, given up once it can no longer be reached. Ids may be of any type. Two new riffs are compared
+    both ways round, since the similarity is not symmetric. Null vectors count as empty.
     """
-    if new_blocks is None or library_blocks is None:
-        counted = block_counts(new, library)
-        new_blocks, library_blocks = new_blocks or counted[0], library_blocks or counted[1]
-    others = F.sequence(F.lit(0), F.lit(library_blocks - 1))
-    names = [f.split()[0] for f in _SIDE.split(", ")]
-    fresh = [F.col(n).alias(n) for n in names]  # new and library may be one table; each side has columns of its own
-    left = new.select(*fresh).withColumn("p", F.pmod(F.xxhash64("riff_id"), F.lit(new_blocks))).withColumn("q", F.explode(others.cast("array<long>")))
-    right = library.select(*fresh).withColumn("q", F.pmod(F.xxhash64("riff_id"), F.lit(library_blocks))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(new_blocks - 1)).cast("array<long>")))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        return score_block(a, b, least)
+        found = []
+        if a.num_rows and b.num_rows:
+            for i, j, label, sims, score in scoring.scored(scoring.Side(a), scoring.Side(b), least, scoring.Warps()):
+                columns = _joined(a, b, i, j) | {"score": pa.array(score)} | {k: pa.array(scoring.rounded(sims[k])) for k in _SIMILARITIES} | {"weights": pa.array(label.tolist(), pa.string())}
+                found.append(pa.table({n: columns[n] for n in names}))
+        return pa.concat_tables(found) if found else pa.table({n: pa.array([], k) for n, k in empty.items()})
+
+    schema = match_schema(new)
+    names = [c.split()[0] for c in schema.split(", ")]
+    empty = dict(zip(names, _arrow_types(new, schema)))
+    sides = [_side(side, *_VALUES) for side in (new, library)]
+    return blocks.meet(*sides, sides[0].columns, run, schema, least, blocks=(new_blocks, library_blocks))
+
+
+def _arrow_types(riffs: DataFrame, schema: str) -> list[pa.DataType]:
+    known = {"double": pa.float64(), "string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "binary": pa.binary()}
+    return [known[c.split()[1]] for c in schema.split(", ")]
+
+
+def tested_pairs(new: DataFrame, library: DataFrame, intervals: bool = True) -> DataFrame:
+    """(riff_a_id, riff_b_id, similarity) of the pairs that pass the tests of tempo and, if asked, of intervals, with the
+    similarity of their tempos: as candidate_pairs and interval_test, but vectors meet by blocks and no pair carries any."""
+    kinds = match_schema(new).split(", ")[:2]
+    schema = ", ".join([*kinds, "similarity double"])
+    types = _arrow_types(new, schema)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
+        if a.num_rows and b.num_rows:
+            for i, j, tempo in scoring.tested(scoring.Side(a), scoring.Side(b), intervals):
+                ids = _joined(a, b, i, j)
+                found.append(pa.table({"riff_a_id": ids["riff_a_id"], "riff_b_id": ids["riff_b_id"], "similarity": pa.array(tempo)}))
+        return pa.concat_tables(found) if found else pa.table({c.split()[0]: pa.array([], k) for c, k in zip(schema.split(", "), types)})
+
+    sides = [_side(side, *(_VALUES if intervals else ["tempo"])) for side in (new, library)]
+    if not intervals:  # summaries ask for these columns, of which the tempo alone counts here
+        sides = [s.select("*", F.lit(0.5).alias("uniformity"), *[F.array().cast("array<double>").alias(c) for c in ("groove", "drums", "spectral", "intervals")]) for s in sides]
+    columns = ["riff_id", "recording_id", "riff_order", "tempo", *(["intervals"] if intervals else [])]
+    return blocks.meet(*sides, columns, run, schema, 0.0, intervals)
+
+
+def warp_counts(new: DataFrame, library: DataFrame, least: float = SCORE_LEAST) -> DataFrame:
+    """One row: pairs that pass the tests (compared), of these the ones that are never warped since the cheap similarities rule
+    them out (bounded) or an envelope does (enveloped), those given up on the way (abandoned), and the rows of cells
+    computed of all that were possible; as find_matches with least does it."""
+    names = ["compared", "bounded", "enveloped", "abandoned", "rows", "possible"]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        told = scoring.Warps()
+        if a.num_rows and b.num_rows:
+            for _ in scoring.scored(scoring.Side(a), scoring.Side(b), least, told):
+                pass
+        return pa.table({n: pa.array([getattr(told, n)], pa.int64()) for n in names})
 
-    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(run, MATCH)
+    sides = [_side(side, *_VALUES) for side in (new, library)]
+    got = blocks.meet(*sides, sides[0].columns, run, ", ".join(f"{n} long" for n in names), least)
+    return got.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
 
 
 def match_stats(new: DataFrame, library: DataFrame, matches: DataFrame) -> DataFrame:
@@ -190,7 +167,14 @@ def match_stats(new: DataFrame, library: DataFrame, matches: DataFrame) -> DataF
     sizes = lambda df: df.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"))
     total = new.agg(F.count(F.lit(1)).alias("a")).join(library.agg(F.count(F.lit(1)).alias("b")))
     own = sizes(new).join(sizes(library).withColumnRenamed("n", "m"), "recording_id").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("same"))
-    compared = candidate_pairs(new, library).where(interval_test(F.col("a.intervals"), F.col("b.intervals"))).agg(F.count(F.lit(1)).alias("compared"))
+    counted = ["tempo", "uniformity", "groove", "drums", "spectral", "intervals"]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        n = sum(len(i) for i, _, _ in scoring.tested(scoring.Side(a), scoring.Side(b))) if a.num_rows and b.num_rows else 0
+        return pa.table({"n": pa.array([n], pa.int64())})
+
+    met = blocks.meet(_side(new, *counted), _side(library, *counted), ["riff_id", "recording_id", "tempo", "intervals"], run, "n long", 0.0)
+    compared = met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared"))
     out = total.join(own).join(compared).join(matches.agg(F.count(F.lit(1)).alias("matched")))  # one row each
     pairs = F.col("a") * F.col("b") - F.col("same")
     return out.select(pairs.alias("pairs"), (pairs - F.col("compared")).alias("skipped"), "compared", "matched", F.when(pairs > 0, F.round(100.0 * (pairs - F.col("compared")) / pairs, 1)).otherwise(0.0).alias("percent_skipped"))

@@ -52,7 +52,7 @@ def novelty_peaks(curve: DataFrame, height: float = 0.3, distance: int = 172) ->
                 keep[near] = False
         return peaks[keep.to_numpy()]
 
-    return top.groupBy("recording_id").applyInPandas(suppress, "recording_id long, frame_idx long, novelty double")
+    return top.groupBy("recording_id").applyInPandas(suppress, f"recording_id {curve.schema['recording_id'].dataType.simpleString()}, frame_idx long, novelty double")
 
 
 def assemble_riffs(bounds: DataFrame, least: float = 3, most: float = 60) -> DataFrame:

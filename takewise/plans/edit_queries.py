@@ -21,7 +21,7 @@ def _ids(r, n):
     return r.where(F.col("recording_id") % n == 0).select("recording_id")
 
 
-def _patches(r):
+def patched(r):
     i = F.col("recording_id")
     one = r.where(i % 4 == 0).select("recording_id", F.lit(1).alias("seq"), F.lit("trimming").alias("state"), F.lit(99.5).alias("tempo"))
     two = r.where(i % 8 == 0).select("recording_id", F.lit(2).alias("seq"), F.lit("analyzing").alias("state"), F.lit(None).cast("double").alias("tempo"))
@@ -57,7 +57,7 @@ def _warn_edits(r):
 
 
 QUERIES = {
-    "e1_update_state": _q(lambda r, s, f: e.update_state(r, _patches(r)).select("recording_id", "state", "tempo")),
+    "e1_update_state": _q(lambda r, s, f: e.update_state(r, patched(r)).select("recording_id", "state", "tempo")),
     "e2_classify_as_set": _q(lambda r, s, f: e.classify_as_set(r, r.where("kind = 'set'").select("recording_id", F.lit(1).alias("seq"), (F.col("duration_sec") + 1).alias("duration_sec")))[0].select("recording_id", "kind", "state", "filename", "duration_sec", "path_flac", "tempo")),
     "e2_errors": _q(lambda r, s, f: e.classify_as_set(r, r.select((F.col("recording_id") + 900).alias("recording_id"), F.lit(1).alias("seq"), "duration_sec"))[1]),
     "e3_assign_to_song": _q(lambda r, s, f: e.assign_to_song(r, _assignments(r))[0].select("recording_id", "state", "song_id")),

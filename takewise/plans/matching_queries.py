@@ -11,6 +11,7 @@ from takewise.operators import pairs as p
 from takewise.operators.catalog import matches_for_riff
 from takewise.plans import adapters as ad
 from takewise.plans.sql import TEMPO, WARP, cosine, over, recursive
+from takewise.session import checkpoint
 
 
 def found(spark: SparkSession, sf_dir: str, least: float = m.SCORE_LEAST, everything: bool = False) -> DataFrame:
@@ -48,13 +49,19 @@ def batch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tempo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    riffs = ad.riffs(spark, sf_dir).select("riff_id", "recording_id", "tempo")
-    return m.candidate_pairs(ad.batch(riffs), riffs).select(F.col("a.riff_id").alias("riff_a_id"), F.col("b.riff_id").alias("riff_b_id"), F.round(m.tempo_similarity(F.col("a.tempo"), F.col("b.tempo")), 6).alias("similarity"))
+    riffs = ad.riffs(spark, sf_dir).select("riff_id", "recording_id", "riff_order", "tempo")
+    return m.tested_pairs(ad.batch(riffs), riffs, intervals=False).withColumn("similarity", F.round("similarity", 6))
 
 
 def interval_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    riffs = ad.riffs(spark, sf_dir).select("riff_id", "recording_id", "tempo", "intervals")
-    return m.candidate_pairs(ad.batch(riffs), riffs).where(m.interval_test(F.col("a.intervals"), F.col("b.intervals"))).select(F.col("a.riff_id").alias("riff_a_id"), F.col("b.riff_id").alias("riff_b_id"))
+    riffs = ad.riffs(spark, sf_dir)
+    return m.tested_pairs(ad.batch(riffs), riffs).drop("similarity")
+
+
+def warps_avoided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pairs compared for scores of 0.7 or more, those that need no warping at all."""
+    riffs = ad.riffs(spark, sf_dir)
+    return m.warp_counts(ad.batch(riffs), riffs, 0.7).select("compared", "bounded")
 
 
 def weight_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +121,16 @@ def pairs_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.group_by_similarity(banded, ad.riffs(spark, sf_dir))
 
 
+def pairs_groups_kept_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same groups, when the pairs come in three batches and each grows onto the groups of those before."""
+    riffs = ad.riffs(spark, sf_dir)
+    banded = checkpoint(p.evidence_band(p.best_pair_matches(found(spark, sf_dir))))
+    groups = spark.createDataFrame([], "recording_id long, group_id long")
+    for part in range(3):
+        groups = p.update_groups(groups, banded.where(F.pmod(F.xxhash64("rec_lo", "rec_hi"), F.lit(3)) == part), riffs.where(F.col("recording_id") % 3 == part))
+    return groups
+
+
 def pairs_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.riff_overlap(found(spark, sf_dir), ad.riffs(spark, sf_dir))
 
@@ -124,6 +141,7 @@ QUERIES = {
     "m5_interval_prefilter": interval_prefilter,
     "m4_cosines": cosines,
     "m6_warps": warps,
+    "m6_warps_avoided": warps_avoided,
     "m7_weight_choice": weight_choice,
     "q11_matches_for_riff": riff_matches,
     "m8_neighbours_compared": neighbours_compared,
@@ -137,6 +155,7 @@ QUERIES = {
     "pairs_best": pairs_best,
     "p9_evidence_band": pairs_band,
     "p10_similarity_groups": pairs_groups,
+    "p10_groups_kept_up": pairs_groups_kept_up,
     "p11_riff_overlap": pairs_overlap,
 }
 
@@ -171,6 +190,7 @@ SELECT riff_a_id, riff_b_id, round(CASE weights WHEN 'blast' THEN 0.55 * contour
     "m9_matches_strict": over("scored", "SELECT riff_a_id, riff_b_id, score, weights FROM scored WHERE score >= 0.7"),
     "m10_match_stats": over("scored", f"AND WITH c AS (SELECT (SELECT count(*) FROM riffs a JOIN riffs b ON a.recording_id <> b.recording_id WHERE a.recording_id % 10 = 0) AS pairs, (SELECT count(*) FROM scored) AS compared, (SELECT count(*) FROM scored WHERE score >= 0.3) AS matched) SELECT pairs, pairs - compared AS skipped, compared, matched, round(100.0 * (pairs - compared) / pairs, 1)::DOUBLE AS percent_skipped FROM c"),
     "m11_library_health": over("riffs", "SELECT count(*) AS n_riffs, CASE WHEN count(*) < 2 THEN 'skipped' WHEN count(*) > 1000 THEN 'slow' WHEN count(*) > 500 THEN 'approaching' ELSE 'fine' END AS health FROM riffs"),
+    "m6_warps_avoided": over("scored", "SELECT count(*) AS compared, count(*) FILTER (CASE weights WHEN 'blast' THEN 0.55 + 0.10 * groove + 0.10 * drums + 0.05 * spectral + 0.20 * tempo WHEN 'groove' THEN 0.15 + 0.35 * groove + 0.20 * drums + 0.10 * spectral + 0.20 * tempo ELSE 0.30 + 0.25 * groove + 0.15 * drums + 0.10 * spectral + 0.20 * tempo END < 0.7 - 0.000051) AS bounded FROM p1"),
     "m9_matches_library": over("scored_all", "SELECT riff_a_id, riff_b_id, score, weights FROM scored WHERE score >= 0.3"),
     "pairs_best_library": over("scored_all", "AND WITH " + _BEST.format(least=0.3) + " SELECT * FROM best"),
     "e13_store_matches": over("scored", "SELECT riff_a_id, riff_b_id, score FROM scored WHERE score >= 0.7 UNION ALL SELECT riff_a_id, riff_b_id, score FROM scored WHERE score >= 0.3"),
@@ -189,3 +209,4 @@ SELECT rec_lo, rec_hi, riff_pairs, riffs_lo, riffs_hi, round(riffs_lo / x.n, 4)
   CASE WHEN riffs_lo >= 2 AND riffs_hi >= 2 THEN 'many' WHEN top >= 0.75 THEN 'one strong' ELSE 'none' END AS band FROM g JOIN n x ON x.recording_id = rec_lo JOIN n y ON y.recording_id = rec_hi""",
     ),
 }
+ORACLE_SQL["p10_groups_kept_up"] = ORACLE_SQL["p10_similarity_groups"]

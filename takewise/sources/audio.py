@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,24 +18,77 @@ def scan_audio(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"), F.regexp_extract("path", r"(\.[^.]*)$", 1).alias("suffix"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("file_hash"), "content")
 
 
-def pcm(content: bytes) -> tuple[int, np.ndarray]:
-    """Sampling rate and mono samples in -1 to 1 of a PCM file of 16, 24 or 32 bits; channels are averaged."""
-    at, rate, channels, bits, data = 12, 0, 1, 16, b""
-    while at + 8 <= len(content):
-        kind, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
-        if kind == b"fmt ":
-            _, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", content, at + 8)
-        elif kind == b"data":
-            data = content[at + 8 : at + 8 + size]
-        at += 8 + size + size % 2
-    width = bits // 8
-    data = data[: len(data) // (width * channels) * width * channels]
-    if bits == 24:
+#: Format tags of samples as whole numbers and as floating point, and of a header that gives the tag further on.
+_WHOLE, _FLOAT, _FURTHER = 1, 3, 0xFFFE
+
+
+@dataclass(frozen=True)
+class Layout:
+    """What a file's header says: where its samples begin and end, and how they are written."""
+
+    tag: int
+    rate: int
+    channels: int
+    bits: int
+    begin: int
+    end: int
+
+    @property
+    def frame(self) -> int:
+        """Bytes of one sample of all channels."""
+        return self.bits // 8 * self.channels
+
+    @property
+    def known(self) -> bool:
+        return self.rate > 0 and self.channels > 0 and (self.tag, self.bits) in ((_WHOLE, 8), (_WHOLE, 16), (_WHOLE, 24), (_WHOLE, 32), (_FLOAT, 32), (_FLOAT, 64))
+
+    @property
+    def frames(self) -> int:
+        return max(0, self.end - self.begin) // self.frame if self.known else 0
+
+
+def layout(read: Callable[[int, int], bytes], size: int) -> Layout | None:
+    """The layout of a file of size bytes of which read(at, n) gives n; None if it isn't a WAV file with samples."""
+    head = read(0, 12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        return None
+    at, told = 12, None
+    while at + 8 <= size:
+        chunk = read(at, 8)
+        length = struct.unpack("<I", chunk[4:])[0] if len(chunk) == 8 else 0
+        if chunk[:4] == b"fmt ":
+            body = read(at + 8, min(length, 40))
+            if len(body) < 16:
+                return None
+            tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", body)
+            told = (struct.unpack_from("<H", body, 24)[0] if tag == _FURTHER and len(body) >= 26 else tag, rate, channels, bits)
+        elif chunk[:4] == b"data":
+            return Layout(*told, at + 8, min(size, at + 8 + length)) if told else None
+        at += 8 + length + length % 2
+    return None
+
+
+def samples_of(data: bytes, how: Layout) -> np.ndarray:
+    """Mono samples of whole frames, -1 to 1 for whole numbers; channels are averaged."""
+    data = data[: len(data) // how.frame * how.frame]
+    if how.tag == _FLOAT:
+        values = np.frombuffer(data, f"<f{how.bits // 8}").astype(float)
+    elif how.bits == 8:  # the only width without a sign
+        values = (np.frombuffer(data, np.uint8).astype(float) - 128) / 128
+    elif how.bits == 24:
         raw = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
         values = (raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) / 2.0**31
     else:
-        values = np.frombuffer(data, f"<i{width}") / 2.0 ** (bits - 1)
-    return rate, values.reshape(-1, channels).mean(axis=1) if len(values) else values
+        values = np.frombuffer(data, f"<i{how.bits // 8}") / 2.0 ** (how.bits - 1)
+    return values.reshape(-1, how.channels).mean(axis=1) if len(values) else values
+
+
+def pcm(content: bytes) -> tuple[int, np.ndarray] | None:
+    """Sampling rate and mono samples of a WAV file: whole numbers of 8, 16, 24 or 32 bits or floating point; None for others."""
+    how = layout(lambda at, n: content[at : at + n], len(content))
+    if how is None or not how.known:
+        return None
+    return how.rate, samples_of(content[how.begin : how.end], how)
 
 
 def resample(samples: np.ndarray, rate: int, wanted: int) -> np.ndarray:
@@ -47,21 +101,30 @@ def resample(samples: np.ndarray, rate: int, wanted: int) -> np.ndarray:
     return np.interp(np.arange(int(len(samples) * wanted / rate)) * rate / wanted, np.arange(len(samples)), samples)
 
 
+#: Samples that a chunk carries from before its start, so that a frame there knows the one before it.
+LEAD = 512
+
+CHUNK = "recording_id string, sr int, chunk_idx int, first long, samples array<float>, before array<float>"
+
+
 def decode_pcm(files: DataFrame, key: str = "file_hash", target: int | None = 22050, chunk: int = 1 << 18, halo: int = 1536) -> DataFrame:
-    """(recording_id, sr, chunk_idx, first, samples array<float>): chunks that run halo samples into the next one.
+    """(recording_id, sr, chunk_idx, first, samples, before): chunks that run halo samples into the next one, and LEAD samples
+    from before each (none for the first).
 
-    What isn't such a file gives no rows. One file at a time is held by a task.
+    What isn't a WAV file, or one of other codes than whole numbers and floating point, gives no rows. One file at a time is
+    held by a task; wav.read_ranges reads large files by ranges instead.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, content in zip(part["key"], part["content"]):
-                if content is None or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+                read = pcm(bytes(content)) if content is not None else None
+                if read is None:
                     continue
-                rate, x = pcm(bytes(content))
+                rate, x = read
                 if target and rate:
                     x, rate = resample(x, rate, target), target
                 for i, at in enumerate(range(0, max(len(x), 1), chunk)):
-                    yield pd.DataFrame({"recording_id": [name], "sr": [rate], "chunk_idx": [i], "first": [at], "samples": [x[at : at + chunk + halo].astype(np.float32)]})
+                    yield pd.DataFrame({"recording_id": [name], "sr": [rate], "chunk_idx": [i], "first": [at], "samples": [x[at : at + chunk + halo].astype(np.float32)], "before": [x[max(0, at - LEAD) : at].astype(np.float32)]})
 
-    return files.select(F.col(key).cast("string").alias("key"), "content").mapInPandas(run, "recording_id string, sr int, chunk_idx int, first long, samples array<float>")
+    return files.select(F.col(key).cast("string").alias("key"), "content").mapInPandas(run, CHUNK)

@@ -10,10 +10,11 @@ FINGERPRINT = "struct<groove:array<double>,drums:array<double>,spectral:array<do
 CONTOUR = "struct<contour:array<double>,intervals:array<int>,method:string,pyinConfidence:double>"
 
 
-def manifest_columns(raw: DataFrame) -> DataFrame:
-    """Manifests with snake-case names, the file each comes from, and broken for those that are no manifest."""
+def manifest_columns(raw: DataFrame, *also: str) -> DataFrame:
+    """Manifests with snake-case names, the file each comes from, and broken for those that are no manifest; also: further
+    columns to keep."""
     broken = F.col("_corrupt_record").isNotNull() | F.col("recordingId").isNull()
-    return raw.select(F.col("recordingId").alias("recording_id"), F.col("filePath").alias("file_path"), "filename", F.col("fileHash").alias("file_hash"), F.input_file_name().alias("source"), broken.alias("broken"))
+    return raw.select(F.col("recordingId").alias("recording_id"), F.col("filePath").alias("file_path"), "filename", F.col("fileHash").alias("file_hash"), F.input_file_name().alias("source"), broken.alias("broken"), *also)
 
 
 def read_manifests(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -214,7 +214,8 @@ def test_frames_do_not_depend_on_chunks(spark):
     got = {}
     for chunk in (512 * 4, 512 * 8, 1 << 18):
         rows = frames.frame_features(audio.decode_pcm(files, "k", chunk=chunk, halo=1536)).where("recording_id = 'long'").orderBy("frame_idx").collect()
-        got[chunk] = [(r.frame_idx, round(r.rms, 9), round(r.centroid, 4), round(r.rolloff, 4)) for r in rows]
+        got[chunk] = [(r.frame_idx, round(r.rms, 9), round(r.t_sec, 9), *[round(v, 4) for v in (r.flatness, r.onset, r.centroid, r.rolloff, *r.contrast)]) for r in rows]
+        assert rows[0].onset == 0 and all(r.onset > 0 for r in rows[1:])
     whole = np.frombuffer(data, "<i2") / 32768
     want = [np.sqrt((whole[i : i + 2048] ** 2).mean()) for i in range(0, len(whole) - 2047, 512)]
     assert len({tuple(v) for v in got.values()}) == 1
