@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,54 +14,70 @@ from takewise.session import checkpoint
 
 #: Riffs of a block at most: some 50 MB with contours of 200 points.
 RIFFS = 16_000
+#: Ranges of tempo at most; the plan holds their ends.
+CUTS = 512
 _CAPS = ("intervals", *sc.VECTORS)
 _SUMMARY = "block int, n long, low double, high double, low_uniformity double, high_uniformity double, bare boolean, " + ", ".join(f"{c}_center array<double>, {c}_near double" for c in _CAPS)
 
 
-def count(new: DataFrame, library: DataFrame, riffs: int = RIFFS) -> tuple[int, int]:
+def _place() -> Column:
+    """The tempo, with so little of a hash of riff_id that riffs of one tempo have places of their own."""
+    return F.col("tempo").cast("double") * (1 + F.pmod(F.xxhash64("riff_id"), F.lit(1 << 20)) / F.lit(float(1 << 20)) * 1e-9)
+
+
+def quantiles(*sides: DataFrame) -> list[tuple[int, list[float]]]:
+    """Of each side the riffs of known tempo and the ends of CUTS equal shares of their places; one pass over two columns."""
+    rows = [side.where("tempo > 0").select(F.lit(k).alias("side"), _place().alias("place")) for k, side in enumerate(sides)]
+    both = rows[0]
+    for r in rows[1:]:
+        both = both.unionByName(r)
+    ends = F.percentile_approx("place", [i / CUTS for i in range(1, CUTS)], 20 * CUTS)
+    told = {r.side: (r.n, list(r.ends)) for r in both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), ends.alias("ends")).collect()}
+    return [told.get(k, (0, [])) for k in range(len(sides))]
+
+
+def count(rows: list[int], cores: int, riffs: int = RIFFS) -> list[int]:
     """Blocks of either side: as few as riffs in each allow, but enough for pairs of them to keep every core at work."""
-    cores = library.sparkSession.sparkContext.defaultParallelism
-    rows = [new.count(), library.count()]
     few = [max(1, -(-n // riffs)) for n in rows]
     for _ in range(64):
-        if few[0] * few[1] >= 2 * cores or max(n / k for n, k in zip(rows, few)) <= 64:
+        if few[0] * few[1] >= 6 * cores or max(n / k for n, k in zip(rows, few)) <= 64:
             break
         few[int(rows[1] / few[1] >= rows[0] / few[0])] *= 2
-    return few[0], few[1]
+    return few
 
 
-def blocked(riffs: DataFrame, blocks: int) -> DataFrame:
-    """riffs of known tempo with their block: ranges of tempo, those of one tempo split by riff_id, so that all blocks have as
-    many. Written to the checkpoint folder, since where the ranges end depends on a sample. Riffs of unknown tempo pass
-    no test."""
-    dealt = riffs.where("tempo > 0").repartitionByRange(blocks, "tempo", "riff_id")
-    return checkpoint(dealt.withColumn("block", F.spark_partition_id()))
+def blocked(riffs: DataFrame, blocks: int, ends: list[float] | None = None) -> DataFrame:
+    """riffs of known tempo with their block: ranges of tempo, those of one tempo split by a hash of riff_id, so that all blocks
+    have about as many. Beyond CUTS blocks each range is split by that hash. Riffs of unknown tempo pass no test."""
+    ends = quantiles(riffs)[0][1] if ends is None else ends
+    ranges, parts = min(blocks, CUTS), -(-blocks // CUTS)
+    chosen = sorted({ends[i * CUTS // ranges - 1] for i in range(1, ranges)}) if ends else []
+    below = F.filter(F.array(*[F.lit(e) for e in chosen]), lambda e: e < _place()) if chosen else F.array()
+    return riffs.where("tempo > 0").withColumn("block", (F.size(below) * parts + F.pmod(F.xxhash64("riff_id", F.lit(1)), F.lit(parts))).cast("int"))
 
 
 def summaries(blocked: DataFrame) -> DataFrame:
     """A row per block: riffs, ranges of tempo and uniformity, whether one has no intervals, and for each vector the middle
     direction of its block with the least cosine to it (over vectors that aren't next to zero; null if all are)."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in parts if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        for block in np.unique(table.column("block").to_numpy()).tolist():
-            own = table.filter(pc.equal(table.column("block"), block))
-            side = sc.Side(own)
-            row = {"block": block, "n": own.num_rows, "low": side.tempo.min(), "high": side.tempo.max(), "low_uniformity": side.uniformity.min(), "high_uniformity": side.uniformity.max(), "bare": bool((side.matrix["intervals"][1] == 0).any())}
-            for c in _CAPS:
-                x = side.matrix[c][0]
-                size = np.sqrt((x * x).sum(1))
-                unit = x[size >= 1e-10] / size[size >= 1e-10, None]
-                middle = unit.sum(0)
-                length = float(np.sqrt((middle * middle).sum()))
-                row[f"{c}_center"] = (middle / length).tolist() if length > 1e-10 else None
-                row[f"{c}_near"] = float((unit @ middle).min() / length) if length > 1e-10 else (None if not len(unit) else -1.0)
-            yield pa.RecordBatch.from_pylist([row], pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}.get(f.split()[1], pa.list_(pa.float64()))) for f in _SUMMARY.split(", ")]))
-
-    return blocked.select("block", "tempo", "uniformity", *[F.col(c).cast("array<double>").alias(c) for c in _CAPS]).mapInArrow(run, _SUMMARY)
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+    schema = pa.schema([(f.split()[0], kinds.get(f.split()[1], pa.list_(pa.float64()))) for f in _SUMMARY.split(", ")])
+
+    def run(own: pa.Table) -> pa.Table:
+        side = sc.Side(own)
+        row = {"block": own.column("block")[0].as_py(), "n": own.num_rows, "low": side.tempo.min(), "high": side.tempo.max(), "low_uniformity": side.uniformity.min(), "high_uniformity": side.uniformity.max(), "bare": bool((side.matrix["intervals"][1] == 0).any())}
+        for c in _CAPS:
+            x = side.matrix[c][0]
+            size = np.sqrt((x * x).sum(1))
+            unit = x[size >= 1e-10] / size[size >= 1e-10, None]
+            middle = unit.sum(0)
+            length = float(np.sqrt((middle * middle).sum()))
+            row[f"{c}_center"] = (middle / length).tolist() if length > 1e-10 else None
+            row[f"{c}_near"] = float((unit @ middle).min() / length) if length > 1e-10 else (None if not len(unit) else -1.0)
+        return pa.Table.from_pylist([row], schema)
+
+    vectors = [F.col(c).cast("array<double>").alias(c) for c in _CAPS]
+    return blocked.select("block", F.col("tempo").cast("double").alias("tempo"), F.col("uniformity").cast("double").alias("uniformity"), *vectors).groupBy("block").applyInArrow(run, _SUMMARY)
 
 
 def _reach(what: str) -> Column:
@@ -117,8 +132,9 @@ def meet(new: DataFrame, library: DataFrame, columns: list[str], run: Callable[[
 
     Riffs travel, once for each block that theirs has to meet; pairs of riffs don't. columns: those that run needs.
     """
-    counted = count(new, library) if None in blocks else blocks
-    sides = [blocked(side, n or k) for side, n, k in zip((new, library), blocks, counted)]
+    told = quantiles(new, library)
+    counted = count([n for n, _ in told], library.sparkSession.sparkContext.defaultParallelism)
+    sides = [blocked(side, n or k, ends) for side, n, k, (_, ends) in zip((new, library), blocks, counted, told)]
     met = checkpoint(pairs(summaries(sides[0]), summaries(sides[1]), least, intervals))
     fresh = [F.col(c).alias(c) for c in columns]  # new and library may be one table; each side has columns of its own
     dealt = [side.select(F.col("block").alias(key), *fresh).join(met, key) for side, key in zip(sides, ("block_a", "block_b"))]

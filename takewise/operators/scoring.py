@@ -21,7 +21,7 @@ VECTORS = ("groove", "drums", "spectral")
 
 #: Cells of the new riffs by the library's that are held at once, pairs that are warped at once, and rows between two
 #: looks at which of these can still reach the score.
-CELLS, PAIRS, ROWS = 1 << 20, 4096, 8
+CELLS, PAIRS, ROWS = 1 << 20, 256, 8
 #: What rounding and floating point may add to a score or take from it.
 SLACK = 5.1e-5
 
@@ -102,17 +102,24 @@ def warp_batch(a: np.ndarray, b: np.ndarray, most: np.ndarray | None = None, tol
         fits = ahead[:, 0] <= most
         told.enveloped += int((~fits).sum())
         live, a, b, ahead, most = live[fits], a[fits], b[fits], ahead[fits], most[fits]
-    row, edge = np.zeros((len(live), m + 1)), np.full((len(live), 1), np.inf)
+    # a pair to a column, so that each step is a few passes over memory that lies together
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    row, cell, least = np.zeros((m + 1, len(live))), np.empty((m, len(live))), np.empty((m, len(live)))
     for i in range(n):
         told.rows += len(live)
-        row = np.concatenate([edge, (a[:, i, None] - b) ** 2 + np.minimum(row[:, 1:], row[:, :-1])], 1)
+        np.subtract(a[i], b, out=cell)
+        np.multiply(cell, cell, out=cell)
+        np.minimum(row[1:], row[:-1], out=least)
+        np.add(cell, least, out=row[1:])
+        row[0] = np.inf
         if most is not None and i % ROWS == ROWS - 1 and i < n - 1:
-            fits = row[:, 1:].min(1) + ahead[:, i + 1] <= most
+            fits = row[1:].min(0) + ahead[:, i + 1] <= most
             if not fits.all():
                 told.abandoned += int((~fits).sum())
-                live, a, b, ahead, most, row, edge = live[fits], a[fits], b[fits], ahead[fits], most[fits], row[fits], edge[fits]
+                live, ahead, most, a, b, row = live[fits], ahead[fits], most[fits], np.ascontiguousarray(a[:, fits]), np.ascontiguousarray(b[:, fits]), np.ascontiguousarray(row[:, fits])
+                cell, least = np.empty((m, len(live))), np.empty((m, len(live)))
     if len(live):
-        out[live] = row[:, 1:].min(1)
+        out[live] = row[1:].min(0)
     return np.maximum(0, 1 - out / min(n, m) / 2)
 
 
@@ -185,6 +192,7 @@ def scored(new: Side, library: Side, least: float, told: Warps):
                 most = 2.0 * min(a, b) * (1 - (least - SLACK - rest[part]) / share[part]) if a and b else None
                 if most is not None:
                     most = np.where(rest[part] >= least - SLACK, np.inf, most)  # no distance rules these out
+                    most = None if np.isinf(most).all() else most
                 contour[part] = warp_batch(curves[0][0][i[part], :a], curves[1][0][j[part], :b], most, told)
         sims["contour"] = contour
         score = rounded(sum(_weights(label, what) * sims[what] for what in ("contour", "groove", "drums", "spectral", "tempo")))

@@ -75,6 +75,7 @@ def test_matches_of_text_ids(spark, least, cut):
 def test_hot_tempo_and_skipped_blocks(spark):
     """One tempo in two thirds of all riffs is cut into blocks like any other; blocks that cannot match don't meet."""
     riffs = spark.createDataFrame(made_riffs(400, 2, hot=True), RIFF)
+    assert blocks.blocked(riffs, 2000).select("block").distinct().count() > 300  # more blocks than ranges
     cut = blocks.blocked(riffs, 8)
     assert max(r["count"] for r in cut.groupBy("block").count().collect()) <= 2 * 400 / 8
     apart = spark.createDataFrame(made_riffs(400, 3, kinds=6), RIFF).withColumn("tempo", F.when(F.col("riff_order") % 2 == 0, 40.0).otherwise(200.0) + F.col("riff_order") / 1000)
