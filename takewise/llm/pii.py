@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from takewise.functions.arrays import let
+
 #: What may be private, as fixed patterns; the checks below decide. Every alternative starts at a boundary and runs on
-#: without going back, so that a text of one long word takes linear time.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+#: without going back, so that a text of one long word takes linear time. First the
+#: letters of the Latin, Greek and Cyrillic scripts, and digits.
+_LETTERS = "A-Za-z0-9À-ɏͰ-ӿ"
+EMAIL = rf"(?<![{_LETTERS}._%+-])[{_LETTERS}._%+-]{{1,64}}+@[{_LETTERS}-]++(?:\.[{_LETTERS}-]++)+"
 SECRET = r"(?<![A-Za-z0-9])(?i:token|secret|api[_-]?key|access[_-]?key|passw(?:or)?d)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
+SPACED_PHONE = r"(?<![0-9+] )(?<![0-9A-Za-z+])[0-9]{3} [0-9]{3} [0-9]{4}(?![0-9]| [0-9])"
+ABROAD = r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}+(?:[ .-]?(?:\(0?[0-9]{1,4}\)|[0-9]{1,4}+)){2,8}+(?![0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?+)(?![A-Za-z0-9])"
 ADDRESS = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:([ -])[0-9]{4})(?:\1[0-9]{4}){2}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-DATE = r"(?<![0-9./-])(?:[0-9]{4}([/-])[0-9]{2}\2[0-9]{2}|[0-9]{2}([./])[0-9]{2}\3[0-9]{4})(?![0-9]|[./-][0-9])"
-ANY = "|".join([EMAIL, SECRET, ACCESS_KEY, PHONE, ADDRESS, CARD, SOCIAL, DATE])
+DATE = r"(?<![0-9./-])(?:[0-9]{4}([/-])[0-9]{2}\2[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\3[0-9]{4})(?![0-9]|[./-][0-9])"
+MONTH = r"(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+LONG_DATE = rf"(?<![0-9A-Za-z])(?:[0-9]{{1,2}} {MONTH} [0-9]{{4}}|{MONTH} [0-9]{{1,2}}, [0-9]{{4}})(?![0-9])"
+ANY = "|".join([EMAIL, SECRET, ACCESS_KEY, IBAN, PHONE, SPACED_PHONE, ABROAD, ADDRESS, CARD, SOCIAL, DATE, LONG_DATE])
 #: What a text with any of these must hold.
 HINT = r"[0-9@]|(?i:token|secret|key|passw)"
 #: Prefixes and lengths of card numbers.
 ISSUER = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|3[47][0-9]{13}|(?:6011|64[4-9][0-9]|65[0-9]{2})[0-9]{12})$"
 
-#: Days from 1920-01-01 that dates are moved among: 256 times 256 of them.
+#: Days from 1920-01-01 to 2099-06-06, 256 times 256 of them, are moved among themselves; so are all others of the years 1
+#: to 9999, which are 6439 times 557.
 FIRST_DAY, SPAN = "1920-01-01", 256
+EARLIEST, OTHERS = "0001-01-01", (6439, 557)
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -90,29 +103,103 @@ def _social(text: Column, key: str) -> Column:
     return F.when(good, F.concat_ws("-", F.lpad(new.cast("string"), 3, "0"), F.lpad((moved["l"] % 99 + 1).cast("string"), 2, "0"), F.lpad((moved["r"] + 1).cast("string"), 4, "0")))
 
 
+def _reshaped(shape: Column, new: Column, first: Column | int = 0) -> Column:
+    """shape with its digits from the first one on replaced by those of new, one after the other."""
+    at = F.struct(F.lit("").alias("out"), F.lit(0).alias("seen"))
+
+    def put(state: Column, c: Column) -> Column:
+        digit, turn = c.between("0", "9"), state["seen"] - first + 1
+        return F.struct(F.concat(state["out"], F.when(digit & (turn >= 1), new.substr(turn, F.lit(1))).otherwise(c)).alias("out"), (state["seen"] + F.when(digit, 1).otherwise(0)).alias("seen"))
+
+    return F.aggregate(F.filter(F.split(shape, ""), lambda c: c != ""), at, put, lambda s: s["out"])
+
+
+def _abroad(text: Column, key: str) -> Column:
+    """A number with a country's prefix, of 8 to 15 digits: the prefix (two digits if nothing ends it) and the marks stay."""
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    ahead = F.length(F.regexp_extract(text, r"^\+([0-9]{1,3})[^0-9]", 1))
+    prefix = F.when(ahead > 0, ahead).otherwise(2)
+    new = digits_pseudonym(digits.substr(prefix + 1, F.length(digits) - prefix), key, "abroad")
+    return F.when(F.length(digits).between(8, 15), _reshaped(text, new, prefix))
+
+
+def _remainder(account: Column) -> Column:
+    """An account number of letters (A is 10) and digits, as one number, modulo 97."""
+    value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.filter(F.split(account, ""), lambda c: c != ""), F.lit(0), lambda s, c: ((s * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97).cast("int"))
+
+
+def _iban(text: Column, key: str) -> Column:
+    """An account number that its check digits confirm: country, letters and blanks stay, the check digits fit again."""
+    bare = F.regexp_replace(text, " ", "")
+    good = F.length(bare).between(15, 34) & (_remainder(F.concat(bare.substr(F.lit(5), F.length(bare) - 4), bare.substr(1, 4))) == 1)
+    account = bare.substr(F.lit(5), F.length(bare) - 4)
+    digits = F.regexp_replace(account, "[A-Z]", "")
+    n = F.length(digits)
+    tail = F.least(n, F.lit(16))
+    head = n - tail
+    part = lambda d, size, domain: F.when(size >= 2, digits_pseudonym(d, key, domain)).otherwise(d)
+    moved = F.concat(part(digits.substr(F.lit(1), head), head, "iban head"), part(digits.substr(head + 1, tail), tail, "iban"))
+
+    def finished(new: Column) -> Column:
+        check = F.lpad((98 - _remainder(F.concat(new, bare.substr(1, 2), F.lit("00")))).cast("string"), 2, "0")
+        return _reshaped(text, F.concat(check, F.regexp_replace(new, "[A-Z]", "")))
+
+    return F.when(good, let(_reshaped(account, moved), finished))
+
+
+def _moved_day(day: Column, key: str) -> Column:
+    """Another day, for one counted from FIRST_DAY: of those from there on that SPAN allows, or of all others."""
+    earlier = F.datediff(F.lit(FIRST_DAY).cast("date"), F.lit(EARLIEST).cast("date"))
+
+    def near(d: Column) -> Column:
+        return let(feistel(F.floor(d / SPAN), d % SPAN, F.lit(SPAN), F.lit(SPAN), key, "date"), lambda s: s["l"] * SPAN + s["r"])
+
+    def far(index: Column) -> Column:
+        moved = feistel(F.floor(index / OTHERS[1]), index % OTHERS[1], F.lit(OTHERS[0]), F.lit(OTHERS[1]), key, "far date")
+        return let(moved, lambda s: s["l"] * OTHERS[1] + s["r"] - earlier)
+
+    def other(d: Column) -> Column:
+        place = let(F.when(d < 0, d + earlier).otherwise(d - SPAN * SPAN + earlier), far)
+        return let(place, lambda p: F.when(p < 0, p).otherwise(p + SPAN * SPAN))
+
+    return F.date_add(F.lit(FIRST_DAY).cast("date"), let(day, lambda d: F.when(d.between(0, SPAN * SPAN - 1), near(d)).otherwise(other(d))).cast("int"))
+
+
 def _date(text: Column, key: str) -> Column:
-    """A day that exists, from 1920-01-01 to 2099-06-06, written year first, or month or day first; others stay.
+    """A day of the years 1 to 9999 that exists, written year first, or month or day first; others stay.
 
     The writing is read off once: the year's place, the marks between, and whether month or day comes first. Of two
-    readings of one writing month first is taken.
+    readings of one writing month first is taken. Where a month or day has one digit, none gets a zero ahead of it.
     """
     mark = F.regexp_extract(text, "[./-]", 0)
     part = [F.try_element_at(F.split(text, "[./-]"), F.lit(i)) for i in (1, 2, 3)]
     ahead = F.length(part[0]) == 4
+    short = ~ahead & ((F.length(part[0]) == 1) | (F.length(part[1]) == 1))
 
     def day_of(month: Column, day: Column) -> Column:
         year = F.when(ahead, part[0]).otherwise(part[2])
-        return F.datediff(F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date"))
+        return F.datediff(F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date"))
 
     month_first = F.when(mark == "/", day_of(part[0], part[1]))
     day_first = day_of(part[1], part[0])
     day = F.when(ahead, day_of(part[1], part[2])).otherwise(F.coalesce(month_first, day_first))
     by_month = month_first.isNotNull()
-    moved = feistel(F.floor(day / SPAN), day % SPAN, F.lit(SPAN), F.lit(SPAN), key, "date")
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), (moved["l"] * SPAN + moved["r"]).cast("int"))
-    y, m, d = (F.date_format(new, form) for form in ("yyyy", "MM", "dd"))
-    shown = F.when(ahead, F.concat(y, mark, m, mark, d)).when(by_month, F.concat(m, mark, d, mark, y)).otherwise(F.concat(d, mark, m, mark, y))
-    return F.when(day.between(0, SPAN * SPAN - 1), shown)
+    year = F.when(ahead, part[0]).otherwise(part[2])
+
+    def shown(new: Column) -> Column:
+        y = F.date_format(new, "yyyy")
+        m, d = (F.when(short, F.date_format(new, form[0])).otherwise(F.date_format(new, form)) for form in ("MM", "dd"))
+        return F.when(ahead, F.concat(y, mark, m, mark, d)).when(by_month, F.concat(m, mark, d, mark, y)).otherwise(F.concat(d, mark, m, mark, y))
+
+    return let(day, lambda told: F.when(told.isNotNull() & (year != "0000"), let(_moved_day(told, key), shown)))
+
+
+def _long_date(text: Column, key: str) -> Column:
+    """A day that exists with the month's English name, before the month or behind it."""
+    forms = ("d MMMM yyyy", "MMMM d, yyyy")
+    days = [F.datediff(F.try_to_timestamp(text, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date")) for form in forms]
+    return F.when(days[0].isNotNull(), F.date_format(_moved_day(days[0], key), forms[0])).when(days[1].isNotNull(), F.date_format(_moved_day(days[1], key), forms[1]))
 
 
 def pseudonym(match: Column, key: str) -> Column:
@@ -124,22 +211,38 @@ def pseudonym(match: Column, key: str) -> Column:
         F.when(match.contains("@"), F.concat(F.lit("user."), F.substring(_digest(key, F.lit("email"), F.lower(match)), 1, 12), F.lit("@mail.invalid")))
         .when(match.rlike("[=:]"), F.concat(head, F.repeat(_digest(key, F.lit("secret"), secret), 1 + F.floor(F.length(secret) / 64).cast("int")).substr(F.lit(1), F.length(secret))))
         .when(match.startswith("AKIA"), F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))))
+        .when(match.rlike(f"^(?:{IBAN})$"), _iban(match, key))
         .when(match.rlike(f"^(?:{PHONE})$"), _phone(match, key))
+        .when(match.rlike(f"^(?:{SPACED_PHONE})$"), _reshaped(match, digits_pseudonym(F.regexp_replace(match, " ", ""), key, "phone")))
+        .when(match.startswith("+"), _abroad(match, key))
         .when(match.rlike(f"^(?:{ADDRESS})$"), _address(match, key))
         .when(match.rlike(f"^(?:{CARD})$"), _card(match, key))
         .when(match.rlike(f"^(?:{SOCIAL})$"), _social(match, key))
+        .when(match.rlike("[A-Za-z]"), _long_date(match, key))
         .otherwise(_date(match, key))
     )
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "takewise", count: str = "n_private") -> DataFrame:
+#: The key without a secret, for tests and trials.
+PUBLIC_KEY = "takewise"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key of the session's spark.takewise.pseudonymKey; without it a warning, and a key that everybody can read here."""
+    key = spark.conf.get("spark.takewise.pseudonymKey", None)
+    if key is None:
+        warnings.warn("spark.takewise.pseudonymKey isn't set: the pseudonyms have a public key and can be undone by anybody", stacklevel=2)
+    return key or PUBLIC_KEY
+
+
+def pseudonymise(docs: DataFrame, text: str = "text", key: str = PUBLIC_KEY, count: str = "n_private") -> DataFrame:
     """docs with private values in text replaced, and a column count, how many were.
 
     Numbers and dates that their checks confirm are moved by a Feistel permutation of their format under key: a card
     number stays one of its issuer, a date a date of the same writing. Equal values have equal pseudonyms in all
     documents, different ones of a format different ones. Mail addresses and secrets have keyed digests in their place.
-    What fails its check (a card number's check digit, a day that doesn't exist or lies before 1920-01-01 or after
-    2099-06-06) stays as it is. A null text stays null with 0 replaced, as does an empty one; each row is dealt with by
+    What fails its check (the check digits of a card or account number, a day that doesn't exist) stays as it is, as do
+    telephone numbers without any mark between their digits or a country's prefix, which any number looks like. A null text stays null with 0 replaced, as does an empty one; each row is dealt with by
     itself, so repeated rows and ties make no difference, and a text of any length is dealt with whole. Other columns of
     whatever names pass through; if one is called count already, the new one gets an underscore more. One projection of
     SQL functions: no shuffle, no Python. Whoever knows key can undo the pseudonyms, so give one of your own.

@@ -35,8 +35,7 @@ def op4_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.takewise.pseudonymKey", "takewise")
-    return pii.pseudonymise(_documents(spark, sf_dir), key=key).select("doc_id", "text", "n_private")
+    return pii.pseudonymise(_documents(spark, sf_dir), key=pii.session_key(spark)).select("doc_id", "text", "n_private")
 
 
 def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,12 +243,25 @@ def train(x: np.ndarray, target: np.ndarray, rounds: int) -> np.ndarray:
     return w.astype(float)
 
 
+def sampled(docs: DataFrame, sample: int, total: int) -> DataFrame:
+    """The sample different rows (doc_id, text) of least hash, of total; rows that are repeated count once, so no doc_id, null
+    or common, brings in more. Hashes decide first, so only the texts of the sample are shuffled."""
+    rows = tx.only(docs, "doc_id", "text").withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
+    share = 2 * sample / max(1, total)
+    while True:
+        near = rows.where(F.col("place") < F.lit(int(min(1.0, share) * (1 << 40))))
+        told = near.select("place").distinct().orderBy("place").limit(sample).agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("last")).first()
+        if told.n >= sample or share >= 1:
+            return near.where(F.col("place") <= F.lit(told.last)).dropDuplicates(["place"]).drop("place")
+        share *= 16  # most rows are repeated: the different ones lie further apart
+
+
 def fit(docs: DataFrame, sample: int = 8_000, size: int = 2048, rounds: int = 200, vocabulary: int = 2_000) -> Model:
     """The scorer for docs (doc_id, text).
 
     All documents vote; what goes to the driver is the number of documents of each pattern of votes, of which there are
-    3 to the power of the labellers at most. The scorer is a logistic regression on the posteriors of about sample
-    documents, chosen by a hash of doc_id: sample is the bound on what training reads. Abuse has labellers, posteriors and
+    3 to the power of the labellers at most. The scorer is a logistic regression on the posteriors of sample documents at
+    most, chosen by a hash of doc_id and text: sample is the bound on what training reads. Abuse has labellers, posteriors and
     a regression of its own over the insults and the vocabulary words found in most documents of the same sample.
     """
 
@@ -269,7 +282,7 @@ def fit(docs: DataFrame, sample: int = 8_000, size: int = 2048, rounds: int = 20
         return Model(np.zeros(size), posteriors, rates, share)
 
     limit = min(1.0, sample / total)
-    chosen = tx.only(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(limit * (1 << 30))))
+    chosen = sampled(docs, sample, total)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,7 +331,8 @@ def probability(model: Model, index: np.ndarray, value: np.ndarray) -> float:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, score, posterior, toxicity, kept): the scorer's probability of good, the labellers' one, that of abuse, and the decision."""
+    """(doc_id, score, posterior, toxicity, good, toxic, kept): the scorer's probability of good, the labellers' one, that of
+    abuse, and the decisions: good by the score, toxic by the toxicity, kept if good and not toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = Hashing(len(model.weights))
@@ -327,16 +341,18 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             posterior = [model.posteriors.get(votes(t), model.share) for t in texts]
             p = np.array([q if foreign(t) else probability(model, *hashing(t)) for t, q in zip(texts, posterior)], float)
             abusive = [model.toxicity(t) for t in texts]
+            good, toxic = [bool(a >= threshold and t.strip()) for a, t in zip(p, texts)], [b >= 0.5 for b in abusive]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(p), pa.array(posterior, pa.float64()), pa.array(abusive, pa.float64()), pa.array([bool(a >= threshold and b < 0.5 and t.strip()) for a, b, t in zip(p, abusive, texts)], pa.bool_())],
-                names=["doc_id", "score", "posterior", "toxicity", "kept"],
+                [batch.column("doc_id"), pa.array(p), pa.array(posterior, pa.float64()), pa.array(abusive, pa.float64()), *[pa.array(x, pa.bool_()) for x in (good, toxic, [a and not b for a, b in zip(good, toxic)])]],
+                names=["doc_id", "score", "posterior", "toxicity", "good", "toxic", "kept"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, posterior double, toxicity double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, posterior double, toxicity double, good boolean, toxic boolean, kept boolean")
 
 
 def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = 8_000, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that classify keeps, with all their columns; a map without a shuffle once the scorer is fitted."""
+    """The rows of docs that classify keeps, with all their columns; a map without a shuffle once the scorer is fitted. A row
+    with a null text goes, one with a null doc_id is judged by its text."""
     model = fit(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,9 +367,10 @@ def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sampl
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 8_000, threshold: float = 0.5) -> DataFrame:
-    """Each row's score, posterior, toxicity and whether it is kept: whether it is good and not abusive.
+    """Each row's score, posterior and toxicity, whether it is good, whether it is toxic, and whether it is kept: good and not
+    toxic. Quality and abuse are judged apart: a well written insult is good and toxic.
 
-    A null, empty or blank text is rejected. A row is judged by its text alone, so repeated rows and ties get equal
+    A null, empty or blank text is not good. A row is judged by its text alone, so repeated rows and ties get equal
     verdicts; a null doc_id is passed on; an empty table gives an empty result. Other columns play no part. A very long
     text is read whole, in one task. A text in another script than the Latin one, of which the scorer has seen nothing,
     is scored by the posterior of its votes, in which labellers that know Latin texts alone abstain.
