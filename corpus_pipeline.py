@@ -44,7 +44,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Private values are replaced; a null or empty text has none."""
-    key = spark.conf.get("spark.takewise.pseudonymKey", "takewise")
+    key = pii.session_key(spark)
     return _measured(pii.pseudonymise(docs, key=key).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
