@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from takewise.functions import arrays
-from takewise.operators import contour, rhythm, segment, trim
+from takewise.operators import contour, onsets, rhythm, segment, trim
 from takewise.plans import adapters as ad
 from takewise.plans.sql import over
 
@@ -82,6 +82,10 @@ def _off(h):
     return h.where("idx % 4 <> 0")
 
 
+def _picked(f):
+    return onsets.pick_onsets(f, ["recording_id"], "rms")
+
+
 def _f0(h):
     return h.select("recording_id", F.col("idx").alias("frame_idx"), F.when(F.col("idx") % 3 != 0, 100 + F.col("strength")).alias("f0_hz"), (0.4 + (F.col("recording_id") % 5) * 0.1).alias("voiced_prob"))
 
@@ -140,6 +144,10 @@ QUERIES = {
     "g3_tempo": _hours(lambda h: rhythm.tempo_from_beats(_beats(h), ["recording_id"])),
     "g4_spectral_mean": _frames(lambda f: rhythm.spectral_mean(f.withColumn("contrast", F.array("c0", "c1")), ["recording_id"]).select("recording_id", F.col("spectral")[0].alias("s0"), F.col("spectral")[1].alias("s1"))),
     "g5_histogram": _hours(lambda h: rhythm.ioi_histogram(h, ["recording_id"], 39, 0.05).select("recording_id", _points("groove").alias("groove"))),
+    "o1_onsets": _frames(lambda f: _picked(f).select("recording_id", "idx", "frame_idx", R6("t_sec"))),
+    "o1_onset_gaps": _frames(lambda f: rhythm.ioi_histogram(_picked(f), ["recording_id"]).select("recording_id", _points("groove").alias("groove"))),
+    "o2_beat_periods": _frames(lambda f: onsets.beat_periods(f, ["recording_id"], "rms")),
+    "o2_beats": _frames(lambda f: onsets.track_beats(f, ["recording_id"], "rms").select("recording_id", "idx", "frame_idx", R6("t_sec"))),
     "g6_autocorr": lambda s, d: ad.riffs(s, d).select("riff_id", _points(rhythm.onset_autocorr(F.col("groove"), 5)).alias("drums")),
     "g7_fingerprint": _fingerprints,
     "g8_flags": lambda s, d: rhythm.processing_flags(_riff_rows(s, d), True).select("recording_id", F.array_join("processing_flags", ",").alias("flags")),
@@ -236,6 +244,18 @@ _RES = lambda v, n: f"list_transform(range(0, {n}), lambda k: CASE WHEN k * len(
 _LAGS = lambda d: f"list_transform(range(0, 20), lambda k: list_sum(list_transform(range(1, len({d}) - k + 1), lambda i: {d}[i] * {d}[i + k])))"
 _BEAT = "bt AS (SELECT recording_id, idx // 4 AS b, t_sec, lead(t_sec) OVER (PARTITION BY recording_id ORDER BY idx) AS nxt FROM hours WHERE idx % 4 = 0), asg AS (SELECT h.recording_id, h.idx, b AS beat_idx, h.t_sec, h.strength FROM hours h JOIN bt ON bt.recording_id = h.recording_id AND h.t_sec >= bt.t_sec AND h.t_sec < bt.nxt WHERE h.idx % 4 <> 0)"
 
+#: How densely gaps x (recording_id, gap, n) lie in each of 39 bins.
+_DENSITY = f"""y AS (SELECT recording_id, CASE WHEN gap <= 39 * 0.05::DOUBLE THEN least(floor(gap / 0.05::DOUBLE), 38)::INTEGER END AS b FROM x WHERE n > 2 AND gap IS NOT NULL),
+z AS (SELECT recording_id, list(b) FILTER (b IS NOT NULL) AS l, count(b) AS m FROM y GROUP BY 1)
+SELECT recording_id, {_PTS("list_transform(range(0, 39), lambda k: CASE WHEN m > 0 THEN round(len(list_filter(l, lambda q: q = k)) / (m * 0.05::DOUBLE), 4) ELSE 0 END)")} AS groove FROM z"""
+#: Onsets of frames: o4 has a list of frame numbers per recording.
+_ONSETS = """o0 AS (SELECT recording_id, frame_idx, rms, min(rms) OVER p AS lo, max(rms) OVER p AS hi FROM frames WINDOW p AS (PARTITION BY recording_id)),
+o1 AS (SELECT recording_id, frame_idx, CASE WHEN hi > lo THEN (rms - lo) / (hi - lo) ELSE 0 END AS x FROM o0),
+o2 AS (SELECT *, max(x) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS top, avg(x) OVER (w ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS mu FROM o1 WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx)),
+o3 AS (SELECT recording_id, list([frame_idx] ORDER BY frame_idx) AS l FROM o2 WHERE x >= top AND x >= mu + 0.07::DOUBLE GROUP BY 1),
+o4 AS (SELECT recording_id, list_reduce(l, lambda s, x: CASE WHEN x[1] - s[len(s)] > 1 THEN list_append(s, x[1]) ELSE s END) AS k FROM o3),
+picked AS (SELECT recording_id, unnest(range(0, len(k))) AS idx, unnest(k) AS frame_idx FROM o4)"""
+
 _PITCHED = """f AS (SELECT recording_id, idx, CASE WHEN idx % 3 <> 0 THEN 12 * (log2(100 + strength) - log2(440.0::DOUBLE)) + 69 END AS note, avg(0.4 + (recording_id % 5) * 0.1::DOUBLE) OVER (PARTITION BY recording_id) AS c,
   count(CASE WHEN idx % 3 <> 0 THEN 1 END) OVER (PARTITION BY recording_id) AS v, count(*) OVER (PARTITION BY recording_id) AS n FROM hours),
 k AS (SELECT *, last_value(note IGNORE NULLS) OVER a AS ln, last_value(CASE WHEN note IS NOT NULL THEN idx END IGNORE NULLS) OVER a AS li, first_value(note IGNORE NULLS) OVER b AS hn, first_value(CASE WHEN note IS NOT NULL THEN idx END IGNORE NULLS) OVER b AS hi FROM f WHERE round(c, 9) >= 0.5 AND v >= 0.3 * n AND v > 0
@@ -261,10 +281,13 @@ SELECT riff_id, method, len(curve) AS n, CASE WHEN len(curve) = 0 THEN '' ELSE {
     "r2_peaks_wide": over("frames", f"AND WITH {_nov(4)}, {_found_peaks(172)} SELECT recording_id, frame_idx, round(novelty, 6) AS novelty FROM peaks"),
     "r3_riffs": over("frames", f"AND WITH bounds AS (SELECT recording_id, count(*) * 3.0::DOUBLE AS d, list(frame_idx * 2.5::DOUBLE) FILTER (frame_idx % 7 = 3 AND rms > 50) AS p FROM frames GROUP BY 1), {_CUT}"),
     "r3_riffs_of_peaks": over("frames", f"AND WITH {_nov(4)}, {_found_peaks(8)}, pl AS (SELECT recording_id, list(frame_idx::DOUBLE) AS p FROM peaks GROUP BY 1), bounds AS (SELECT recording_id, count(*)::DOUBLE AS d, any_value(p) AS p FROM frames LEFT JOIN pl USING (recording_id) GROUP BY 1), {_CUT}"),
-    "g5_histogram": over("hours", f"""AND WITH x AS (SELECT recording_id, lead(t_sec) OVER (PARTITION BY recording_id ORDER BY idx) - t_sec AS gap, count(*) OVER (PARTITION BY recording_id) AS n FROM hours),
-y AS (SELECT recording_id, CASE WHEN gap <= 39 * 0.05::DOUBLE THEN least(floor(gap / 0.05::DOUBLE), 38)::INTEGER END AS b FROM x WHERE n > 2 AND gap IS NOT NULL),
-z AS (SELECT recording_id, list(b) FILTER (b IS NOT NULL) AS l, count(b) AS m FROM y GROUP BY 1)
-SELECT recording_id, {_PTS("list_transform(range(0, 39), lambda k: CASE WHEN m > 0 THEN round(len(list_filter(l, lambda q: q = k)) / (m * 0.05::DOUBLE), 4) ELSE 0 END)")} AS groove FROM z"""),
+    "o1_onsets": over("frames", f"AND WITH {_ONSETS} SELECT recording_id, idx, frame_idx, round(frame_idx * 512 / 22050.0::DOUBLE, 6) AS t_sec FROM picked"),
+    "o1_onset_gaps": over("frames", f"AND WITH {_ONSETS}, x AS (SELECT recording_id, (lead(frame_idx) OVER (PARTITION BY recording_id ORDER BY idx) - frame_idx) * 512 / 22050.0::DOUBLE AS gap, count(*) OVER (PARTITION BY recording_id) AS n FROM picked), {_DENSITY}"),
+    "o2_beat_periods": over("frames", """AND WITH l AS (SELECT recording_id, list(rms ORDER BY frame_idx) AS x FROM frames GROUP BY 1), d AS (SELECT recording_id, list_transform(x, lambda q: q - list_avg(x)) AS d FROM l),
+k AS (SELECT recording_id, d, unnest(range(9, least(len(d) - 1, 86) + 1)) AS k FROM d), a AS (SELECT recording_id, k, list_sum(list_transform(range(1, len(d) - k + 1), lambda i: d[i] * d[i + k])) AS a FROM k),
+b AS (SELECT recording_id, arg_max(k, a * exp(-0.5 * log2(60 * 22050 / 512.0::DOUBLE / k / 120) ** 2)) FILTER (a > 1e-12) AS p FROM a GROUP BY 1)
+SELECT recording_id, coalesce(p, 0)::INTEGER AS period, CASE WHEN p > 0 THEN round(60 * 22050 / 512.0::DOUBLE / p, 1) ELSE 0 END AS tempo FROM l LEFT JOIN b USING (recording_id)"""),
+    "g5_histogram": over("hours", f"""AND WITH x AS (SELECT recording_id, lead(t_sec) OVER (PARTITION BY recording_id ORDER BY idx) - t_sec AS gap, count(*) OVER (PARTITION BY recording_id) AS n FROM hours), {_DENSITY}"""),
     "t1_smooth": over("frames", "SELECT recording_id, frame_idx, round(CASE WHEN count(*) OVER (PARTITION BY recording_id) >= 4 THEN sum(rms) OVER (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 END, 6) AS smooth FROM frames"),
     "t2_energy_wall": over("frames", f"AND WITH {_ENERGY} {_OUT} energy"),
     "t3_regularity": over("hours", f"AND WITH {_REG} {_OUT} regular"),
