@@ -98,8 +98,8 @@ def _share(sample: np.ndarray, first: np.ndarray, second: np.ndarray, k: int, re
 def build(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", size: int | None = None, sample: int = 20_000, k: int = 20, recall: float = 0.96) -> Index:
     """The index of all usable vectors.
 
-    Codebooks of size centroids (by default so many that a pair of them has some 50 vectors, 8 to 1,024), and the share of the vectors that a search visits so that it finds recall of the k
-    nearest, are fitted on about sample vectors chosen by a hash of vec_id. Each vector is indexed. The dimension is
+    Codebooks of size centroids (by default so many that a pair of them has some 50 vectors, 8 to 1,024, which is the most),
+    and the share of the vectors that a search visits so that it finds recall of the k nearest, are fitted on about sample vectors chosen by a hash of vec_id. Each vector is indexed. The dimension is
     that of most vectors; others take no part. The driver gets the sample and the number of vectors per cell alone.
     """
     rows = usable(vectors, vec_id, embedding)
@@ -111,7 +111,7 @@ def build(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / many) * (1 << 30))))
     got = sorted((r.vec_id, tuple(r.vector)) for r in chosen.collect())
     points = np.array([v for _, v in got], float).reshape(-1, n) if got else np.zeros((1, n))
-    split, size = n // 2, size or min(1024, max(8, int((many / 50) ** 0.5)))
+    split, size = n // 2, min(1024, size or max(8, int((many / 50) ** 0.5)))
     first, second = codebook(points[:, :split], size), codebook(points[:, split:], size)
     visit = _share(points, first, second, k, recall)
 
@@ -199,10 +199,11 @@ def search(index: Index, queries: DataFrame, k: int = 20, block: int = 4096) ->
 
     names = ["shard", "asks", "id", "vector", "cells"]
     schema = "shard long, asks int, id long, vector array<double>, cells array<int>"
-    shard_of = F.array(*[F.lit(int(x)) for x in start]), F.array(*[F.lit(int(x)) for x in pieces])
-    cell = F.col("cell") + 1
-    shard = F.element_at(shard_of[0], cell) + F.pmod(F.xxhash64("vec_id"), F.element_at(shard_of[1], cell))
-    held = index.rows.select(shard.cast("long").alias("shard"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), "vector", F.array("cell").alias("cells"))
+    full = np.flatnonzero(counts)
+    table = pa.table({"cell": pa.array(full, pa.int32()), "start": pa.array(start[full], pa.int64()), "pieces": pa.array(pieces[full], pa.int64())})
+    places = F.broadcast(queries.sparkSession.createDataFrame(table))  # codebooks have 1,024 centroids at most, so these are 2^20 rows of 20 bytes
+    shard = F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("pieces"))
+    held = index.rows.join(places, "cell").select(shard.cast("long").alias("shard"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), "vector", F.array("cell").alias("cells"))
     parts = tx.partitions(queries)
     asked = queries.repartition(parts, "vec_id").mapInArrow(place, schema)
 
