@@ -45,51 +45,61 @@ def _digest(key: str, *parts: Column) -> Column:
 def feistel(left: Column, right: Column, a: Column, b: Column, key: str, domain: str, rounds: int = 10) -> Column:
     """A keyed permutation of the pairs (left below a, right below b): in turn each half is shifted by a hash of the other."""
 
-    def shift(half: Column, turn: Column) -> Column:
-        return F.conv(F.substring(_digest(key, F.lit(domain), a, b, turn, half), 1, 15), 16, 10).cast("long")
-
     def step(state: Column, turn: Column) -> Column:
-        l, r = state["l"], state["r"]
-        return F.when(turn % 2 == 0, F.struct(F.pmod(l + shift(r, turn), a).alias("l"), r.alias("r"))).otherwise(F.struct(l.alias("l"), F.pmod(r + shift(l, turn), b).alias("r")))
-
-    start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
+        l, r, a, b = (state[x] for x in "lrab")
+        even = turn % 2 == 0
+        half = F.when(even, r).otherwise(l)
+        shift = F.conv(F.substring(_digest(key, F.lit(domain), a, b, turn, half), 1, 15), 16, 10).cast("long")
+        moved = F.pmod(F.when(even, l).otherwise(r) + shift, F.when(even, a).otherwise(b))
+        return let(moved, lambda m: F.struct(F.when(even, m).otherwise(l).alias("l"), F.when(even, r).otherwise(m).alias("r"), a.alias("a"), b.alias("b")))
+
+    start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"), a.alias("a"), b.alias("b"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step)
 
 
 def digits_pseudonym(digits: Column, key: str, domain: str) -> Column:
     """A string of 2 to 18 digits as another of the same length."""
-    n = F.length(digits)
-    half = F.floor(n / 2).cast("int")
-    size = [F.pow(F.lit(10.0), x).cast("long") for x in (half, n - half)]
-    moved = feistel(F.substring(digits, 1, half).cast("long"), digits.substr(half + 1, n - half).cast("long"), *size, key, domain)
-    return F.concat(F.lpad(moved["l"].cast("string"), half, "0"), F.lpad(moved["r"].cast("string"), n - half, "0"))
+
+    def moved(d: Column, n: Column, half: Column) -> Column:
+        size = [F.pow(F.lit(10.0), x).cast("long") for x in (half, n - half)]
+        new = feistel(d.substr(F.lit(1), half).cast("long"), d.substr(half + 1, n - half).cast("long"), *size, key, domain)
+        return let(new, lambda m: F.concat(F.lpad(m["l"].cast("string"), half, "0"), F.lpad(m["r"].cast("string"), n - half, "0")))
+
+    return let(digits, lambda d: let(F.length(d), lambda n: let(F.floor(n / 2).cast("int"), lambda half: moved(d, n, half))))
 
 
 def _card(text: Column, key: str) -> Column:
     """A number of a known issuer that its check digit confirms: issuer and length stay, the check digit fits again."""
-    digits = F.regexp_replace(text, "[ -]", "")
-    fixed = F.when(digits.startswith("4"), 1).otherwise(4)
-    body = F.concat(digits.substr(F.lit(1), fixed), digits_pseudonym(digits.substr(fixed + 1, F.length(digits) - fixed - 1), key, "card"))
-    check = F.element_at(F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda c: F.call_function("luhn_check", F.concat(body, c))), 1)
-    whole = F.concat(body, check)
     gap = F.regexp_extract(text, "[ -]", 0)
-    places = lambda *sizes: F.concat_ws(" ", *[whole.substr(sum(sizes[:i]) + 1, n) for i, n in enumerate(sizes)])
-    spaced = F.when(F.length(digits) == 15, places(4, 6, 5)).otherwise(places(4, 4, 4, 4))
-    good = digits.rlike(ISSUER) & F.call_function("luhn_check", digits)
-    return F.when(good, F.when(gap == "", whole).when(gap == "-", F.translate(spaced, " ", "-")).otherwise(spaced))
+    places = lambda whole, *sizes: F.concat_ws(" ", *[whole.substr(sum(sizes[:i]) + 1, n) for i, n in enumerate(sizes)])
+
+    def checked(body: Column) -> Column:
+        check = F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda c: F.call_function("luhn_check", F.concat(body, c)))
+        return F.concat(body, F.element_at(check, 1))
+
+    def written(whole: Column) -> Column:
+        spaced = F.when(F.length(whole) == 15, places(whole, 4, 6, 5)).otherwise(places(whole, 4, 4, 4, 4))
+        return F.when(gap == "", whole).when(gap == "-", F.translate(spaced, " ", "-")).otherwise(spaced)
+
+    def moved(digits: Column) -> Column:
+        fixed = F.when(digits.startswith("4"), 1).otherwise(4)
+        body = F.concat(digits.substr(F.lit(1), fixed), digits_pseudonym(digits.substr(fixed + 1, F.length(digits) - fixed - 1), key, "card"))
+        return F.when(digits.rlike(ISSUER) & F.call_function("luhn_check", digits), let(let(body, checked), written))
+
+    return let(F.regexp_replace(text, "[ -]", ""), moved)
 
 
 def _phone(text: Column, key: str) -> Column:
     shape = r"^((?:\+1[ .-]?)?\(?)([0-9]{3})([^0-9]+)([0-9]{3})([.-])([0-9]{4})$"
     part = [F.regexp_extract(text, shape, i) for i in range(1, 7)]
     new = digits_pseudonym(F.concat(part[1], part[3], part[5]), key, "phone")
-    return F.concat(part[0], new.substr(1, 3), part[2], new.substr(4, 3), part[4], new.substr(7, 4))
+    return let(new, lambda n: F.concat(part[0], n.substr(1, 3), part[2], n.substr(4, 3), part[4], n.substr(7, 4)))
 
 
 def _address(text: Column, key: str) -> Column:
     byte = [F.split(text, r"\.").getItem(i).cast("long") for i in range(4)]
     moved = feistel(byte[0] * 256 + byte[1], byte[2] * 256 + byte[3], F.lit(65536), F.lit(65536), key, "address")
-    return F.concat_ws(".", *[x.cast("string") for half in ("l", "r") for x in (F.shiftright(moved[half], 8), moved[half] % 256)])
+    return let(moved, lambda m: F.concat_ws(".", *[x.cast("string") for half in ("l", "r") for x in (F.shiftright(m[half], 8), m[half] % 256)]))
 
 
 def _social(text: Column, key: str) -> Column:
@@ -98,29 +108,38 @@ def _social(text: Column, key: str) -> Column:
     good = (area > 0) & (area != 666) & (area < 900) & (middle > 0) & (serial > 0)
     index = F.when(area > 666, area - 2).otherwise(area - 1)
     moved = feistel(index * 99 + middle - 1, serial - 1, F.lit(898 * 99), F.lit(9999), key, "social")
-    where = F.floor(moved["l"] / 99)
-    new = F.when(where >= 665, where + 2).otherwise(where + 1)
-    return F.when(good, F.concat_ws("-", F.lpad(new.cast("string"), 3, "0"), F.lpad((moved["l"] % 99 + 1).cast("string"), 2, "0"), F.lpad((moved["r"] + 1).cast("string"), 4, "0")))
+
+    def shown(m: Column) -> Column:
+        where = F.floor(m["l"] / 99)
+        new = F.when(where >= 665, where + 2).otherwise(where + 1)
+        return F.concat_ws("-", F.lpad(new.cast("string"), 3, "0"), F.lpad((m["l"] % 99 + 1).cast("string"), 2, "0"), F.lpad((m["r"] + 1).cast("string"), 4, "0"))
+
+    return F.when(good, let(moved, shown))
 
 
 def _reshaped(shape: Column, new: Column, first: Column | int = 0) -> Column:
     """shape with its digits from the first one on replaced by those of new, one after the other."""
     at = F.struct(F.lit("").alias("out"), F.lit(0).alias("seen"))
 
-    def put(state: Column, c: Column) -> Column:
-        digit, turn = c.between("0", "9"), state["seen"] - first + 1
-        return F.struct(F.concat(state["out"], F.when(digit & (turn >= 1), new.substr(turn, F.lit(1))).otherwise(c)).alias("out"), (state["seen"] + F.when(digit, 1).otherwise(0)).alias("seen"))
+    def filled(new: Column) -> Column:
+        def put(state: Column, c: Column) -> Column:
+            digit, turn = c.between("0", "9"), state["seen"] - first + 1
+            return F.struct(F.concat(state["out"], F.when(digit & (turn >= 1), new.substr(turn, F.lit(1))).otherwise(c)).alias("out"), (state["seen"] + F.when(digit, 1).otherwise(0)).alias("seen"))
 
-    return F.aggregate(F.filter(F.split(shape, ""), lambda c: c != ""), at, put, lambda s: s["out"])
+        return F.aggregate(F.filter(F.split(shape, ""), lambda c: c != ""), at, put, lambda s: s["out"])
+
+    return let(new, filled)
 
 
 def _abroad(text: Column, key: str) -> Column:
     """A number with a country's prefix, of 8 to 15 digits: the prefix (two digits if nothing ends it) and the marks stay."""
-    digits = F.regexp_replace(text, "[^0-9]", "")
     ahead = F.length(F.regexp_extract(text, r"^\+([0-9]{1,3})[^0-9]", 1))
-    prefix = F.when(ahead > 0, ahead).otherwise(2)
-    new = digits_pseudonym(digits.substr(prefix + 1, F.length(digits) - prefix), key, "abroad")
-    return F.when(F.length(digits).between(8, 15), _reshaped(text, new, prefix))
+
+    def moved(digits: Column, prefix: Column) -> Column:
+        new = digits_pseudonym(digits.substr(prefix + 1, F.length(digits) - prefix), key, "abroad")
+        return F.when(F.length(digits).between(8, 15), _reshaped(text, new, prefix))
+
+    return let(F.regexp_replace(text, "[^0-9]", ""), lambda digits: let(F.when(ahead > 0, ahead).otherwise(2), lambda prefix: moved(digits, prefix)))
 
 
 def _remainder(account: Column) -> Column:
@@ -131,21 +150,26 @@ def _remainder(account: Column) -> Column:
 
 def _iban(text: Column, key: str) -> Column:
     """An account number that its check digits confirm: country, letters and blanks stay, the check digits fit again."""
-    bare = F.regexp_replace(text, " ", "")
-    good = F.length(bare).between(15, 34) & (_remainder(F.concat(bare.substr(F.lit(5), F.length(bare) - 4), bare.substr(1, 4))) == 1)
-    account = bare.substr(F.lit(5), F.length(bare) - 4)
-    digits = F.regexp_replace(account, "[A-Z]", "")
-    n = F.length(digits)
-    tail = F.least(n, F.lit(16))
-    head = n - tail
-    part = lambda d, size, domain: F.when(size >= 2, digits_pseudonym(d, key, domain)).otherwise(d)
-    moved = F.concat(part(digits.substr(F.lit(1), head), head, "iban head"), part(digits.substr(head + 1, tail), tail, "iban"))
 
-    def finished(new: Column) -> Column:
-        check = F.lpad((98 - _remainder(F.concat(new, bare.substr(1, 2), F.lit("00")))).cast("string"), 2, "0")
-        return _reshaped(text, F.concat(check, F.regexp_replace(new, "[A-Z]", "")))
+    def part(digits: Column, size: Column, domain: str) -> Column:
+        return F.when(size >= 2, digits_pseudonym(digits, key, domain)).otherwise(digits)
+
+    def moved(digits: Column, n: Column) -> Column:
+        tail = F.least(n, F.lit(16))
+        return F.concat(part(digits.substr(F.lit(1), n - tail), n - tail, "iban head"), part(digits.substr(n - tail + 1, tail), tail, "iban"))
+
+    def told(bare: Column) -> Column:
+        account = bare.substr(F.lit(5), F.length(bare) - 4)
+        good = F.length(bare).between(15, 34) & (_remainder(F.concat(account, bare.substr(1, 4))) == 1)
 
-    return F.when(good, let(_reshaped(account, moved), finished))
+        def finished(new: Column) -> Column:
+            check = F.lpad((98 - _remainder(F.concat(new, bare.substr(1, 2), F.lit("00")))).cast("string"), 2, "0")
+            return _reshaped(text, F.concat(check, F.regexp_replace(new, "[A-Z]", "")))
+
+        digits = let(F.regexp_replace(account, "[A-Z]", ""), lambda d: let(F.length(d), lambda n: moved(d, n)))
+        return F.when(good, let(_reshaped(account, digits), finished))
+
+    return let(F.regexp_replace(text, " ", ""), told)
 
 
 def _moved_day(day: Column, key: str) -> Column:
@@ -199,7 +223,11 @@ def _long_date(text: Column, key: str) -> Column:
     """A day that exists with the month's English name, before the month or behind it."""
     forms = ("d MMMM yyyy", "MMMM d, yyyy")
     days = [F.datediff(F.try_to_timestamp(text, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date")) for form in forms]
-    return F.when(days[0].isNotNull(), F.date_format(_moved_day(days[0], key), forms[0])).when(days[1].isNotNull(), F.date_format(_moved_day(days[1], key), forms[1]))
+
+    def shown(day: Column, form: str) -> Column:
+        return let(day, lambda d: F.when(d.isNotNull(), F.date_format(_moved_day(d, key), form)))
+
+    return F.coalesce(*[shown(day, form) for day, form in zip(days, forms)])
 
 
 def pseudonym(match: Column, key: str) -> Column:
