@@ -122,6 +122,20 @@ def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
     return starts[: len(ends)], ends
 
 
+def given_sections(spans: list[dict | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, start, end) of the spans that can hold characters, in order of start and without overlap.
+
+    A span that is null, has a null end or holds nothing is left out; a character in several spans belongs to the one that
+    starts first, the earlier in the list of two with the same start, and a span left with nothing is left out too.
+    """
+    some = [(s["start"], k, s["end"]) for k, s in enumerate(spans) if s and s["start"] is not None and s["end"] is not None]
+    starts, place, ends = np.array(sorted(some), np.int64).reshape(-1, 3).T
+    before = np.maximum.accumulate(np.append(np.iinfo(np.int64).min, ends))[:-1]
+    starts = np.maximum(starts, before)
+    held = starts < ends
+    return place[held], starts[held], ends[held]
+
+
 def allocate(token_start: np.ndarray, token_end: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The section of each token, -1 for none: the one with most of its characters, the earlier of two with as many.
 
@@ -146,17 +160,19 @@ def allocate(token_start: np.ndarray, token_end: np.ndarray, starts: np.ndarray,
 def section_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spans: str | None = None, ranks: str = BYTE_RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Tokens of each section, from one encoding of the whole document: a row per document and section.
 
-    spans names a column array<struct<start int, end int>> of character spans in order that don't overlap; without it
-    the sections are the lines, each with its line break. A token's span runs from the character that holds its first
+    spans names a column array<struct<start int, end int>> of character spans in any order; a character in several of
+    them belongs to the one that starts first, and a span that is null, has a null field or holds nothing has a row of 0
+    tokens. Without it the sections are the lines, each with its line break. A token's span runs from the character that holds its first
     byte to the end of the one that holds its last byte. It counts for the section that holds most of its characters,
     the earlier one if two hold as many, none if it lies outside all. n_crossing of a section are those of its tokens
     that also lie in another. A null or empty text has no rows by lines, and rows of 0 tokens by given spans; null
-    spans are none. The counts of a document's sections never add up to more than its tokens.
+    spans are none. The counts of a document's sections never add up to more than its tokens. A text of any
+    length is taken whole; repeated rows give their rows each; an empty table has none; other columns don't matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _, first = bpe.byte_encoder(ranks, pattern)
-        sizes = np.diff(first)
+        sizes, kinds = np.diff(first), [pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 2]
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             given = batch.column("spans").to_pylist() if spans else None
@@ -166,14 +182,15 @@ def section_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 while end < len(ids) and held < tx.BLOCK_BYTES:
                     held += len(texts[end]) + 64
                     end += 1
-                out: list[list[np.ndarray]] = []
+                out: list[list[pa.Array]] = []
                 whole, lengths = encoder.ids(texts[at:end])
                 for k, stop in zip(range(at, end), np.cumsum(lengths).tolist()):
                     if spans:
-                        rows = [(s["start"], s["end"]) for s in given[k] or ()]
-                        starts, ends = np.array(rows, np.int64).reshape(-1, 2).T
+                        place, starts, ends = given_sections(given[k] or [])
+                        n, bounds = len(given[k] or []), [[s and s[f] for s in given[k] or ()] for f in ("start", "end")]
                     elif texts[k]:
                         starts, ends = line_sections(texts[k])
+                        place, n, bounds = np.arange(len(starts)), len(starts), [starts, ends]
                     else:
                         continue
                     values = whole[stop - lengths[k - at] : stop]
@@ -185,10 +202,10 @@ def section_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     inside = own >= 0
                     crossing = inside.copy()
                     crossing[inside] = (start_char[inside] < starts[own[inside]]) | (end_char[inside] > ends[own[inside]])
-                    n = len(starts)
-                    out.append([np.full(n, ids[k]), np.arange(n), starts, ends, np.bincount(own[inside], minlength=n), np.bincount(own[crossing], minlength=n)])
-                columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(x, pa.int32()) for x in columns[1:4]], *[pa.array(x, pa.int64()) for x in columns[4:]]], names=["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
+                    counts = [np.bincount(place[own[some]], minlength=n) for some in (inside, crossing)]
+                    out.append([pa.array(x, kind) for x, kind in zip(([ids[k]] * n, np.arange(n), *bounds, *counts), kinds)])
+                columns = [pa.concat_arrays(x) for x in zip(*out)] if out else [pa.array([], kind) for kind in kinds]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
                 at = end
 
     columns = [F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")]

@@ -488,6 +488,36 @@ def test_section_tokens_given_spans(spark):
     assert got[(1, 0)][0] + got[(1, 1)][0] == 2 and got[(1, 0)][1] == 1
 
 
+def test_section_tokens_odd_spans(spark):
+    """Spans without order, overlapping, null, empty, past the end and on a row without doc_id, against a count by characters."""
+    library = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    r, words = random.Random(6), ["hello", " wörld", " again", "\n", "日本", "  x", " 12"]
+    data = [(None, "hello world", [(6, 11), (0, 5)]), (-1, "hello", [(None, 3), (0, None), None, (3, 3), (4, 2)]), (-2, "hello hello", [(0, 9), (2, 4), (0, 3), (5, 99), (-4, 1)]), (-3, "", [(1, 0)]), (-4, "a", [])]
+    for i in range(60):
+        text = "".join(r.choice(words) for _ in range(r.randrange(12)))
+        data.append((i, text, [r.choice([None, *[(r.choice([None, *range(-2, 40)]), r.randrange(40))] * 9]) for _ in range(r.randrange(6))]))
+    df = spark.createDataFrame(data + data[:2], "id long, body string, parts array<struct<start:int,end:int>>").withColumn("section", F.lit("x")).withColumn("spans", F.lit(1))
+    got = defaultdict(list)
+    for x in tokens.section_tokens(df, "id", "body", "parts").collect():
+        got[x.doc_id].append((x.section, x.start, x.end, x.n_tokens, x.n_crossing))
+    for i, text, parts in data:
+        owner = {}
+        held = [(s[0], k, s[1]) for k, s in enumerate(parts) if s and s[0] is not None and s[1] is not None]
+        for a, k, b in sorted(held):
+            for c in range(max(a, 0), min(b, 1000)):
+                owner.setdefault(c, k)
+        counts, crossing = Counter(), Counter()
+        for a, b in library.encode(text, add_special_tokens=False).offsets:
+            inside = [owner.get(c) for c in range(a, b)]
+            share = Counter(k for k in inside if k is not None)
+            if share:
+                best = max(share, key=lambda k: (share[k], -inside.index(k)))
+                counts[best] += 1
+                crossing[best] += len(set(inside)) > 1
+        want = [(k, s and s[0], s and s[1], counts[k], crossing[k]) for k, s in enumerate(parts)]
+        assert sorted(got[i], key=lambda x: x[0]) == sorted(want * (1 + (i in (None, -1))), key=lambda x: x[0]), (i, text, parts)
+
+
 def test_allocate_rule():
     own = tokens.allocate(np.array([0, 2, 4, 9]), np.array([2, 6, 5, 12]), np.array([0, 4, 5]), np.array([4, 5, 9]))
     assert own.tolist() == [0, 0, 1, -1]
