@@ -3,67 +3,89 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from takewise.session import checkpoint
 from takewise.sources.audio import LEAD
 
 HOP, WINDOW = LEAD, 2048
 _SCHEMA = "recording_id string, frame_idx long, t_sec double, rms double, flatness double, onset double, centroid double, rolloff double, contrast array<double>"
 
 
-def _biquad(x: np.ndarray, b: np.ndarray, a: np.ndarray, size: int = 4096) -> np.ndarray:
-    """A filter of second order by its impulse response, which these die out well within size samples."""
-    h, y1, y2 = np.zeros(size), 0.0, 0.0
-    for i in range(size):
+#: Points of an impulse response, well within which the filters die out.
+_RESPONSE = 4096
+
+
+def _impulse(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The impulse response of a filter of second order."""
+    h, y1, y2 = np.zeros(_RESPONSE), 0.0, 0.0
+    for i in range(_RESPONSE):
         y = (b[i] if i < 3 else 0.0) - a[1] * y1 - a[2] * y2
         h[i], y2, y1 = y, y1, y
-    n = 1 << int(np.ceil(np.log2(len(x) + size)))
-    return np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(h, n), n)[: len(x)]
+    return h
 
 
-def k_weighted(x: np.ndarray, sr: int) -> np.ndarray:
-    """The two filters of ITU-R BS.1770: a shelf for the head and a high pass, for any sampling rate."""
+@lru_cache(maxsize=64)
+def _response(sr: int, n: int) -> np.ndarray:
+    """What the transform of n samples is multiplied by to pass both filters of ITU-R BS.1770: worked out once a rate and length."""
+    out = np.ones(n // 2 + 1, complex)
     for kind, f, gain, q in (("shelf", 1681.974450955533, 3.999843853973347, 0.7071752369554196), ("high", 38.13547087602444, 0.0, 0.5003270373238773)):
         k = np.tan(np.pi * f / sr)
+        a0 = 1 + k / q + k * k
+        a = np.array([1, 2 * (k * k - 1) / a0, (1 - k / q + k * k) / a0])
         if kind == "shelf":
             vh = 10 ** (gain / 20)
             vb = vh**0.4996667741545416
-            a0 = 1 + k / q + k * k
-            b, a = np.array([vh + vb * k / q + k * k, 2 * (k * k - vh), vh - vb * k / q + k * k]) / a0, np.array([1, 2 * (k * k - 1) / a0, (1 - k / q + k * k) / a0])
+            b = np.array([vh + vb * k / q + k * k, 2 * (k * k - vh), vh - vb * k / q + k * k]) / a0
         else:
-            a0 = 1 + k / q + k * k
-            b, a = np.array([1.0, -2.0, 1.0]), np.array([1, 2 * (k * k - 1) / a0, (1 - k / q + k * k) / a0])
-        x = _biquad(x, b, a)
-    return x
+            b = np.array([1.0, -2.0, 1.0])
+        out = out * np.fft.rfft(_impulse(b, a), n)
+    return out
+
+
+def k_weighted(x: np.ndarray, sr: int) -> np.ndarray:
+    """The two filters of ITU-R BS.1770: a shelf for the head and a high pass, for any sampling rate."""
+    least = len(x) + 2 * _RESPONSE
+    n = min(m << max(0, int(np.ceil(np.log2(least / m)))) for m in (4, 5, 6))  # lengths that transform fast
+    return np.fft.irfft(np.fft.rfft(x, n) * _response(sr, n), n)[: len(x)]
 
 
 def loudness_gain(audio: DataFrame, target: float = -14.0) -> DataFrame:
     """(recording_id, loudness, gain): integrated loudness in LUFS and the factor that brings it to target.
 
     Blocks of 0.4 s, three quarters overlapping, pass a gate at -70 and one 10 below the mean of what passed; a silent
-    recording has null loudness and gain 1. audio's chunks must run 0.4 s or more into the next one.
+    recording has null loudness and gain 1. audio's chunks must run 0.4 s or more into the next one. Samples are read
+    once and don't travel: of a block in two chunks the power in the later one counts, and blocks alone are shuffled and
+    written to the shared checkpoint folder.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for r in part.itertuples():
-                x, step = k_weighted(np.asarray(r.samples, float), r.sr), int(0.1 * r.sr)
-                own = int(r.own)
-                starts = [s for s in range((-int(r.first)) % step, own, step) if s + 4 * step <= len(x)]
-                yield pd.DataFrame({"recording_id": r.recording_id, "power": [float(np.mean(x[s : s + 4 * step] ** 2)) for s in starts]})
-
-    following = audio.select("recording_id", (F.col("chunk_idx") - 1).alias("chunk_idx"), F.col("first").alias("next"))
-    rows = audio.join(following, ["recording_id", "chunk_idx"], "left").withColumn("own", F.coalesce(F.col("next") - F.col("first"), F.size("samples")))
-    power = rows.select("recording_id", "sr", "first", "samples", "own").mapInPandas(run, "recording_id string, power double")
+            rate, first, samples = (part.column(c) for c in ("sr", "first", "samples"))
+            at, chunk, power, row = [], [], [], []
+            for i in range(part.num_rows):
+                sr, begin = rate[i].as_py(), first[i].as_py()
+                x, step = k_weighted(samples[i].values.to_numpy(zero_copy_only=False).astype(float), sr), int(0.1 * sr)
+                starts = range((-begin) % step, len(x) - 4 * step + 1, step)
+                at += [begin + s for s in starts] or [None]
+                power += [float(np.mean(x[s : s + 4 * step] ** 2)) for s in starts] or [None]
+                row += [i] * max(1, len(starts))
+            yield pa.RecordBatch.from_arrays([part.column("recording_id").take(pa.array(row, pa.int64())), pa.array(at, pa.int64()), first.take(pa.array(row, pa.int64())).cast(pa.int64()), pa.array(power, pa.float64())], ["recording_id", "at", "first", "power"])
+
+    kind = audio.schema["recording_id"].dataType.simpleString()
+    found = audio.select("recording_id", "sr", "first", "samples").mapInArrow(run, f"recording_id {kind}, at long, first long, power double")
+    power = checkpoint(found.groupBy("recording_id", "at").agg(F.max_by("power", "first").alias("power")))
     level = lambda p: -0.691 + 10 * F.log10(p)
     loud = power.where("power > 0").where(level(F.col("power")) > -70)
     gate = loud.groupBy("recording_id").agg((level(F.avg("power")) - 10).alias("gate"))
     got = loud.join(gate, "recording_id").where(level(F.col("power")) > F.col("gate")).groupBy("recording_id").agg(level(F.avg("power")).alias("loudness"))
-    return audio.select("recording_id").distinct().join(got, "recording_id", "left").select("recording_id", "loudness", F.coalesce(F.pow(F.lit(10.0), (F.lit(target) - F.col("loudness")) / 20), F.lit(1.0)).alias("gain"))
+    return power.select("recording_id").distinct().join(got, "recording_id", "left").select("recording_id", "loudness", F.coalesce(F.pow(F.lit(10.0), (F.lit(target) - F.col("loudness")) / 20), F.lit(1.0)).alias("gain"))
 
 
 def apply_gain(audio: DataFrame, gains: DataFrame) -> DataFrame:

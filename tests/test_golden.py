@@ -330,3 +330,29 @@ def test_without_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
     (tmp_path / "corpus_pipeline.py").write_text("import takewise.llm\n")
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_loudness_reads_samples_once(spark):
+    """Each chunk passes once, and the filter's beginnings at chunks don't show in the result."""
+    x = 0.3 * np.sin(2 * np.pi * 700 * np.arange(22050 * 3) / 22050)
+    seen = spark.sparkContext.accumulator(0)
+
+    def chunks(size):
+        rows = [("a", 22050, i, at, x[at : at + size + 11025].tolist(), []) for i, at in enumerate(range(0, len(x), size))]
+        rows += [("short", 22050, 0, 0, x[:100].tolist(), []), ("silent", 22050, 0, 0, [0.0] * 22050, [])]
+
+        def count(parts):
+            for part in parts:
+                seen.add(len(part))
+                yield part
+
+        return spark.createDataFrame(rows, audio.CHUNK).mapInPandas(count, audio.CHUNK), len(rows)
+
+    got = {}
+    for size in (22050, 33000):
+        sound, n = chunks(size)
+        before = seen.value
+        got[size] = {r.recording_id: (r.loudness, r.gain) for r in frames.loudness_gain(sound).collect()}
+        assert seen.value - before == n
+        assert got[size]["short"] == got[size]["silent"] == (None, 1.0)
+    assert abs(got[22050]["a"][0] - got[33000]["a"][0]) < 0.05
