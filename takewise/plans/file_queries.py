@@ -21,13 +21,17 @@ CHUNK, HALO = 32 * fr.HOP, fr.WINDOW - fr.HOP
 
 
 def _manifests(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with a manifest per supplier, one file each; suppliers of a nation have one hash, every tenth is broken."""
+    """A folder with a manifest per supplier, one file each; suppliers of a nation have one hash, every tenth is broken.
+
+    The files lie side by side: a folder each would make every listing of them a listing per file.
+    """
     key = F.col("s_suppkey")
     name = F.lpad(key.cast("string"), 9, "0")
     fields = F.struct(name.alias("recordingId"), F.concat(F.lit("/card/"), name).alias("filePath"), F.concat(name, F.lit(".wav")).alias("filename"), F.sha2(F.col("s_nationkey").cast("string"), 256).alias("fileHash"))
     folder = new_folder(spark)
-    rows = ad.table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), name).alias("file"), F.when(key % 10 == 0, "{ broken").otherwise(F.to_json(fields)).alias("value"))
-    rows.write.partitionBy("file").text(folder)
+    content = F.when(key % 10 == 0, "{ broken").otherwise(F.to_json(fields)).cast("binary")
+    rows = ad.table(spark, sf_dir, "supplier").select(F.concat(F.lit("file=n"), name, F.lit(".json")).alias("name"), content.alias("content"))
+    wav.save_files(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name"), folder)
     return folder
 
 

@@ -2,6 +2,7 @@
 
 import glob
 import json
+import os
 import random
 import struct
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from takewise.operators import blocks, edits, graph, matching, pairs, scoring, segment
+from takewise.plans import file_queries
 from takewise.sources import audio, tables, versioned, wav
 from takewise.streaming import library, stateful
 
@@ -294,3 +296,12 @@ def test_edits_rewrite_touched_parts(spark, tmp_path):
     assert plain(table.read()) == plain(want)
     with pytest.raises(ValueError):
         table.create(recordings)
+
+
+def test_manifests_lie_side_by_side(spark):
+    """Listing them is one request, not one a file; the names stay those of the suppliers."""
+    folder = file_queries._manifests(spark, "/root/testdata/sf0.001")
+    root = folder.removeprefix("file:")
+    found = sorted(n for n in os.listdir(root) if not n.startswith("."))
+    want = sorted(f"file=n{r.s_suppkey:09d}.json" for r in spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").collect())
+    assert found == want and all(os.path.isfile(f"{root}/{n}") for n in found)
