@@ -4,9 +4,11 @@ import glob
 import json
 import os
 import random
+import resource
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,3 +307,39 @@ def test_manifests_lie_side_by_side(spark):
     found = sorted(n for n in os.listdir(root) if not n.startswith("."))
     want = sorted(f"file=n{r.s_suppkey:09d}.json" for r in spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").collect())
     assert found == want and all(os.path.isfile(f"{root}/{n}") for n in found)
+
+
+def test_results_of_a_pair_of_blocks_pass_through(spark):
+    """A task sends its results on as they come and doesn't hold them: here 480 MB of one pair of blocks."""
+    riffs = spark.createDataFrame(made_riffs(20), RIFF)
+
+    def run(a, b):
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        for _ in range(60):
+            yield pa.table({"n": np.arange(1 << 20), "grown": np.full(1 << 20, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)})
+
+    got = blocks.meet(riffs, riffs, riffs.columns, run, "n long, grown long", 0.0, blocks=(1, 1)).agg(F.count("*").alias("n"), F.max("grown").alias("grown")).first()
+    assert got.n == 60 << 20 and got.grown < 150_000  # kilobytes
+
+
+def test_pairs_of_blocks_have_tasks_of_their_own(spark):
+    """No task has to work off several pairs of blocks while others are idle, and no shuffle follows."""
+    riffs = spark.createDataFrame(made_riffs(200), RIFF)
+    got = matching.find_matches(riffs, riffs, 0.3, 3, 5)
+    assert got.rdd.getNumPartitions() == 15 and (got.groupBy(F.spark_partition_id()).count().count()) > 5
+
+
+def test_counts_need_no_warping(spark, monkeypatch):
+    """Matched pairs are counted, and bounded ones, without the curves where these don't matter."""
+    rows = made_riffs(90)
+    riffs = spark.createDataFrame(rows, RIFF)
+    for least in (0.3, 0.8):
+        given = matching.match_stats(riffs, riffs, matching.find_matches(riffs, riffs, least)).first()
+        assert matching.match_stats(riffs, riffs, least=least).first() == given and given.matched
+    whole, counted = (matching.warp_counts(riffs, riffs, 0.8, warping=w).first() for w in (True, False))
+    assert (whole.compared, whole.bounded) == (counted.compared, counted.bounded) and whole.bounded and counted.rows is None
+    sides = [scoring.Side(matching._side(riffs, *matching._VALUES).toArrow()) for _ in range(2)]
+    told = scoring.Warps()
+    assert scoring.matched(*sides, 0.2, told) == given.compared >= 10 * told.possible / 31
+    alone = {(r.riff_a_id, r.riff_b_id, r.score) for r in matching.matches_of_riff(riffs, riffs, "r7").collect()}
+    assert alone == {(a, b, s) for a, b, s, _ in plain_matches(rows, rows, 0.3) if "r7" in (a, b)} and alone
