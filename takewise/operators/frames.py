@@ -128,19 +128,24 @@ def frame_features(audio: DataFrame) -> DataFrame:
     value depends on where chunks begin. A recording shorter than a window is one frame, filled with zeros; a last chunk shorter than that has none of its own.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for r in part.itertuples():
-                x = np.asarray(r.samples, float)
-                if r.first and len(x) < WINDOW:
+            ids, rate, begin, samples, lead = (part.column(c) for c in ("recording_id", "sr", "first", "samples", "before"))
+            for i in range(part.num_rows):
+                x, sr, at = samples[i].values.to_numpy(zero_copy_only=False).astype(float), rate[i].as_py(), begin[i].as_py()
+                if at and len(x) < WINDOW:
                     continue
-                s, first = spectra(x), int(r.first) // HOP
-                before = spectra(np.concatenate([np.asarray(r.before, float), x[: WINDOW - HOP]]))[0] if r.first else None
+                s, first = spectra(x), at // HOP
+                before = spectra(np.concatenate([lead[i].values.to_numpy(zero_copy_only=False).astype(float), x[: WINDOW - HOP]]))[0] if at else None
                 windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, (0, max(0, WINDOW - len(x)))), WINDOW)[::HOP]
                 index = np.arange(first, first + len(s))
-                yield pd.DataFrame({"recording_id": r.recording_id, "frame_idx": index, "t_sec": index * HOP / r.sr, "rms": np.sqrt((windows**2).mean(1)), **features(s, r.sr, before)})[[f.split()[0] for f in _SCHEMA.split(", ")]]
+                made = {"frame_idx": index, "t_sec": index * HOP / sr, "rms": np.sqrt((windows**2).mean(1)), **features(s, sr, before)}
+                bands = np.stack(made.pop("contrast"))
+                contrast = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1]), pa.int32()), pa.array(bands.ravel()))
+                names = [f.split()[0] for f in _SCHEMA.split(", ")]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(s), i))).cast(pa.string()), *[pa.array(made[n]) for n in names[1:-1]], contrast], names)
 
-    return audio.select("recording_id", "sr", "first", "samples", "before").mapInPandas(run, _SCHEMA)
+    return audio.select("recording_id", "sr", "first", "samples", "before").mapInArrow(run, _SCHEMA)
 
 
 def _median(s: np.ndarray, size: int, axis: int) -> np.ndarray:

@@ -343,3 +343,13 @@ def test_counts_need_no_warping(spark, monkeypatch):
     assert scoring.matched(*sides, 0.2, told) == given.compared >= 10 * told.possible / 31
     alone = {(r.riff_a_id, r.riff_b_id, r.score) for r in matching.matches_of_riff(riffs, riffs, "r7").collect()}
     assert alone == {(a, b, s) for a, b, s, _ in plain_matches(rows, rows, 0.3) if "r7" in (a, b)} and alone
+
+
+def test_sounds_keep_their_parts(spark):
+    """Levels are so small that their parts would be put together; the sounds made of them are not."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert file_queries._sounds(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
