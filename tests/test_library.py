@@ -353,3 +353,38 @@ def test_sounds_keep_their_parts(spark):
         assert file_queries._sounds(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 9
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pairs_carry_no_vectors():
+    """What is made for a pair are the columns asked for; the vectors of its riffs aren't copied for it."""
+    side = pa.table({"riff_id": pa.array(range(60)), "recording_id": pa.array(range(60)), "riff_order": pa.array(range(60)), "contour": pa.array([[0.5] * 5000] * 60)})
+    i, j = (x.ravel() for x in np.indices((60, 60)))
+    pool = pa.system_memory_pool()
+    before, old = pool.max_memory(), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        got = matching._joined(side, side, i, j, ["riff_a_id", "riff_b_id"])
+    finally:
+        pa.set_memory_pool(old)
+    assert sorted(got) == ["riff_a_id", "riff_b_id"] and got["riff_b_id"].to_pylist() == j.tolist()
+    assert pool.max_memory() - before < 2**20
+
+
+def test_columns_asked_for(spark):
+    riffs = spark.createDataFrame(made_riffs(60), RIFF)
+    got = matching.find_matches(riffs, riffs, 0.5, columns=["riff_b_id", "riff_a_id", "weights"])
+    assert got.columns == ["riff_b_id", "riff_a_id", "weights"]
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in matching.find_matches(riffs, riffs, 0.5).select(*got.columns).collect()}
+
+
+@pytest.mark.parametrize("least", [0.3, 0.8])
+@pytest.mark.parametrize("scale", [1.0, 3e7])
+def test_single_precision_rounds_as_double(spark, monkeypatch, least, scale):
+    """Scores and contours warped in single precision have the digits of double precision, where warping stops early too."""
+    riffs = spark.createDataFrame(made_riffs(300, 7), RIFF).withColumn("contour", F.transform("contour", lambda x: x * scale))
+    side = scoring.Side(matching._side(riffs, *matching._VALUES).toArrow())
+    told = lambda: {(int(a), int(b)): (float(s), float(c)) for i, j, _, sims, score in scoring.scored(side, side, least, scoring.Warps()) for a, b, s, c in zip(i, j, score, scoring.rounded(sims["contour"]))}
+    got = told()
+    monkeypatch.setattr(scoring, "SINGLE", -1.0)
+    side.kept.clear()
+    assert got == told() and len(got) > 1000
