@@ -12,8 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from takewise.operators import blocks, edits, graph, matching, pairs, scoring, segment
-from takewise.plans import file_queries
+from takewise.operators import blocks, edits, graph, matching, pairs, rollup, scoring, segment
+from takewise.plans import file_queries, matching_queries, report_queries
 from takewise.sources import audio, tables, versioned, wav
 from takewise.streaming import library, stateful
 
@@ -388,3 +388,30 @@ def test_single_precision_rounds_as_double(spark, monkeypatch, least, scale):
     monkeypatch.setattr(scoring, "SINGLE", -1.0)
     side.kept.clear()
     assert got == told() and len(got) > 1000
+
+
+@pytest.mark.parametrize("least", [0.3, 0.8])
+def test_best_pairs_and_overlaps_without_matches(spark, monkeypatch, least):
+    """Pairs of recordings straight from riffs are those of all matches, with ties, text ids, and riffs of no recording."""
+    rows = made_riffs(150, 3)
+    rows += [(f"again{i}", f"rec{60 + i // 2}", 200 + i % 3, *r[3:]) for i, r in enumerate(rows[:40])]  # copies, some of equal order
+    rows += [("lost", None, 300, *rows[1][3:])]
+    riffs = spark.createDataFrame(rows, RIFF)
+    for new in (riffs, riffs.where("riff_order % 4 = 0"), riffs.where("riff_order < 0")):
+        matches = matching.find_matches(new, riffs, least, 1, 1)
+        got, want = ({tuple(r) for r in df.collect()} for df in (rollup.best_pairs(new, riffs, least), pairs.best_pair_matches(matches)))
+        assert got == want
+        got, want = ({tuple(r) for r in df.collect()} for df in (rollup.overlaps(new, riffs, riffs, least), pairs.riff_overlap(matches, riffs)))
+        assert got == want
+    new = riffs.where("riff_order % 4 = 0")
+    want = {tuple(r) for r in rollup.best_pairs(new, riffs, least).collect()}
+    monkeypatch.setattr(blocks, "RIFFS", 8)  # a recording has more than an eighth of a block
+    assert want and {tuple(r) for r in rollup.best_pairs(new, riffs, least).collect()} == want
+
+
+@pytest.mark.parametrize("query", [matching_queries.pairs_library, matching_queries.pairs_best, matching_queries.pairs_overlap, report_queries.QUERIES["p4_similarity_blocks"]])
+def test_no_match_is_shuffled(spark, query):
+    """What is asked of two recordings is found where their riffs meet: nothing is aggregated over matches."""
+    plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("FlatMapGroupsInArrow")[0].split("MapInArrow")[0]
+    assert "FlatMapGroupsInArrow" in plan and "max(" not in above and "count(distinct" not in above.lower()
