@@ -154,6 +154,11 @@ def store(table: DataFrame, new: DataFrame) -> DataFrame:
     return table.unionByName(new)
 
 
+def store_again(new: DataFrame, stored: Column) -> DataFrame:
+    """store(new.where(stored), new), where the table is those of new that were stored before: new is made once, not twice."""
+    return new.select("*", F.explode(F.array_repeat(F.lit(True), F.when(stored, 2).otherwise(1))).alias("__again")).drop("__again")
+
+
 def upsert_warnings(warnings: DataFrame, edits: DataFrame) -> DataFrame:
     """By key the last message and time, no longer dismissed; unknown keys are added."""
     last = _last(edits, "key", "message", "created_at")

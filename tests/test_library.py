@@ -415,3 +415,10 @@ def test_no_match_is_shuffled(spark, query):
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("FlatMapGroupsInArrow")[0].split("MapInArrow")[0]
     assert "FlatMapGroupsInArrow" in plan and "max(" not in above and "count(distinct" not in above.lower()
+
+
+def test_stored_matches_are_found_once(spark):
+    new = spark.createDataFrame([(1, 0.9), (2, 0.5), (3, None), (4, 0.7)], "id long, score double")
+    assert sorted(map(tuple, edits.store_again(new, F.col("score") >= 0.7).collect()), key=repr) == sorted(map(tuple, edits.store(new.where("score >= 0.7"), new).collect()), key=repr)
+    plan = matching_queries.matches_stored(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1
