@@ -28,6 +28,12 @@ def rounded(a: Column, digits: int = 4) -> Column:
     return F.transform(a, lambda x: F.round(x, digits))
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """Numbers of 0 or more rounded in floating point, as DuckDB does it; F.round makes a decimal of each, which takes longer."""
+    scale = F.lit(10.0**digits)
+    return F.floor(x * scale + 0.5) / scale
+
+
 def znorm(a: Column) -> Column:
     """(x - mean) / population deviation; zeros if the deviation is 1e-8 at most."""
     stats = F.struct(mean(a).alias("m"), spread(a).alias("s"))

@@ -2,11 +2,14 @@
 
 import glob
 import json
+import math
 import os
 import random
 import resource
 import struct
+import tracemalloc
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -124,6 +127,27 @@ def test_tests_without_pair_rows(spark):
     assert matching.match_stats(riffs, riffs, matching.find_matches(riffs, riffs)).first().compared == len(by_rows)
 
 
+def test_tempos_round_as_in_sql(spark, monkeypatch):
+    """Next to a half F.round and DuckDB differ."""
+    near = [0.7072174999999999, 0.7072444999999999, 0.7072714999999999, 0.7073294999999999]
+    rows = [(50 * i, 10 * i, i, t) for i, t in enumerate(near, 1)] + [(1, 1, 0, 1.0)]
+    monkeypatch.setattr(matching_queries.ad, "riffs", lambda *_: spark.createDataFrame(rows, "riff_id long, recording_id long, riff_order long, tempo double"))
+    got = {r.riff_a_id: r.similarity for r in matching_queries.tempo_candidates(spark, "").where("riff_b_id = 1").collect()}
+    assert got == {50 * i: duckdb.execute("SELECT round(?::DOUBLE, 6)", [t]).fetchall()[0][0] for i, t in enumerate(near, 1)}
+
+
+def test_tempos_of_full_blocks_meet_in_bounded_memory():
+    """Two blocks as large as they get are compared tile by tile."""
+    n = blocks.RIFFS
+    ids = np.arange(n)
+    sides = [scoring.Side(pa.table({"riff_id": ids + k * n, "recording_id": (ids + k * n) // 5, "tempo": 100 + ids % 50 / 7})) for k in range(2)]
+    tracemalloc.start()
+    found = sum(len(i) for i, _, _ in scoring.tested(*sides, False))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n * n and most < 40e6
+
+
 def test_text_ids_from_file_to_groups(spark, tmp_path):
     """Riffs as the library stores them, with ids as text, through matching, pairs, groups, peaks and states."""
     lines = []
