@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,16 +101,31 @@ def spectra(x: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.rfft(frames * np.hanning(WINDOW + 1)[:-1], axis=1))
 
 
+def _level(s: np.ndarray) -> np.ndarray:
+    """10 log10 of the power, from -100 on; logarithms are taken of what exceeds that."""
+    power = np.square(s)
+    out, heard = np.full(s.shape, 10 * np.log10(1e-10)), ~(power <= 1e-10)
+    out[heard] = 10 * np.log10(power[heard])
+    return out
+
+
+def _onset(s: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Onset strength of each spectrum, the first one against before or itself."""
+    level = _level(s)
+    return np.maximum(0, np.diff(np.concatenate([level[:1] if before is None else _level(before[None, :]), level]), axis=0)).mean(1)
+
+
+def _middle(s: np.ndarray, sr: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroid and half-energy rolloff of each spectrum."""
+    freq, total = np.fft.rfftfreq(WINDOW, 1 / sr), s.sum(1)
+    centroid = np.where(total > 0, (s * freq).sum(1) / np.where(total > 0, total, 1), 0.0)
+    return centroid, freq[np.minimum((np.cumsum(s, axis=1) < 0.5 * total[:, None]).sum(1), len(freq) - 1)]
+
+
 def features(s: np.ndarray, sr: int, before: np.ndarray | None = None) -> dict[str, np.ndarray | list]:
     """Flatness, onset strength, centroid, half-energy rolloff and contrast of seven bands for each spectrum."""
     freq, power = np.fft.rfftfreq(WINDOW, 1 / sr), s**2
-    level = 10 * np.log10(np.maximum(1e-10, power))
-    first = level[:1] if before is None else 10 * np.log10(np.maximum(1e-10, before[None, :] ** 2))
-    onset = np.maximum(0, np.diff(np.concatenate([first, level]), axis=0)).mean(1)
-    total = s.sum(1)
-    centroid = np.where(total > 0, (s * freq).sum(1) / np.where(total > 0, total, 1), 0.0)
-    reach = np.cumsum(s, axis=1)
-    rolloff = freq[np.minimum((reach < 0.5 * total[:, None]).sum(1), len(freq) - 1)]
+    onset, (centroid, rolloff) = _onset(s, before), _middle(s, sr)
     flatness = np.exp(np.mean(np.log(np.maximum(power, 1e-10)), axis=1)) / np.maximum(np.mean(np.maximum(power, 1e-10), axis=1), 1e-10)
     edges, bands = [0, *(200 * 2**k for k in range(6)), sr / 2 + 1], []
     for lo, hi in zip(edges, edges[1:]):
@@ -148,24 +162,41 @@ def frame_features(audio: DataFrame) -> DataFrame:
     return audio.select("recording_id", "sr", "first", "samples", "before").mapInArrow(run, _SCHEMA)
 
 
+#: Values of the windows of which medians are found at once.
+_CELLS = 1 << 17
+
+
 def _median(s: np.ndarray, size: int, axis: int) -> np.ndarray:
+    """Medians of the windows of size values around each, s mirrored at its ends: of an odd number the one in the middle,
+    some rows of windows at a time."""
     pad = [(0, 0), (0, 0)]
     pad[axis] = (size // 2, size - size // 2 - 1)
-    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(s, pad, mode="symmetric"), size, axis=axis), axis=-1)
+    wide = np.pad(s, pad, mode="symmetric")
+    if size % 2 == 0 or not np.isfinite(s).all():
+        return np.median(np.lib.stride_tricks.sliding_window_view(wide, size, axis=axis), axis=-1)
+    windows = np.lib.stride_tricks.sliding_window_view(wide if axis else np.ascontiguousarray(wide.T), size, axis=1)
+    out, step = np.empty(windows.shape[:2]), max(1, _CELLS // (windows.shape[1] * size))
+    for at in range(0, len(windows), step):
+        out[at : at + step] = np.partition(windows[at : at + step], size // 2, axis=-1)[..., size // 2]
+    return out if axis else out.T
 
 
 def hpss_features(riffs: DataFrame, margin: float = 3.0, size: int = 31) -> DataFrame:
-    """(recording_id, riff_index, frame_idx, onset_perc, centroid, rolloff) of riffs (recording_id, riff_index, sr, samples).
+    """(recording_id, riff_index, frame_idx, onset_perc, centroid, rolloff) of riffs (recording_id, riff_index, sr, samples),
+    a row each; samples don't travel.
 
     The harmonic part of a spectrum is what medians along time exceed those along frequency by margin, the percussive
     part the other way round; each part's features come from its masked spectrum. A riff is a minute at most.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        r = part.iloc[0]
-        s = spectra(np.asarray(r["samples"], float))
-        harmonic, percussive = _median(s, size, 0), _median(s, size, 1)
-        h, p = features(s * (harmonic > margin * percussive), r["sr"]), features(s * (percussive > margin * harmonic), r["sr"])
-        return pd.DataFrame({"recording_id": r["recording_id"], "riff_index": r["riff_index"], "frame_idx": np.arange(len(s)), "onset_perc": p["onset"], "centroid": h["centroid"], "rolloff": h["rolloff"]})
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ids, index, rate, samples = (part.column(c) for c in ("recording_id", "riff_index", "sr", "samples"))
+            for i in range(part.num_rows):
+                s = spectra(samples[i].values.to_numpy(zero_copy_only=False).astype(float))
+                harmonic, percussive = _median(s, size, 0), _median(s, size, 1)
+                centroid, rolloff = _middle(s * (harmonic > margin * percussive), rate[i].as_py())
+                at = pa.array(np.full(len(s), i))
+                yield pa.RecordBatch.from_arrays([ids.take(at).cast(pa.string()), index.take(at).cast(pa.int32()), pa.array(np.arange(len(s))), pa.array(_onset(s * (percussive > margin * harmonic))), pa.array(centroid), pa.array(rolloff)], ["recording_id", "riff_index", "frame_idx", "onset_perc", "centroid", "rolloff"])
 
-    return riffs.groupBy("recording_id", "riff_index").applyInPandas(run, "recording_id string, riff_index int, frame_idx long, onset_perc double, centroid double, rolloff double")
+    return riffs.select("recording_id", "riff_index", "sr", "samples").mapInArrow(run, "recording_id string, riff_index int, frame_idx long, onset_perc double, centroid double, rolloff double")
