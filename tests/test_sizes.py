@@ -34,3 +34,20 @@ def test_medians_are_those_of_numpy(size):
         pad[axis] = (size // 2, size - size // 2 - 1)
         want = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(s, pad, mode="symmetric"), size, axis=axis), axis=-1)
         assert np.array_equal(frames._median(s, size, axis), want)
+
+
+def test_one_riff_with_many():
+    r = np.random.default_rng(6)
+    a, b = r.normal(size=(1, 40)).astype(np.float32), r.normal(size=(100, 35)).astype(np.float32)
+    again = np.repeat(a, 100, 0)
+    whole = scoring._distances(again, b, None, scoring.Warps())
+    assert np.array_equal(scoring._distances(a, b, None, scoring.Warps()), whole)
+    most = np.quantile(whole, r.random(100))
+    told = [scoring.Warps(), scoring.Warps()]
+    got = [scoring._distances(x, b, most, t) for x, t in zip((a, again), told)]
+    assert np.array_equal(*got) and told[0] == told[1] and np.isinf(got[0]).sum() == told[0].enveloped + told[0].abandoned > 0
+    assert np.array_equal(got[0][whole <= most], whole[whole <= most])
+    i = np.r_[np.zeros(3), np.ones(2000), [2] * 5, np.arange(700)].astype(int)
+    parts = scoring._parts(i)
+    assert np.concatenate([np.arange(len(i))[p] for p in parts]).tolist() == list(range(len(i)))
+    assert any(len(set(i[p])) == 1 and len(i[p]) > scoring.PAIRS for p in parts) and max(len(i[p]) for p in parts) <= 2 * scoring.PAIRS
