@@ -36,6 +36,34 @@ def test_medians_are_those_of_numpy(size):
         assert np.array_equal(frames._median(s, size, axis), want)
 
 
+def test_riffs_go_only_where_new_ones_are(spark, monkeypatch):
+    """The library's recordings that have no new riff don't meet each other, and rows that are new and the library's go once."""
+    monkeypatch.setattr(blocks, "RIFFS", 60)
+    riffs = matching._side(spark.createDataFrame([r for r in made_riffs(900, 5) if r[3]], RIFF), *matching._VALUES).cache()
+    n, new = riffs.count(), riffs.where("pmod(xxhash64(recording_id), 10) = 0")
+    dealt, tasks = rollup._dealt(new, riffs)
+    counts = {r.side: r.n for r in dealt.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert counts[1] < 8 * n and counts[0] < 40 * new.count()
+    assert dealt.select("task").distinct().count() <= tasks
+    assert dealt.where("mixed AND side = 1").join(new.select("recording_id").distinct(), "recording_id").count() == 0
+    whole, _ = rollup._dealt(riffs, riffs)
+    assert whole.where("side = 1").count() == 0
+    for a in (new, riffs):
+        assert rows(rollup.best_pairs(a, riffs)) == rows(pairs.best_pair_matches(matching.find_matches(a, riffs, 0.3, 1, 1)))
+
+
+def test_columns_of_best_pairs(spark, monkeypatch):
+    riffs = spark.createDataFrame(made_riffs(90, 9), RIFF).withColumn("names", F.array(F.concat(F.lit("n"), "recording_id")))
+    new = riffs.where("riff_order % 4 = 0")
+    columns = ["score", "rec_hi", "order_b", "rec_lo", "order_a"]
+    got = rollup.best_pairs(new, riffs, 0.5, columns, carried="names")
+    assert got.columns == [*columns, "names_lo", "names_hi"]
+    want = {(r.m.score, r.rec_hi, -r.m.before_b, r.rec_lo, -r.m.before_a, f"n{r.rec_lo}", f"n{r.rec_hi}") for r in pairs.ranked(matching.find_matches(new, riffs, 0.5)).collect()}
+    assert {(*r[:5], *r.names_lo, *r.names_hi) for r in got.collect()} == want and want
+    monkeypatch.setattr(blocks, "RIFFS", 8)  # a recording has more than an eighth of a block
+    assert {(*r[:5], *r.names_lo, *r.names_hi) for r in rollup.best_pairs(new, riffs, 0.5, columns, carried="names").collect()} == want
+
+
 def test_one_riff_with_many():
     r = np.random.default_rng(6)
     a, b = r.normal(size=(1, 40)).astype(np.float32), r.normal(size=(100, 35)).astype(np.float32)
