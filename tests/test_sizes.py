@@ -36,6 +36,20 @@ def test_medians_are_those_of_numpy(size):
         assert np.array_equal(frames._median(s, size, axis), want)
 
 
+def test_pairs_of_a_stream_of_riffs(spark, tmp_path):
+    """Batches of riffs leave one row a pair of recordings, and no matches; those are the pairs of all matches at once."""
+    riffs = spark.createDataFrame(made_riffs(60), RIFF).withColumn("batch", F.pmod(F.xxhash64("riff_id"), F.lit(3))).cache()
+    path = str(tmp_path / "p")
+    each = library.riff_pairs_into(lambda s: riffs.drop("batch"), path, every=2)
+    for n in (0, 1, 1, 2):
+        each(riffs.where(F.col("batch") == n).drop("batch"), n)
+    want = rows(pairs.best_pair_matches(matching.find_matches(riffs, riffs)))
+    assert rows(library.best_pairs(spark, path)) == want and want
+    assert sorted(p.name for p in (tmp_path / "p").iterdir()) == ["merged", "parts"] and tables.versions(spark, f"{path}/merged") == [1]
+    part = spark.read.parquet(f"{path}/parts/batch=0")
+    assert part.count() == part.select("rec_lo", "rec_hi").distinct().count()
+
+
 def test_riffs_go_only_where_new_ones_are(spark, monkeypatch):
     """The library's recordings that have no new riff don't meet each other, and rows that are new and the library's go once."""
     monkeypatch.setattr(blocks, "RIFFS", 60)
