@@ -78,6 +78,31 @@ def test_columns_of_best_pairs(spark, monkeypatch):
     assert {(*r[:5], *r.names_lo, *r.names_hi) for r in rollup.best_pairs(new, riffs, 0.5, columns, carried="names").collect()} == want
 
 
+def test_bands_shuffle_no_pairs(spark):
+    made = spark.createDataFrame([(i, i + 1 + i % 3, round(0.3 + (i * 37 % 100) / 200, 4), 0.5, 0.5) for i in range(200)], "rec_lo long, rec_hi long, score double, groove double, drums double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the size of what pairs are joined with isn't known beforehand
+    try:
+        plan = pairs.evidence_band(made)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan.split("BroadcastExchange")[0]
+    scores = sorted(r.score for r in made.collect())
+    low, high = np.quantile(scores, [0.25, 0.75])
+    assert all(r.band == ("strong" if r.score >= high else "different" if r.score <= low else "ambiguous") for r in pairs.evidence_band(made).collect())
+    assert pairs.evidence_band(made.where("false")).count() == 0
+
+
+def test_groups_write_no_pairs_as_rows(spark, monkeypatch):
+    """Pairs are found once, and stored by columns."""
+    said = []
+    monkeypatch.setattr(matching_queries, "stored", lambda df, f=matching_queries.stored: said.append(df.columns) or f(df))
+    for name in ("pairs_band", "pairs_groups", "pairs_groups_kept_up"):
+        got = getattr(matching_queries, name)(spark, FOLDER)
+        assert "FlatMapGroupsInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert said == [["rec_lo", "rec_hi", "score", "groove", "drums"]] * 3
+
+
 def test_one_riff_with_many():
     r = np.random.default_rng(6)
     a, b = r.normal(size=(1, 40)).astype(np.float32), r.normal(size=(100, 35)).astype(np.float32)
