@@ -93,6 +93,19 @@ def test_bands_shuffle_no_pairs(spark):
     assert pairs.evidence_band(made.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 18, 7])
+def test_edges_are_thinned(spark, monkeypatch, most):
+    """Of the edges in a task a forest is left, and one of each edge from a node to itself."""
+    monkeypatch.setattr(graph, "EDGES", most)
+    r = np.random.default_rng(3)
+    nodes = [f"n{i:02}" for i in range(60)]
+    edges = [(nodes[x], nodes[y]) for x, y in zip(r.integers(0, 50, 3000), r.integers(0, 50, 3000)) if x % 5 == y % 5 and x != y] + [("n58", "n58")] * 5 + [("n01", None)]
+    got = graph.thinned(spark.createDataFrame(edges, "a string, b string").coalesce(1)).collect()
+    assert len(got) == 45 + 1 and {tuple(x) for x in got} <= set(edges)
+    found = {x.node: x.component for x in graph.connected_components(spark.createDataFrame(got, "a string, b string")).collect()}
+    assert found == {f"n{i:02}": f"n0{i % 5}" for i in range(50)}
+
+
 def test_groups_write_no_pairs_as_rows(spark, monkeypatch):
     """Pairs are found once, and stored by columns."""
     said = []
