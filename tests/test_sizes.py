@@ -106,6 +106,16 @@ def test_edges_are_thinned(spark, monkeypatch, most):
     assert found == {f"n{i:02}": f"n0{i % 5}" for i in range(50)}
 
 
+def test_names_join_no_pairs(spark):
+    plan = report_queries.QUERIES["p4_similarity_blocks"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("FlatMapGroupsInArrow")[0]
+    riffs = spark.createDataFrame(made_riffs(40), RIFF)
+    names = spark.createDataFrame([("rec1", "x.wav"), ("rec2", "y.wav"), ("rec2", "z.wav"), ("rec3", None)], "recording_id string, filename string")
+    named = report.with_names(riffs, names)
+    got = report.similarity_section(rollup.best_pairs(named, named, carried="names"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, report.similarity_section(rollup.best_pairs(riffs, riffs), names).collect()))
+
+
 def test_groups_write_no_pairs_as_rows(spark, monkeypatch):
     """Pairs are found once, and stored by columns."""
     said = []
