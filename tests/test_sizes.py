@@ -8,7 +8,7 @@ from takewise.operators import blocks, frames, graph, matching, pairs, report, r
 from takewise.plans import matching_queries, report_queries
 from takewise.sources import tables
 from takewise.streaming import library
-from test_library import RIFF, made_riffs
+from test_library import RIFF, made_riffs, plain_matches
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -141,3 +141,10 @@ def test_one_riff_with_many():
     parts = scoring._parts(i)
     assert np.concatenate([np.arange(len(i))[p] for p in parts]).tolist() == list(range(len(i)))
     assert any(len(set(i[p])) == 1 and len(i[p]) > scoring.PAIRS for p in parts) and max(len(i[p]) for p in parts) <= 2 * scoring.PAIRS
+
+
+def test_stream_writes_what_is_asked_for(spark, tmp_path):
+    riffs = spark.createDataFrame(made_riffs(40), RIFF)
+    library.match_into(lambda s: riffs, str(tmp_path / "m"), columns=["riff_b_id", "score"])(riffs, 0)
+    got = spark.read.parquet(str(tmp_path / "m/batch=0"))
+    assert got.columns == ["riff_b_id", "score"] and sorted(map(tuple, got.collect())) == sorted((b, s) for _, b, s, _ in plain_matches(made_riffs(40), made_riffs(40), 0.3))
